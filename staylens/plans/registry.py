@@ -10,3 +10,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import catalog_queries  # noqa: F401
