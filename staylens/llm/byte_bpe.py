@@ -29,7 +29,7 @@ _SL, _SN, _SO, _SA1, _SA2, _SPM, _SWM, _SPL, _SWL, _RESET = range(10)
 #: Fixed: codepoints that \s matches.
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _BLOCK = 128
-_CACHE = 800_000
+_CACHE = 400_000
 _NEVER = 1 << 62
 
 

@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality, simhash
+from . import byte_bpe, chat, decontaminate, html_extract, ppm, quality, simhash, token_store, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 RULES = quality.Rules(public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -27,17 +29,43 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.format_chats(chat.with_example(table(spark, sf_dir, "conversations"))))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), RULES)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "entry string, verdict string"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_store.round_trip(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op4_quality, op9_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op3_chat, op4_quality, op5_url_filter, op6_warc, op7_token_store, op8_ppm, op9_simhash, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
