@@ -12,6 +12,20 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function as a query under its name, with the SQL that says the same."""
+
+    def put(fn: Query) -> Query:
+        if fn.__name__ in QUERIES:
+            raise KeyError(f"query {fn.__name__} is registered twice")
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return put
+
+
 def load() -> None:
     """Import the modules that register queries."""
-    from . import catalog_queries  # noqa: F401
+    from . import catalog_queries, text_queries  # noqa: F401
