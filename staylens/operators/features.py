@@ -71,12 +71,17 @@ def competitor_set(hotels: DataFrame, score_gap: float = 0.5, least_reviews: int
     return ranked.filter((F.col("_n") >= least) & (F.col("rank") <= most)).select("hotel_id", "competitor_id", "rank")
 
 
+def _r4(x: Column) -> Column:
+    """Four places; the tiny shift keeps exact halves from falling either way with the order of a sum."""
+    return F.round(x + 1e-9, 4)
+
+
 def set_features(prices: DataFrame, sets: DataFrame, day: str) -> DataFrame:
     """A hotel's day price against its set's. prices: hotel_id, day, price, sold_out_share."""
     other = prices.select(F.col("hotel_id").alias("competitor_id"), day, F.col("price").alias("_p"), F.col("sold_out_share").alias("_s"))
     rows = prices.join(sets, "hotel_id").join(other, ["competitor_id", day])
-    out = rows.groupBy("hotel_id", day, "price").agg(N.alias("n_competitors"), F.round(F.avg("_p"), 4).alias("set_mean"), r6(quantile("_p", 0.5)).alias("set_median"), F.min("_p").alias("set_min"), F.max("_p").alias("set_max"), F.round(F.avg("_s"), 4).alias("set_sold_out_share"), F.count_if(F.col("_p") < F.col("price")).alias("_below"))
-    return out.withColumn("own_to_set", F.round(F.try_divide(F.col("price"), F.col("set_mean")), 4)).withColumn("position", r6(F.col("_below") / F.col("n_competitors"))).drop("_below")
+    out = rows.groupBy("hotel_id", day, "price").agg(N.alias("n_competitors"), _r4(F.avg("_p")).alias("set_mean"), r6(quantile("_p", 0.5)).alias("set_median"), F.min("_p").alias("set_min"), F.max("_p").alias("set_max"), _r4(F.avg("_s")).alias("set_sold_out_share"), F.count_if(F.col("_p") < F.col("price")).alias("_below"))
+    return out.withColumn("own_to_set", _r4(F.try_divide(F.col("price"), F.col("set_mean")))).withColumn("position", r6(F.col("_below") / F.col("n_competitors"))).drop("_below")
 
 
 def labels(snapshot: DataFrame, series: list[str], day: str, price: str, record: str, horizons: tuple[int, ...] = (1, 3, 7, 14), flat: float = 0.02) -> DataFrame:

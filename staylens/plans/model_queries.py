@@ -302,7 +302,7 @@ def competitor_sets(spark, sf_dir):
     return features.competitor_set(events_warehouse(spark, sf_dir).hotels)
 
 
-_DAYP = f"{_SETS}, dp AS (SELECT hotel_id, crawl_date, round(avg(price_per_night), 6) AS price, round(avg(is_sold_out::int), 6) AS sold_out_share FROM observations GROUP BY 1, 2 HAVING avg(price_per_night) IS NOT NULL), sf AS (SELECT d.hotel_id, d.crawl_date, d.price, count(*) AS n_competitors, round(avg(o.price), 4) AS set_mean, round(quantile_cont(o.price, 0.5), 6) AS set_median, min(o.price) AS set_min, max(o.price) AS set_max, round(avg(o.sold_out_share), 4) AS set_sold_out_share, round(d.price / nullif(round(avg(o.price), 4), 0), 4) AS own_to_set, round(count(*) FILTER (o.price < d.price)::double / count(*), 6) AS position FROM dp d JOIN cs USING (hotel_id) JOIN dp o ON o.hotel_id = competitor_id AND o.crawl_date = d.crawl_date GROUP BY 1, 2, 3)"
+_DAYP = f"{_SETS}, dp AS (SELECT hotel_id, crawl_date, round(avg(price_per_night), 6) AS price, round(avg(is_sold_out::int), 6) AS sold_out_share FROM observations GROUP BY 1, 2 HAVING avg(price_per_night) IS NOT NULL), sf AS (SELECT d.hotel_id, d.crawl_date, d.price, count(*) AS n_competitors, round(avg(o.price) + 1e-9, 4) AS set_mean, round(quantile_cont(o.price, 0.5), 6) AS set_median, min(o.price) AS set_min, max(o.price) AS set_max, round(avg(o.sold_out_share) + 1e-9, 4) AS set_sold_out_share, round(d.price / nullif(round(avg(o.price) + 1e-9, 4), 0) + 1e-9, 4) AS own_to_set, round(count(*) FILTER (o.price < d.price)::double / count(*), 6) AS position FROM dp d JOIN cs USING (hotel_id) JOIN dp o ON o.hotel_id = competitor_id AND o.crawl_date = d.crawl_date GROUP BY 1, 2, 3)"
 
 
 def _compared(spark, sf_dir) -> DataFrame:
