@@ -44,16 +44,16 @@ TIERS = {
     "standard": ["standard", "tiêu chuẩn", "tieu chuan"],
 }
 # Patterns of room conditions and page texts.
-BREAKFAST = "(?i)bao gồm bữa sáng|bao bữa sáng|breakfast included"
-FREE_CANCEL = "(?i)miễn phí hủy|hủy miễn phí|free cancellation"
-PAID_CANCEL = r"(?i)không hoàn tiền|phí hủy[:\s]|non-?refundable"
-CANCEL_WORD = "(?i)hủy|hoàn tiền|refund|cancellation"
-ROOMS_LEFT = r"(?i)còn\s+(\d+)\s*(?:căn|phòng)"
+BREAKFAST = "(?iu)bao gồm bữa sáng|bao bữa sáng|breakfast included"
+FREE_CANCEL = "(?iu)miễn phí hủy|hủy miễn phí|free cancellation"
+PAID_CANCEL = r"(?iu)không hoàn tiền|phí hủy[:\s]|non-?refundable"
+CANCEL_WORD = "(?iu)hủy|hoàn tiền|refund|cancellation"
+ROOMS_LEFT = r"(?iu)còn\s+(\d+)\s*(?:căn|phòng)"
 TAX_LABEL = "(?:thuế và phí|thuế, phí|taxes and fees)"
-TAX_IN = "(?i)đã bao gồm thuế và phí|includes taxes and fees"
-TAX_OUT = "(?i)chưa bao gồm thuế và phí|excludes taxes and fees"
-DISCOUNT = r"(?i)(?:ti[ếe]t ki[ệe]m|gi[aả]m)\s+(\d+)%"
-BADGE = r"(?is)(?=.*(?:tiết kiệm|ưu đãi)).*?(\d+)\s*%"
+TAX_IN = "(?iu)đã bao gồm thuế và phí|includes taxes and fees"
+TAX_OUT = "(?iu)chưa bao gồm thuế và phí|excludes taxes and fees"
+DISCOUNT = r"(?iu)(?:ti[ếe]t ki[ệe]m|gi[aả]m)\s+(\d+)%"
+BADGE = r"(?isu)(?=.*(?:tiết kiệm|ưu đãi)).*?(\d+)\s*%"
 CAPTCHA = "captcha|verify you are human|xác minh bạn là người"
 BLOCKED = "access denied|request blocked|automated traffic"
 NETWORK = "timeout|timed out|err_internet_disconnected|err_name_not_resolved|err_network_changed|err_connection_timed_out|err_connection_reset|err_connection_closed|dns_probe_finished_no_internet|failed to establish a new connection|temporary failure in name resolution"
@@ -191,8 +191,8 @@ def price_number(text: str | Column) -> Column:
 def tax_info(text: str | Column) -> Column:
     """Struct of price_includes_tax and the tax amount told apart."""
     t = F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\s+", " "))
-    added = rf"(?i)\+\s*VND\s*([\d.,]+)[^\d]{{0,30}}{TAX_LABEL}"
-    after = rf"(?i){TAX_LABEL}[^\d]{{0,30}}VND\s*([\d.,]+)"
+    added = rf"(?iu)\+\s*VND\s*([\d.,]+)[^\d]{{0,30}}{TAX_LABEL}"
+    after = rf"(?iu){TAX_LABEL}[^\d]{{0,30}}VND\s*([\d.,]+)"
     amount = F.coalesce(found(t, after), found(t, added))
     return F.struct(F.when(t.rlike(TAX_IN), True).when(t.rlike(TAX_OUT) | t.rlike(added), False).alias("price_includes_tax"), price_number(amount).alias("taxes_fees"))
 

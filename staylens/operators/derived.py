@@ -7,12 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import count_if, quantile, r6, rate
+from ..functions.stats import count_if, n_rows, quantile, r6, rate
 from ..functions.text import hotel_slug
 from ..functions.timeaxis import MINUTE_BUCKETS, UNKNOWN, minute_bucket
 from ..sources.bindings import STATUSES
 
-N = F.count(F.lit(1))
 
 
 def count_faults(counts: DataFrame) -> DataFrame:
@@ -31,14 +30,14 @@ def status_presence(counts: DataFrame) -> DataFrame:
 
 
 def pivoted_status(items: DataFrame, *by: str) -> DataFrame:
-    out = items.groupBy(*by).pivot("status", STATUSES).agg(N).fillna(0, STATUSES)
+    out = items.groupBy(*by).pivot("status", STATUSES).agg(n_rows()).fillna(0, STATUSES)
     out = out.select(*by, *[F.col(s).alias(f"n_{s}") for s in STATUSES])
     return out.withColumn("n_items", sum((F.col(f"n_{s}") for s in STATUSES), F.lit(0)))
 
 
 def anchored_coverage(items: DataFrame, *by: str, day: str = "crawl_date") -> DataFrame:
     """Items, distinct days, and the list of days."""
-    return items.groupBy(*by).agg(N.alias("n_items"), F.countDistinct(day).alias("n_anchor_dates"), F.array_join(F.array_sort(F.collect_set(F.col(day).cast("string"))), ",").alias("anchor_dates"))
+    return items.groupBy(*by).agg(n_rows().alias("n_items"), F.countDistinct(day).alias("n_anchor_dates"), F.array_join(F.array_sort(F.collect_set(F.col(day).cast("string"))), ",").alias("anchor_dates"))
 
 
 def null_taxonomy(missing: DataFrame, rules: DataFrame) -> DataFrame:
@@ -73,24 +72,24 @@ def required_nulls(missing: DataFrame, required: list[str], exempt: dict[str, li
 
 
 def turnover_joint(facts: DataFrame) -> DataFrame:
-    return facts.groupBy("n_observed_days", "max_gap_days").agg(N.alias("n_series"))
+    return facts.groupBy("n_observed_days", "max_gap_days").agg(n_rows().alias("n_series"))
 
 
 def readiness_by_horizon(facts: DataFrame, horizons: tuple[int, ...] = (1, 3, 7, 14)) -> DataFrame:
     """Series and pairs for each horizon; labels are null until they are built."""
-    wide = facts.agg(N.alias("n_series"), *[F.count_if(F.col(f"n_pairs_h{k}") > 0).alias(f"s{k}") for k in horizons], *[F.coalesce(F.sum(f"n_pairs_h{k}"), F.lit(0)).alias(f"p{k}") for k in horizons])
+    wide = facts.agg(n_rows().alias("n_series"), *[F.count_if(F.col(f"n_pairs_h{k}") > 0).alias(f"s{k}") for k in horizons], *[F.coalesce(F.sum(f"n_pairs_h{k}"), F.lit(0)).alias(f"p{k}") for k in horizons])
     each = F.array(*[F.struct(F.lit(k).alias("horizon_days"), F.col(f"s{k}").alias("n_series_ready"), F.col(f"p{k}").alias("n_pairs")) for k in horizons])
     return wide.select("n_series", F.explode(each).alias("x")).select("x.horizon_days", "n_series", "x.n_series_ready", "x.n_pairs", F.lit(None).cast("long").alias("n_labels"))
 
 
 def turnover_by_days(facts: DataFrame) -> DataFrame:
-    out = facts.groupBy("n_observed_days").agg(N.alias("n_series"), F.sum("n_reappearance_events").alias("n_reappearances"), r6(F.avg("span_days")).alias("mean_span_days"), r6(F.avg(F.col("n_observed_days") / F.col("span_days"))).alias("mean_observed_fraction"))
+    out = facts.groupBy("n_observed_days").agg(n_rows().alias("n_series"), F.sum("n_reappearance_events").alias("n_reappearances"), r6(F.avg("span_days")).alias("mean_span_days"), r6(F.avg(F.col("n_observed_days") / F.col("span_days"))).alias("mean_observed_fraction"))
     return out.withColumn("reappearance_rate", r6(rate("n_reappearances", "n_series")))
 
 
 def share_of(df: DataFrame, label: str | Column, name: str) -> DataFrame:
     """Rows by a label and their share of all; the total is taken over the labels, not the rows."""
-    counts = df.groupBy((F.col(label) if isinstance(label, str) else label).alias(name)).agg(N.alias("n"))
+    counts = df.groupBy((F.col(label) if isinstance(label, str) else label).alias(name)).agg(n_rows().alias("n"))
     return counts.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))))
 
 
@@ -101,7 +100,7 @@ OUTCOMES = ["success", "partial", "sold_out", "not_bookable", "error", "missing"
 
 def continuity(rows: DataFrame, *by: str) -> DataFrame:
     """Scheduled items by outcome."""
-    out = rows.groupBy(*by).pivot("outcome", OUTCOMES).agg(N).fillna(0, OUTCOMES)
+    out = rows.groupBy(*by).pivot("outcome", OUTCOMES).agg(n_rows()).fillna(0, OUTCOMES)
     return out.select(*by, *[F.col(o).alias(f"n_{o}") for o in OUTCOMES]).withColumn("n_scheduled", sum((F.col(f"n_{o}") for o in OUTCOMES), F.lit(0)))
 
 
@@ -122,10 +121,15 @@ def operational_flags(daily: DataFrame, measures: list[str], least_days: int = 3
 
 
 def expected_schedule(plan: DataFrame, members: DataFrame, first: Column, last: Column) -> DataFrame:
-    """What should have been collected: plan rows by the members of the cohort on that day, in the window of days. members: hotel_id, effective_from, effective_until."""
+    """What should have been collected: plan rows by the members of the cohort on that day, in the window of days. members: hotel_id, effective_from, effective_until.
+
+    The version of a day is looked up among the versions, a row each; plan and members then meet by version.
+    """
     held = (F.col("crawl_date") >= F.col("effective_from")) & (F.col("effective_until").isNull() | (F.col("crawl_date") < F.col("effective_until")))
     days = plan.filter((F.col("crawl_date") >= first) & (F.col("crawl_date") <= last))
-    return days.join(F.broadcast(members), held).select(F.col("owner_source").alias("source_code"), "crawl_date", "checkin_date", "hotel_id")
+    versions = members.select("effective_from", "effective_until").distinct()
+    dated = days.join(F.broadcast(versions), held).drop("effective_until")
+    return dated.join(members.select("hotel_id", "effective_from"), "effective_from").select(F.col("owner_source").alias("source_code"), "crawl_date", "checkin_date", "hotel_id")
 
 
 SCHEDULE_KEY = ["source_code", "crawl_date", "checkin_date", "hotel_id"]
@@ -135,7 +139,7 @@ def classify_schedule(expected: DataFrame, actual: DataFrame, runs: DataFrame) -
     """Outcome of each expected item: its status, or missing for want of a run or of the item in a run that was."""
     have = runs.select("source_code", "crawl_date", F.lit(True).alias("_ran")).distinct()
     got = actual.select(*SCHEDULE_KEY, F.col("status").alias("_status"))
-    rows = expected.join(got, SCHEDULE_KEY, "left").join(F.broadcast(have), ["source_code", "crawl_date"], "left")
+    rows = expected.join(got, SCHEDULE_KEY, "left").join(have, ["source_code", "crawl_date"], "left")
     why = F.when(F.col("_status").isNull(), F.when(F.col("_ran").isNull(), "missing_source_run").otherwise("missing_item_in_existing_run"))
     return rows.select(*SCHEDULE_KEY, F.coalesce("_status", F.lit("missing")).alias("outcome"), why.alias("missing_reason"))
 
@@ -156,19 +160,19 @@ def effective_hotel(items: DataFrame, members: DataFrame, slugs: DataFrame, firs
 
 
 def status_matrix(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("status_a", "status_b").agg(N.alias("n_pairs"))
+    return pairs.groupBy("status_a", "status_b").agg(n_rows().alias("n_pairs"))
 
 
 def concordance(pairs: DataFrame) -> DataFrame:
     both = (F.col("status_a") == "success") & (F.col("status_b") == "success")
-    out = pairs.agg(N.alias("n_pairs"), count_if(F.col("status_a") == F.col("status_b")).alias("n_same"), count_if(both).alias("n_both_success"))
+    out = pairs.agg(n_rows().alias("n_pairs"), count_if(F.col("status_a") == F.col("status_b")).alias("n_same"), count_if(both).alias("n_both_success"))
     return out.withColumn("same_rate", r6(rate("n_same", "n_pairs")))
 
 
 def by_minutes(rows: DataFrame, minutes: Column, more: dict[str, Column] | None = None) -> DataFrame:
     """Rows by how far apart in time they are; all buckets are listed."""
     every = rows.sparkSession.createDataFrame([(b, i + 1) for i, b in enumerate(MINUTE_BUCKETS)], "minute_bucket string, bucket_order int")
-    got = rows.groupBy(minute_bucket(minutes).alias("minute_bucket")).agg(N.alias("n"), *[c.alias(n) for n, c in (more or {}).items()])
+    got = rows.groupBy(minute_bucket(minutes).alias("minute_bucket")).agg(n_rows().alias("n"), *[c.alias(n) for n, c in (more or {}).items()])
     return every.join(got, "minute_bucket", "left").fillna(0, ["n", *(more or {})])
 
 
@@ -192,15 +196,15 @@ def paired_options(pairs: DataFrame, options: DataFrame, option_key: list[str],
 
 def option_coverage(pairs: DataFrame, options: DataFrame, option_key: list[str]) -> DataFrame:
     """For each pair of items the distinct options of either, those shared, and how many keys are ambiguous."""
-    per = options.groupBy("item_id", *option_key).agg(N.alias("_n"))
+    per = options.groupBy("item_id", *option_key).agg(n_rows().alias("_n"))
     rows = pairs.select("item_id_a", "item_id_b", F.explode(F.array(*[F.struct(F.col(f"item_id_{s}").alias("item_id"), F.lit(s).alias("side")) for s in "ab"])).alias("x")).select("item_id_a", "item_id_b", "x.*")
     keys = rows.join(per, "item_id").groupBy("item_id_a", "item_id_b", *option_key).agg(count_if(F.col("side") == "a").alias("_a"), count_if(F.col("side") == "b").alias("_b"), F.max("_n").alias("_n"))
-    out = keys.groupBy("item_id_a", "item_id_b").agg(F.sum("_a").alias("n_options_a"), F.sum("_b").alias("n_options_b"), F.count_if((F.col("_a") > 0) & (F.col("_b") > 0)).alias("n_shared"), N.alias("n_union"), F.count_if(F.col("_n") > 1).alias("n_ambiguous"))
+    out = keys.groupBy("item_id_a", "item_id_b").agg(F.sum("_a").alias("n_options_a"), F.sum("_b").alias("n_options_b"), F.count_if((F.col("_a") > 0) & (F.col("_b") > 0)).alias("n_shared"), n_rows().alias("n_union"), F.count_if(F.col("_n") > 1).alias("n_ambiguous"))
     return out.withColumn("jaccard", r6(rate("n_shared", "n_union")))
 
 
 def option_summary(detail: DataFrame, fields: list[str]) -> DataFrame:
-    return detail.agg(N.alias("n_options"), F.count_if(F.col("abs_diff") == 0).alias("n_equal_price"), r6(quantile("abs_diff", 0.5)).alias("median_abs_diff"), r6(F.avg("abs_diff")).alias("mean_abs_diff"), r6(F.max("abs_diff")).alias("max_abs_diff"), r6(quantile("rel_diff", 0.5)).alias("median_rel_diff"), *[r6(F.avg(F.col(f"same_{c}").cast("double"))).alias(f"same_{c}_rate") for c in fields])
+    return detail.agg(n_rows().alias("n_options"), F.count_if(F.col("abs_diff") == 0).alias("n_equal_price"), r6(quantile("abs_diff", 0.5)).alias("median_abs_diff"), r6(F.avg("abs_diff")).alias("mean_abs_diff"), r6(F.max("abs_diff")).alias("max_abs_diff"), r6(quantile("rel_diff", 0.5)).alias("median_rel_diff"), *[r6(F.avg(F.col(f"same_{c}").cast("double"))).alias(f"same_{c}_rate") for c in fields])
 
 
 # --- duplicates
@@ -208,7 +212,7 @@ def option_summary(detail: DataFrame, fields: list[str]) -> DataFrame:
 
 def duplicate_summary(groups: DataFrame) -> DataFrame:
     """Duplicate groups and their extra rows by source and city, with (all) rows for either and both."""
-    out = groups.cube("source_code", "city").agg(N.alias("n_groups"), F.sum(F.col("n_rows") - 1).alias("n_extra"), F.max("n_rows").alias("largest_group"), F.grouping("source_code").alias("_s"), F.grouping("city").alias("_c"))
+    out = groups.cube("source_code", "city").agg(n_rows().alias("n_groups"), F.sum(F.col("n_rows") - 1).alias("n_extra"), F.max("n_rows").alias("largest_group"), F.grouping("source_code").alias("_s"), F.grouping("city").alias("_c"))
     return out.select(F.when(F.col("_s") == 1, "(all)").otherwise(F.col("source_code")).alias("source_code"), F.when(F.col("_c") == 1, "(all)").otherwise(F.col("city")).alias("city"), "n_groups", "n_extra", "largest_group")
 
 
@@ -216,7 +220,7 @@ def spread_quantiles(groups: DataFrame, points: tuple[float, ...] = (0.25, 0.5,
     """Quantiles of the price spread in duplicate groups, by source and for all."""
     spread = groups.filter("min_price is not null").withColumn("abs_spread", F.col("max_price") - F.col("min_price")).withColumn("rel_spread", F.try_divide(2 * (F.col("max_price") - F.col("min_price")), F.col("max_price") + F.col("min_price")))
     at = F.array(*[F.lit(p) for p in points])
-    out = spread.rollup("source_code").agg(N.alias("n_groups"), F.percentile("abs_spread", at).alias("_a"), F.percentile("rel_spread", at).alias("_r"), F.grouping("source_code").alias("_g"))
+    out = spread.rollup("source_code").agg(n_rows().alias("n_groups"), F.percentile("abs_spread", at).alias("_a"), F.percentile("rel_spread", at).alias("_r"), F.grouping("source_code").alias("_g"))
     return out.select(F.when(F.col("_g") == 1, "(all)").otherwise(F.col("source_code")).alias("source_code"), "n_groups", *[r6(F.col("_a")[i]).alias(f"abs_p{round(p * 100)}") for i, p in enumerate(points)], *[r6(F.col("_r")[i]).alias(f"rel_p{round(p * 100)}") for i, p in enumerate(points)])
 
 
@@ -240,7 +244,7 @@ def audit_rows(chosen: DataFrame, observations: DataFrame, key: list[str], order
 
 def near_concentration(pairs: DataFrame) -> DataFrame:
     """Pairs by sources, day and hotel, with the share of their day."""
-    per = pairs.groupBy("source_a", "source_b", "crawl_date", "hotel_id").agg(N.alias("n_pairs"))
+    per = pairs.groupBy("source_a", "source_b", "crawl_date", "hotel_id").agg(n_rows().alias("n_pairs"))
     return per.withColumn("day_share", r6(F.col("n_pairs") / F.sum("n_pairs").over(Window.partitionBy("source_a", "source_b", "crawl_date"))))
 
 
@@ -273,7 +277,7 @@ def findings(parts: dict[str, tuple[str, str, DataFrame, str, DataFrame]]) -> Da
     for name, (severity, grain, bad, key, whole) in parts.items():  # the keys are a sample of five
         hit = bad.select(F.col(key).cast("string").alias("k"))
         few = hit.orderBy("k").limit(5).agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("sample_keys"))
-        counted = hit.agg(N.alias("n_found")).crossJoin(few).crossJoin(whole.agg(N.alias("denominator")))
+        counted = hit.agg(n_rows().alias("n_found")).crossJoin(few).crossJoin(whole.agg(n_rows().alias("denominator")))
         rows.append(counted.select(F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), F.lit(grain).alias("grain"), "n_found", "denominator", r6(rate("n_found", "denominator")).alias("rate"), "sample_keys"))
     return reduce(lambda a, b: a.unionByName(b), rows)
 

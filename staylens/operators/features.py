@@ -11,10 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import quantile, r6
+from ..functions.stats import n_rows, quantile, r6
 from ..functions.timeaxis import bucket
 
-N = F.count(F.lit(1))
 
 
 def daily_snapshot(obs: DataFrame, series: list[str], day: str, at: str, tie: str) -> DataFrame:
@@ -80,7 +79,7 @@ def set_features(prices: DataFrame, sets: DataFrame, day: str) -> DataFrame:
     """A hotel's day price against its set's. prices: hotel_id, day, price, sold_out_share."""
     other = prices.select(F.col("hotel_id").alias("competitor_id"), day, F.col("price").alias("_p"), F.col("sold_out_share").alias("_s"))
     rows = prices.join(sets, "hotel_id").join(other, ["competitor_id", day])
-    out = rows.groupBy("hotel_id", day, "price").agg(N.alias("n_competitors"), _r4(F.avg("_p")).alias("set_mean"), r6(quantile("_p", 0.5)).alias("set_median"), F.min("_p").alias("set_min"), F.max("_p").alias("set_max"), _r4(F.avg("_s")).alias("set_sold_out_share"), F.count_if(F.col("_p") < F.col("price")).alias("_below"))
+    out = rows.groupBy("hotel_id", day, "price").agg(n_rows().alias("n_competitors"), _r4(F.avg("_p")).alias("set_mean"), r6(quantile("_p", 0.5)).alias("set_median"), F.min("_p").alias("set_min"), F.max("_p").alias("set_max"), _r4(F.avg("_s")).alias("set_sold_out_share"), F.count_if(F.col("_p") < F.col("price")).alias("_below"))
     return out.withColumn("own_to_set", _r4(F.try_divide(F.col("price"), F.col("set_mean")))).withColumn("position", r6(F.col("_below") / F.col("n_competitors"))).drop("_below")
 
 
@@ -118,13 +117,13 @@ def metrics(df: DataFrame, actual: str, forecast: str, *by: str) -> DataFrame:
     rows = df.filter(y.isNotNull() & f.isNotNull())
     err = F.abs(y - f)
     out = rows.rollup(*by) if by else rows.groupBy()
-    wide = out.agg(N.alias("n"), F.avg((err <= 0.2 * F.abs(y)).cast("double")).alias("_acc"), F.avg(err).alias("_mae"), F.avg(err * err).alias("_mse"), F.avg(F.try_divide(err, F.abs(y))).alias("_mape"), F.avg(F.try_divide(2 * err, F.abs(y) + F.abs(f))).alias("_smape"), F.var_pop(y).alias("_var"), *[F.grouping(c).alias(f"_g_{c}") for c in by])
+    wide = out.agg(n_rows().alias("n"), F.avg((err <= 0.2 * F.abs(y)).cast("double")).alias("_acc"), F.avg(err).alias("_mae"), F.avg(err * err).alias("_mse"), F.avg(F.try_divide(err, F.abs(y))).alias("_mape"), F.avg(F.try_divide(2 * err, F.abs(y) + F.abs(f))).alias("_smape"), F.var_pop(y).alias("_var"), *[F.grouping(c).alias(f"_g_{c}") for c in by])
     keys = [F.when(F.col(f"_g_{c}") == 1, "(all)").otherwise(F.col(c).cast("string")).alias(c) for c in by]
     return wide.select(*keys, "n", r6("_acc").alias("accuracy_20"), r6("_mae").alias("mae"), r6(F.sqrt("_mse")).alias("rmse"), r6("_mape").alias("mape"), r6("_smape").alias("smape"), r6(1 - F.try_divide(F.col("_mse"), F.col("_var"))).alias("r2"))
 
 
 def direction_confusion(df: DataFrame, actual: str, forecast: str) -> DataFrame:
-    out = df.filter(F.col(actual).isNotNull() & F.col(forecast).isNotNull()).groupBy(F.col(actual).alias("actual")).pivot(forecast, ["up", "flat", "down"]).agg(N).fillna(0)
+    out = df.filter(F.col(actual).isNotNull() & F.col(forecast).isNotNull()).groupBy(F.col(actual).alias("actual")).pivot(forecast, ["up", "flat", "down"]).agg(n_rows()).fillna(0)
     return out.select("actual", *[F.col(c).alias(f"said_{c}") for c in ("up", "flat", "down")])
 
 

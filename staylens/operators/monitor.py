@@ -7,10 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import count_if, r6, rate
+from ..functions.stats import count_if, n_rows, r6, rate
 from ..functions.timeaxis import local_time
 
-N = F.count(F.lit(1))
 RANKS = ["ok", "warn", "fail"]
 
 
@@ -30,7 +29,7 @@ def overall(gates: DataFrame, key: list[str]) -> DataFrame:
 def run_monitor(runs: DataFrame, items: DataFrame, observations: DataFrame, now: Column) -> DataFrame:
     """Gates of each run: completed (or stuck for a day), item accounting, hotel coverage against the source's run before, URL and date, error share, missing prices, price sanity."""
     per_item = items.groupBy("run_id").agg(
-        N.alias("n_items"), F.countDistinct("hotel_id").alias("n_hotels"), F.count_if(F.col("status") == "error").alias("n_error"), F.count_if(F.col("status").isin("success", "partial", "sold_out", "not_bookable", "error")).alias("n_terminal"),
+        n_rows().alias("n_items"), F.countDistinct("hotel_id").alias("n_hotels"), F.count_if(F.col("status") == "error").alias("n_error"), F.count_if(F.col("status").isin("success", "partial", "sold_out", "not_bookable", "error")).alias("n_terminal"),
         count_if(~F.contains(F.col("link"), F.concat(F.lit("checkin="), F.col("checkin_date").cast("string")))).alias("n_url_wrong"), count_if(F.col("error_code").isNull() & (F.col("status") == "error")).alias("n_no_code"),
     )
     per_obs = observations.join(items.select("item_id", "run_id"), "item_id").groupBy("run_id").agg(count_if(~F.col("is_sold_out") & F.col("price_per_night").isNull()).alias("n_price_null"), count_if(F.col("price_per_night") <= 0).alias("n_price_bad"))
@@ -59,19 +58,19 @@ def indexed_price_stats(obs: DataFrame, by: str) -> DataFrame:
     lo, hi = F.greatest(F.lit(0), F.floor(F.col("_n") * 0.05) - 1), F.least(F.col("_n") - 1, F.floor(F.col("_n") * 0.95))
     mid = (F.col("_i") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_i") == F.floor(F.col("_n") / 2))
     at = lambda c: F.max(F.when(c, F.col("price_per_night")))
-    return ranked.groupBy(by).agg(N.alias("n"), r6(at(F.col("_i") == lo)).alias("p5"), r6(F.avg(F.when(mid, F.col("price_per_night")))).alias("median"), r6(at(F.col("_i") == hi)).alias("p95"))
+    return ranked.groupBy(by).agg(n_rows().alias("n"), r6(at(F.col("_i") == lo)).alias("p5"), r6(F.avg(F.when(mid, F.col("price_per_night")))).alias("median"), r6(at(F.col("_i") == hi)).alias("p95"))
 
 
 def dead_link_split(items: DataFrame, evidence: str) -> DataFrame:
     """Dead links with confirmed evidence in their JSON, and legacy ones without."""
     confirmed = F.coalesce(F.get_json_object(evidence, "$.confirmed") == "true", F.lit(False))
-    return items.groupBy(F.when(confirmed, "confirmed").otherwise("legacy").alias("evidence")).agg(N.alias("n_items"), F.countDistinct("link").alias("n_links"))
+    return items.groupBy(F.when(confirmed, "confirmed").otherwise("legacy").alias("evidence")).agg(n_rows().alias("n_items"), F.countDistinct("link").alias("n_links"))
 
 
 def sampling_audit(runs: DataFrame, items: DataFrame) -> DataFrame:
     """Each run's audit: off schedule (outside 21:30 to 22:30 local), mixed versions, and the share of items that ended well."""
     minute = F.hour(local_time("started_at")) * 60 + F.minute(local_time("started_at"))
-    per = items.groupBy("run_id").agg(N.alias("n_items"), F.countDistinct("selector_version").alias("n_versions"), F.count_if(F.col("status") == "success").alias("n_success"), F.countDistinct("checkin_date").alias("n_nights"))
+    per = items.groupBy("run_id").agg(n_rows().alias("n_items"), F.countDistinct("selector_version").alias("n_versions"), F.count_if(F.col("status") == "success").alias("n_success"), F.countDistinct("checkin_date").alias("n_nights"))
     out = runs.join(per, "run_id", "left").fillna(0, ["n_items", "n_versions", "n_success", "n_nights"])
     return out.select("run_id", "n_items", "n_nights", (~minute.between(21 * 60 + 30, 22 * 60 + 30)).alias("off_schedule"), (F.col("n_versions") > 1).alias("mixed_versions"), r6(rate("n_success", "n_items")).alias("success_rate"))
 
@@ -79,7 +78,7 @@ def sampling_audit(runs: DataFrame, items: DataFrame) -> DataFrame:
 def progress(items: DataFrame) -> DataFrame:
     """Percent of each run's items that ended, and the latest of them."""
     ended = F.col("status").isin("success", "partial", "sold_out", "not_bookable", "error")
-    out = items.groupBy("run_id").agg(N.alias("n_items"), F.count_if(ended).alias("n_done"), F.max_by("item_id", F.struct("finished_at", "item_id")).alias("latest_item"))
+    out = items.groupBy("run_id").agg(n_rows().alias("n_items"), F.count_if(ended).alias("n_done"), F.max_by("item_id", F.struct("finished_at", "item_id")).alias("latest_item"))
     return out.withColumn("percent", r6(100 * rate("n_done", "n_items")))
 
 
@@ -87,7 +86,7 @@ def streaks(days: DataFrame, key: list[str], day: str, dead: str, review_at: int
     """Runs of consecutive dead days; a living day or a gap ends one. One row for each, with whether it needs review. days: one row a key and day."""
     number = F.row_number().over(Window.partitionBy(*key).orderBy(day))
     dead_days = days.filter(F.col(dead)).withColumn("_island", F.date_sub(F.col(day), number))
-    out = dead_days.groupBy(*key, "_island").agg(F.min(day).alias("streak_start"), N.alias("streak_days"))
+    out = dead_days.groupBy(*key, "_island").agg(F.min(day).alias("streak_start"), n_rows().alias("streak_days"))
     return out.drop("_island").withColumn("needs_review", F.col("streak_days") >= review_at)
 
 

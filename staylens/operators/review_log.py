@@ -71,7 +71,7 @@ def violations(log: DataFrame, sources: list[str]) -> DataFrame:
     stale = closing.join(closed, (F.col("target_review_id") == F.col("_review")) & (F.col("_closed") < F.col("sequence")))
     keys = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["source_code"], x["record_id"], x["fingerprint"])))
     before = Window.partitionBy(*MEMBER).orderBy("sequence")
-    each = member_events(log).withColumn("_last", F.lag("action").over(before))
+    each = member_events(log).dropDuplicates(["sequence", *MEMBER]).withColumn("_last", F.lag("action").over(before))
     parts = [
         told(linked.filter(F.col("_before").isNull() & (F.col("sequence") != 1)), "sequence_gap"),
         told(log.groupBy("sequence").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sequence_repeated"),
