@@ -95,3 +95,18 @@ def numbered(df: DataFrame, priority: str, pk: str, name: str = "warehouse_id",
     before = sizes.select(priority, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy(priority, "_chunk").orderBy(pk))
     return cut.withColumn("_k", within).join(before, [priority, "_chunk"]).withColumn(name, F.col("_before") + F.col("_k")).drop("_chunk", "_before", "_k")
+
+
+def observation_fingerprint(columns: list[str]) -> Column:
+    """Hash of an observation's immutable columns, taken before ids change; whole prices print as integers."""
+    told = [F.when(F.col(c) == F.floor(c), F.col(c).cast("bigint").cast("string")).otherwise(F.col(c).cast("string")).alias(c) if c.startswith("price") else F.col(c) for c in sorted(columns)]
+    return F.sha2(F.to_json(F.struct(*told), {"ignoreNullFields": "false"}), 256)
+
+
+def plan_row_key(source: str, crawl: str, slot: str, checkin: str) -> Column:
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return json_hash(owner_source=F.col(source), crawl_date=day(crawl), schedule_slot=F.col(slot), checkin_date=day(checkin))
+
+
+def plan_day_key(source: str, crawl: str) -> Column:
+    return json_hash(owner_source=F.col(source), crawl_date=F.date_format(crawl, "yyyy-MM-dd"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +85,8 @@ def preview_members(obs: DataFrame, hotel: object = None, room_key: str | None =
     if high is not None:
         out = out.filter(F.col("price_per_night") <= high)
     return out
+
+
+def config_hash(config: dict | None = None) -> str:
+    """sha256 of the thresholds as JSON, to be kept beside the signals they gave."""
+    return hashlib.sha256(json.dumps(config or CONFIG, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

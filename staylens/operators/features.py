@@ -194,3 +194,15 @@ def booking_timing(rows: DataFrame, series: list[str], day: str, price: str, for
 def position_alerts(compared: DataFrame, most: float = 0.2) -> DataFrame:
     """Days on which a hotel's price is far from its set's."""
     return compared.filter(F.abs(F.col("own_to_set") - 1) >= most).withColumn("alert", F.when(F.col("own_to_set") > 1, "above_set").otherwise("below_set"))
+
+
+def external_context(df: DataFrame, weather: DataFrame, arrivals: DataFrame, day: str, city: str = "city") -> DataFrame:
+    """Adds the weather forecast of the day and the arrivals of its month before, by city. Nothing measured after the day is used.
+
+    weather: city, day, issued_on and measures; the last one issued up to the row's day counts. arrivals: city, month (its first day), arrivals.
+    """
+    w = weather.withColumnRenamed("day", "_day").filter(F.col("issued_on") <= F.col("_day"))
+    latest = w.groupBy("city", "_day").agg(F.max_by(F.struct(*[c for c in w.columns if c not in ("city", "_day")]), "issued_on").alias("weather"))
+    known = arrivals.select(F.col("city"), F.add_months("month", 1).alias("_month"), F.col("arrivals").alias("arrivals_last_month"))
+    out = df.withColumn("_day", F.col(day)).withColumn("_month", F.trunc(day, "month").cast("date"))
+    return out.join(latest, [city, "_day"], "left").join(known, [city, "_month"], "left").drop("_day", "_month")
