@@ -3,7 +3,7 @@
 import random
 
 _r = random.Random(7)
-_w = ["".join(_r.choices("etaoinshrdlu", k=_r.randint(1, 9))) for _ in range(300)]
+_w = ["".join(_r.choices(["the", "and", "ing", "tion", "er", "an", "re", "on", "es", "ment", "for", "in"], k=_r.randint(1, 3))) for _ in range(300)]
 
 
 def prose(n, seed):
