@@ -30,6 +30,7 @@ _SL, _SN, _SO, _SA1, _SA2, _SPM, _SWM, _SPL, _SWL, _RESET = range(10)
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _BLOCK = 128
 _CACHE = 400_000
+_SLICE = 1 << 20
 _NEVER = 1 << 62
 
 
@@ -220,7 +221,7 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
 def _encode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = _spelling(path)[2]
     for whole in batches:
-        for batch in pieces(whole, whole.schema.names[1], 4 << 20):
+        for batch in pieces(whole, "text", _SLICE):
             ids, counts = encode_texts(str_texts(batch.column(1)), path)
             ends = np.cumsum(size[ids])
             first = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])[:-1]]
@@ -233,7 +234,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     docs has doc_id and text; further columns are left alone. Null and empty texts have no ids, null doc_ids stay null,
     repeated rows each give a row. path: a file of ranks that the workers can read. A text of any length is taken
-    whole; the work needs memory in proportion to the longest text or 4 MB, whichever is more.
+    whole; the work needs memory in proportion to the longest text or 1 MB, whichever is more.
     """
     docs = docs.select("doc_id", "text")
     schema = T.StructType([field(docs, "doc_id"), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))])
@@ -268,3 +269,10 @@ def _decode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds `decoded`, the bytes that ids spell, to the result of encode()."""
     return encoded.mapInArrow(lambda it: _decode(path, it), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """decode(encode(docs)) in one Python worker, so that ids are not sent out and back in between."""
+    docs = docs.select("doc_id", "text")
+    schema = T.StructType([field(docs, "doc_id"), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    return docs.mapInArrow(lambda it: _decode(path, _encode(path, it)), schema)

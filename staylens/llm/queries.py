@@ -25,7 +25,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS), BYTE_RANKS)
+    decoded = byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
