@@ -146,7 +146,7 @@ MEASURES = [
 
 def _score(rules: Rules, keep: list[str], only_kept: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in pieces(whole, "text", 4 << 20):
+        for batch in pieces(whole, "text", 1 << 20):
             text, lang = batch.column("text"), batch.column("lang").to_pylist()
             rows = list(_measures(rules, str_texts(text), raw_texts(text), lang))
             made = [pa.array([r[i] for r in rows], kind) for i, (_, _, kind) in enumerate(MEASURES)]
