@@ -51,14 +51,15 @@ def run_monitor(runs: DataFrame, items: DataFrame, observations: DataFrame, now:
 def indexed_price_stats(obs: DataFrame, by: str) -> DataFrame:
     """n, p5 and p95 by index in sorted order (not interpolated) and the interpolated median: the monitor's own rule.
 
-    Ranks come from a window, so no group is gathered into one value.
+    Equal prices are counted first, so what is ordered within a group is its distinct prices, not its rows.
     """
-    w = Window.partitionBy(by).orderBy("price_per_night")
-    ranked = obs.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(by)))
+    counts = obs.groupBy(by, "price_per_night").agg(n_rows().alias("_c"))
+    upto = Window.partitionBy(by).orderBy("price_per_night").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_to", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(by)))
+    at = lambda k: F.max(F.when((F.col("_to") - F.col("_c") <= k) & (k < F.col("_to")), F.col("price_per_night")))
     lo, hi = F.greatest(F.lit(0), F.floor(F.col("_n") * 0.05) - 1), F.least(F.col("_n") - 1, F.floor(F.col("_n") * 0.95))
-    mid = (F.col("_i") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_i") == F.floor(F.col("_n") / 2))
-    at = lambda c: F.max(F.when(c, F.col("price_per_night")))
-    return ranked.groupBy(by).agg(n_rows().alias("n"), r6(at(F.col("_i") == lo)).alias("p5"), r6(F.avg(F.when(mid, F.col("price_per_night")))).alias("median"), r6(at(F.col("_i") == hi)).alias("p95"))
+    mid = (at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2
+    return ranked.groupBy(by).agg(F.max("_n").alias("n"), r6(at(lo)).alias("p5"), r6(mid).alias("median"), r6(at(hi)).alias("p95"))
 
 
 def dead_link_split(items: DataFrame, evidence: str) -> DataFrame:
