@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, raw_texts, shared_dir
+from .common import pieces, raw_texts, shared_dir, write_shared
 
 VERSION = b"WARC/1.0\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -253,25 +253,27 @@ def _read(folder: str, with_payload: bool, batches: Iterator[pa.RecordBatch]) ->
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(_KINDS)], _READ.names)
 
 
-def read_archives(spark: SparkSession, folder: str, paths: list[str] | None = None, with_payload: bool = True) -> DataFrame:
-    """One row for each record and each quarantined gap in the WARC files (plain or gzip) of a folder, or in those named.
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths of the files below a folder."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    paths = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if x.is_file and not x.base_name.startswith("."))
+    return spark.createDataFrame([(p,) for p in paths], "path string")
+
+
+def read_archives(folder: str, files: DataFrame, with_payload: bool = True, most_tasks: int = 100_000) -> DataFrame:
+    """One row for each record and each quarantined gap in the WARC files (plain or gzip) of a folder. files: their paths.
 
     A gap has a reason in `gap` and nothing from record_type on. A response's digest and size are those of the payload
-    that was read; a revisit's are told by its header. Files are dealt out one by one; a local one is mapped, any other is read
-    into the worker's memory.
+    that was read; a revisit's are told by its header. Files are dealt out one by one, to most_tasks tasks at most; a
+    local one is mapped, any other is read into the worker's memory.
     """
-    if paths is None:
-        fs, base = pafs.FileSystem.from_uri(folder)
-        paths = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if x.is_file and not x.base_name.startswith("."))
-    files = spark.createDataFrame([(p,) for p in paths], "path string")
-    return files.repartition(max(1, len(paths))).mapInArrow(lambda it: _read(folder, with_payload, it), _READ)
+    return files.select("path").repartition(max(1, min(files.count(), most_tasks)), "path").mapInArrow(lambda it: _read(folder, with_payload, it), _READ)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write pages as archives to the shared folder and read those back: page_id (as pages has it) and what read_archives() tells."""
-    spark, folder = pages.sparkSession, shared_dir(pages.sparkSession)
-    manifest = write_archives(pages, folder, least_bytes).collect()  # a row for each file
-    read = read_archives(spark, folder, [r.path for r in manifest], with_payload=False)
+    folder = shared_dir(pages.sparkSession)
+    read = read_archives(folder, write_shared(write_archives(pages, folder, least_bytes)), with_payload=False)
     kind = pages.schema["page_id"].dataType
     name = lambda x: F.when(F.col(x) != "", F.col(x)).cast(kind)
     return read.select(name("record_name").alias("page_id"), "payload_bytes", "payload_digest", "record_type", name("refers_to").alias("refers_to"), "gap", "file", "start", "end", "url")
