@@ -25,7 +25,7 @@ def oracle():
 
 
 def _cell(v):
-    if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
         return None
     if hasattr(v, "isoformat"):
         return pd.Timestamp(v).isoformat()
