@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -69,3 +70,28 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
 def field(df: DataFrame, name: str, kind: T.DataType | None = None) -> T.StructField:
     """The named column as a nullable field for an output schema."""
     return T.StructField(name, kind or df.schema[name].dataType, True)
+
+
+def row_key() -> Column:
+    """A 128-bit digest of doc_id and text: rows that share it are repeats. A null text reads as empty, a null doc_id as no other."""
+    name = F.col("doc_id").cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(F.length(name), F.lit(-1)).cast("string"), F.lit(" "), F.coalesce(name, F.lit("")), F.coalesce("text", F.lit("")))))
+
+
+def keep_first(docs: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame:
+    """The row of the smallest doc_id of each component, one if it is repeated; a null doc_id comes last.
+
+    found: _row (see row_key), doc_id and key of each row of docs; labels: key and label of keys linked to others. What
+    goes is written as row keys alone, so that Spark sees its size before it chooses how to join.
+    """
+    firsts = found.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row")).alias("first"))
+    classes = write_shared(firsts.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
+    stands = classes.groupBy("label").agg(F.min("first")["_row"].alias("stands"))
+    judged = write_shared(found.join(classes.join(stands, "label").select("key", "stands"), "key").select("_row", (F.col("_row") == F.col("stands")).alias("stays")))
+    gone = write_shared(judged.filter(~F.col("stays")).select(F.col("_row").alias("_gone")).distinct())
+    again = write_shared(judged.filter("stays").groupBy(F.col("_row").alias("_again")).count().filter("count > 1").select("_again"))
+    kept = docs.withColumn("_row", row_key()).join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    if again.isEmpty():
+        return kept.drop("_row")
+    same = F.col("_row") == F.col("_again")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["_row"])).drop("_row")
