@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, pieces, raw_texts, write_shared
+from .common import field, keep_first, pieces, raw_texts, row_key, write_shared
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEGMENTS, LINK_BITS, SEED = 5, 2, 42
@@ -137,28 +137,17 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return found.join(classes.select("fp", "label").join(ids, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _with_prints(width: int, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _row_prints(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, "text"):
             prints = pa.array([fingerprint(x, width) for x in raw_texts(batch.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), prints], [*names, "_fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), prints], ["_row", "doc_id", "key"])
 
 
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One row of each component, that of the smallest doc_id, with all columns of docs.
-
-    Rows of one doc_id count as one. Of rows without a doc_id one of each fingerprint stays, unless its component has a
-    doc_id. What goes is written as ids alone, so that Spark sees its size before it chooses how to join.
-    """
-    names = docs.columns
-    near = write_shared(near_duplicates(docs, width))
-    known = near.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stands"), F.count(F.lit(1)).alias("n"))
-    gone = write_shared(known.filter(~F.col("stands")).select(F.col("doc_id").alias("_gone")))
-    kept = docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if not known.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    if near.filter("doc_id is null").isEmpty():
-        return kept
-    alone = near.filter("component_id is null").select(F.col("fp").alias("_fp")).distinct()
-    nameless = docs.filter("doc_id is null").mapInArrow(lambda it: _with_prints(width, names, it), T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
-    return kept.unionByName(nameless.join(alone, "_fp", "left_semi").dropDuplicates(["_fp"]).select(names))
+    """One row of each component, that of the smallest doc_id, with all columns of docs; rows are told apart by doc_id and text."""
+    rows = docs.select(row_key().alias("_row"), "doc_id", "text")
+    schema = T.StructType([T.StructField("_row", T.BinaryType()), field(docs, "doc_id"), T.StructField("key", T.LongType())])
+    found = write_shared(rows.mapInArrow(lambda it: _row_prints(width, it), schema))
+    labels = components(links(found.select(F.col("key").alias("fp")).distinct()))
+    return keep_first(docs, found, labels.withColumnRenamed("node", "key"))
