@@ -15,8 +15,11 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
-    """The events of a folder as a stream of items; a watermark needs a timestamp, so ts is read as UTC."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder)
+    """The events of a folder, one file or a directory of part files, as a stream of items; a watermark needs a timestamp, so ts is read as UTC."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/events.parquet")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(EVENTS)
+    raw = reader.parquet(f"{folder}/events.parquet") if whole else reader.option("pathGlobFilter", "events.parquet").parquet(folder)
     status = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "view", "sold_out").when(F.col("event_type") == "click", "not_bookable").when(F.col("event_type") == "signup", "partial").otherwise("error")
     return raw.select(F.col("event_id").alias("item_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("hotel_id"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("source_code"), status.alias("status"), F.col("value").alias("price"))
 
