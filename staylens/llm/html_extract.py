@@ -37,6 +37,10 @@ NEVER = frozenset("script style noscript template head title nav footer aside fo
 LANDMARKS = frozenset(["article", "main"])
 #: Words of a class, id or role that say the same.
 SAYS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert menu nav navbar navigation breadcrumb breadcrumbs sidebar aside widget widgets footer masthead header comment comments reply replies respond disqus discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay search complementary contentinfo".split())
+#: Beginnings of such a word, as in ad-slot or cookie-bar.
+SAYS_FIRST = ("ad-", "ads-", "advert-", "sponsored-", "cookie-", "gdpr-", "newsletter-")
+#: What a word can't drop along with what it stands on.
+HOLDS = frozenset(["article", "main", "h1"])
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
@@ -46,26 +50,27 @@ class Node:
     tag: str
     path: int
     never: bool
+    said: bool
     parent: Node | None
     children: list[Node | str] = own(default_factory=list)
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag with class and id, and whether these say that it is no main text."""
-    said, hidden = tag, False
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Tag with class and id, whether a whole word of these says that it is no main text, and whether it is hidden."""
+    said, named, hidden = tag, False, False
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id", "role"):
             said += f".{value}"
-            hidden |= not SAYS.isdisjoint(re.split(r"[^a-z0-9]+", value)) and tag not in ("html", "body") and tag not in LANDMARKS
+            named |= any(w in SAYS or w.startswith(SAYS_FIRST) for w in value.split()) and tag not in ("html", "body") and tag not in HOLDS
         else:
             hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-    return said, hidden
+    return said, named, hidden
 
 
 def parse(source: str) -> Node:
     """A lenient DOM: void and raw elements, implied ends of p, li and table parts, stray end tags passed over."""
-    root = Node("", xxhash.xxh64_intdigest(b""), False, None)
+    root = Node("", xxhash.xxh64_intdigest(b""), False, False, None)
     at, here, inside = 0, root, 0
     for m in iter(lambda: _TOKEN.search(source, at), None):
         if m.start() > at:
@@ -94,9 +99,14 @@ def parse(source: str) -> Node:
             if node.tag in _SIBLINGS[tag]:
                 here = node.parent
         attributes = m[3] or m[6] or ""
-        said, hidden = _label(tag, attributes)
+        said, named, hidden = _label(tag, attributes)
         inside = xxhash.xxh64_intdigest(said.encode("utf-8", "surrogatepass"), here.path)
-        node = Node(tag, inside, hidden or tag in NEVER or tag == "header" and not _within(here, LANDMARKS), here)
+        node = Node(tag, inside, hidden or tag in NEVER or tag == "header" and not _within(here, LANDMARKS), named, here)
+        if tag in HOLDS:
+            above = here
+            while above is not None:
+                above.said = False
+                above = above.parent
         here.children.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(source, at)
@@ -146,7 +156,7 @@ def main_text(root: Node, low: frozenset[int] | set[int] = frozenset()) -> str:
 
     def landmarks(node: Node) -> Iterator[Node]:
         for x in node.children:
-            if isinstance(x, Node) and not x.never:
+            if isinstance(x, Node) and not x.never and not x.said:
                 if x.tag in LANDMARKS:
                     yield x
                 else:
@@ -160,7 +170,7 @@ def main_text(root: Node, low: frozenset[int] | set[int] = frozenset()) -> str:
                 blocks.append([])
             elif isinstance(x, str):
                 blocks[-1].append(x)
-            elif x is node or not x.never:
+            elif x is node or not (x.never or x.said):
                 if x.tag == "br":
                     blocks[-1].append(" ")
                     continue
