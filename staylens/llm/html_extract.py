@@ -1,18 +1,20 @@
 """Main text of web pages by site style trees.
 
-The DOMs of one host are merged by the path of their elements (tag, and class or id). For each merged node the shapes
-of its children over the host's pages give a presentation importance, and the texts that stand in it a content
-importance, both by entropy: what looks or reads alike on all pages is worth little, what differs is worth much. A
-branch is worth as much as the best node with text in it, so removing branches of low importance from each page of
-the host is removing the texts of such nodes. A landmark (article or main) is the page's own text by declaration and
-is kept, however often it is copied; scripts, menus, forms and the like are never text.
+The DOMs of one host are merged by the path of their blocks (tag with class and id, digits masked). For each merged node
+the shapes of its children over the host's pages give a presentation importance, and the texts that stand in it a
+content importance, both by entropy: what looks or reads alike on all pages is worth little, what differs is worth
+much. Pages of one main text count once, so that copies are not taken for boilerplate. A branch is worth as much as
+the best node with text in it, so removing branches of low importance from each page of the host is removing the texts
+of such nodes, wherever they stand. Two more things are evidence: elements and class words that declare menus, notices
+and the like, and landmarks (article or main), whose outside is worth nothing. What neither declares nor repeats stays:
+on a host of one distinct page every node has importance 1.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field as own
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, str_texts, write_shared
+from .common import field, pieces, str_texts, write_shared
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
@@ -35,44 +37,80 @@ _ENDS_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead
 #: Elements whose content is never main text.
 NEVER = frozenset("script style noscript template head title nav footer aside form menu button select option textarea input label iframe object svg math canvas audio video dialog noembed noframes xmp".split())
 LANDMARKS = frozenset(["article", "main"])
+#: Of those, the ones that are kept if a page's landmarks are in them.
+_CONTAINERS = frozenset("form dialog".split())
 #: Words of a class, id or role that say the same.
 SAYS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert menu nav navbar navigation breadcrumb breadcrumbs sidebar aside widget widgets footer masthead header comment comments reply replies respond disqus discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay search complementary contentinfo".split())
 #: Beginnings of such a word, as in ad-slot or cookie-bar.
 SAYS_FIRST = ("ad-", "ads-", "advert-", "sponsored-", "cookie-", "gdpr-", "newsletter-")
-#: What a word can't drop along with what it stands on.
-HOLDS = frozenset(["article", "main", "h1"])
+#: Words that say header; one that holds the title (an h1) is kept.
+SAYS_HEADER = frozenset("header masthead banner".split())
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
+_DIGITS = re.compile(r"\d+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
     path: int
-    never: bool
-    said: bool
+    gone: bool  # not text, whatever it holds
+    says: bool  # declared to be no main text
+    header: bool  # declared by words for a header alone
+    mark: bool  # a landmark
     parent: Node | None
     children: list[Node | str] = own(default_factory=list)
+    marks: int = 0  # landmarks in it that aren't declared themselves, itself included
+    titles: int = 0
+    buried: bool = False  # inside something declared
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Tag with class and id, whether a whole word of these says that it is no main text, and whether it is hidden."""
-    said, named, hidden = tag, False, False
+def _label(tag: str, attributes: str) -> tuple[str, set[str], str, bool]:
+    """Tag with class and id (digits masked), the words that declare it, its role, and whether it is hidden."""
+    said, words, role, hidden = tag, set(), "", False
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id", "role"):
             said += f".{value}"
-            named |= any(w in SAYS or w.startswith(SAYS_FIRST) for w in value.split()) and tag not in ("html", "body") and tag not in HOLDS
+            words |= {w for w in value.split() if w in SAYS or w.startswith(SAYS_FIRST)}
+            role = value if name == "role" else role
         else:
             hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-    return said, named, hidden
+    return _DIGITS.sub("#", said), words, role, hidden
+
+
+class _Open:
+    """The open elements, with the places of each tag, so that no step walks them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks = [root], defaultdict(list), [0]
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.nodes))
+        if node.tag in BLOCKS and node.tag != "p":
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.nodes) > place:
+            self.at[self.nodes.pop().tag].pop()
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+
+    def last(self, *tags: str) -> int:
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
 
 
 def parse(source: str) -> Node:
     """A lenient DOM: void and raw elements, implied ends of p, li and table parts, stray end tags passed over."""
-    root = Node("", xxhash.xxh64_intdigest(b""), False, False, None)
-    at, here, inside = 0, root, 0
+    root = Node("", xxhash.xxh64_intdigest(b""), False, False, False, False, None)
+    at, stack, nodes = 0, _Open(root), [root]
     for m in iter(lambda: _TOKEN.search(source, at), None):
+        here = stack.nodes[-1]
         if m.start() > at:
             here.children.append(source[at : m.start()])
         at = m.end()
@@ -80,50 +118,58 @@ def parse(source: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if (place := stack.last(tag)) > 0:
+                stack.close(place)
             continue
-        if tag in _ENDS_P:
-            node = here
-            while node is not root and node.tag != "p" and node.tag not in BLOCKS:
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
-        if tag in _SIBLINGS:
-            node = here
-            while node is not root and node.tag not in _SIBLINGS[tag] and node.tag not in _SCOPE[tag]:
-                node = node.parent
-            if node.tag in _SIBLINGS[tag]:
-                here = node.parent
+        if tag in _ENDS_P and (place := stack.last("p")) > stack.blocks[-1]:
+            stack.close(place)
+        if tag in _SIBLINGS and (place := stack.last(*_SIBLINGS[tag])) > stack.last(*_SCOPE[tag]):
+            stack.close(place)
+        here = stack.nodes[-1]
         attributes = m[3] or m[6] or ""
-        said, named, hidden = _label(tag, attributes)
-        inside = xxhash.xxh64_intdigest(said.encode("utf-8", "surrogatepass"), here.path)
-        node = Node(tag, inside, hidden or tag in NEVER or tag == "header" and not _within(here, LANDMARKS), named, here)
-        if tag in HOLDS:
-            above = here
-            while above is not None:
-                above.said = False
-                above = above.parent
+        label, words, role, hidden = _label(tag, attributes)
+        path = xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), here.path) if tag in BLOCKS or tag in _RAW else here.path
+        inside = stack.last(*LANDMARKS) > 0
+        declared = bool(words) and tag not in ("html", "body")
+        soft = tag in _CONTAINERS
+        gone = hidden or tag in NEVER and not soft or tag == "header" and not inside
+        node = Node(tag, path, gone, declared or soft, declared and words <= SAYS_HEADER and not soft, tag in LANDMARKS or role in LANDMARKS, here)
         here.children.append(node)
+        nodes.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(source, at)
             at = end.end() if end else len(source)
         elif tag not in _VOID and not attributes.endswith("/"):
-            here = node
+            stack.push(node)
     if at < len(source):
-        here.children.append(source[at:])
+        stack.nodes[-1].children.append(source[at:])
+    _declare(nodes)
     return root
 
 
-def _within(node: Node, tags: frozenset[str]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+def _declare(nodes: list[Node]) -> None:
+    """Settle what is declared to be no main text.
+
+    A declared element stays if all the page's landmarks are in declared elements and it holds one (unless a title
+    stands outside them, which shows where the main text is), or, without a landmark, all titles are and it holds one.
+    An element that words declare a header stays if it holds a title.
+    """
+    for x in nodes[1:]:
+        x.buried = x.parent.buried or x.parent.says or x.parent.gone
+    for x in reversed(nodes):
+        if not x.gone:
+            x.marks += x.mark and not x.says
+            x.titles += x.tag == "h1"
+            if x.parent is not None:
+                x.parent.marks += x.marks
+                x.parent.titles += x.titles
+    open_mark = any(x.mark and not (x.says or x.buried or x.gone) for x in nodes)
+    open_title = any(x.tag == "h1" and not (x.says or x.buried or x.gone) for x in nodes)
+    by_mark = nodes[0].marks > 0 and not open_mark and not open_title
+    by_title = nodes[0].marks == 0 and not open_title
+    for x in nodes:
+        if x.says and (x.header and x.titles or by_mark and x.marks or by_title and x.titles):
+            x.says = False
 
 
 def _signed(x: int) -> int:
@@ -133,94 +179,116 @@ def _signed(x: int) -> int:
 _ROOT = _signed(xxhash.xxh64_intdigest(b""))
 
 
-def features(root: Node) -> Iterator[tuple[int, bool, int]]:
-    """For each element: its path, whether the feature is of content, and the feature: the shape of its children, or a text in it."""
-    todo = [root]
+def _blocks(root: Node, declared: bool = True) -> Iterator[tuple[Node, str]]:
+    """Each block of the landmarks, or of the page without one, in page order, and its text; what is declared is passed over."""
+    scope, todo = [], [root]
     while todo:
-        node = todo.pop()
-        shape = []
-        for x in node.children:
-            if isinstance(x, Node):
-                if x.tag not in _RAW:
-                    shape.append(x.path)
-                    todo.append(x)
-            elif not x.isspace():
-                yield _signed(node.path), True, _signed(xxhash.xxh64_intdigest(" ".join(x.split()).encode("utf-8", "surrogatepass")))
-        if shape:
-            yield _signed(node.path), False, _signed(xxhash.xxh64_intdigest(np.array(shape, np.uint64).tobytes()))
+        x = todo.pop()
+        if x.mark:
+            scope.append(x)
+        else:
+            todo.extend(c for c in reversed(x.children) if isinstance(c, Node) and c.marks and not (c.gone or c.says))
+    for top in scope or [root]:
+        held: list[str] = []
+        block, walk = top, [top]
+        while walk:
+            x = walk.pop()
+            if isinstance(x, str):
+                held.append(x)
+                continue
+            if isinstance(x, tuple):  # the end of a block: what follows is its parent's
+                yield block, "".join(held)
+                held, block = [], x[0]
+                continue
+            if x is not top and (x.gone or declared and x.says):
+                continue
+            if x.tag == "br":
+                held.append(" ")
+                continue
+            if x is not top and x.tag in BLOCKS:
+                yield block, "".join(held)
+                walk.append((block,))
+                held, block = [], x
+            walk.extend(reversed(x.children))
+        yield block, "".join(held)
+
+
+def _clean(text: str) -> str:
+    return " ".join(html.unescape(text).split())
+
+
+def _told(root: Node) -> list[tuple[Node, str]]:
+    """The blocks with text. Where declarations leave a page without a landmark nothing at all, they are passed over."""
+    out = [(x, t) for x, raw in _blocks(root) if (t := _clean(raw))]
+    if out or root.marks:
+        return out
+    return [(x, t) for x, raw in _blocks(root, False) if (t := _clean(raw))]
+
+
+def _hashed(text: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
+
+
+def features(root: Node) -> tuple[int, set[tuple[int, bool, int]]]:
+    """A digest of the page's declared main text; and for each block of it path, whether the feature is of content, and
+    the feature: the shape of its children, or a text in it. The root has the shape of the page."""
+    told = _told(root)
+    out = {(_signed(x.path), True, _hashed(t)) for x, t in told}
+    seen: set[int] = set()
+    for x, _ in told:
+        while x is not None and id(x) not in seen:
+            seen.add(id(x))
+            if x is root or x.tag in BLOCKS:
+                shape = [c.path for c in x.children if isinstance(c, Node) and c.tag in BLOCKS]
+                out.add((_signed(x.path), False, _signed(xxhash.xxh64_intdigest(np.array(shape, np.uint64).tobytes()))))
+            x = x.parent
+    if id(root) not in seen:
+        out.add((_ROOT, False, 0))
+    return _hashed("\n".join(t for _, t in told)), out
 
 
 def main_text(root: Node, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The text of the landmarks, or of the page without one, less branches of low importance. low: paths of those."""
-    blocks: list[list[str]] = [[]]
-
-    def landmarks(node: Node) -> Iterator[Node]:
-        for x in node.children:
-            if isinstance(x, Node) and not x.never and not x.said:
-                if x.tag in LANDMARKS:
-                    yield x
-                else:
-                    yield from landmarks(x)
-
-    def walk(node: Node, own_text: bool) -> None:
-        todo: list[Node | str | None] = [node]
-        while todo:
-            x = todo.pop()
-            if x is None:
-                blocks.append([])
-            elif isinstance(x, str):
-                blocks[-1].append(x)
-            elif x is node or not (x.never or x.said):
-                if x.tag == "br":
-                    blocks[-1].append(" ")
-                    continue
-                edge = x.tag in BLOCKS
-                if edge:
-                    blocks.append([])
-                    todo.append(None)
-                poor = not own_text and _signed(x.path) in low
-                todo.extend(c for c in reversed(x.children) if not poor or isinstance(c, Node))
-
-    try:
-        found = list(landmarks(root))
-    except RecursionError:
-        found = []
-    inner = [x for x in found if any(isinstance(c, Node) for c in x.children) or x.children]
-    articles = [a for x in inner for a in ([x] if x.tag == "article" else list(landmarks(x)) or [x])]
-    for x in articles:
-        walk(x, True)
-    if not articles:
-        walk(root, False)
-    out = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
-    return "\n".join(x for x in out if x)
+    """The text of the landmarks, or of the page without one, less branches of low importance. low: paths of those.
+
+    A title (h1) stays. Where nothing but titles would be left the host's pages are copies of each other, of which
+    importance tells nothing, and all stays.
+    """
+    told = _told(root)
+    left = [(x, t) for x, t in told if x.tag == "h1" or _signed(x.path) not in low] if low else told
+    if not any(x.tag != "h1" for x, _ in left):
+        left = told
+    return "\n".join(t for _, t in left)
 
 
 def _host(url: str | None) -> str:
     _, found, rest = (url or "").partition("://")
-    return re.split(r"[/?#]", rest, maxsplit=1)[0].lower() if found else ""
+    return re.split(r"[/?#]", rest, maxsplit=1)[0].translate(_LOWER) if found else ""
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages with each feature, summed over a batch before anything is shuffled."""
-    for batch in batches:
-        seen: Counter[tuple] = Counter()
-        for url, source in zip(batch.column("url").to_pylist(), str_texts(batch.column("html")), strict=True):
-            host = _host(url)
-            seen.update({(host, *x) for x in features(parse(source))})
-        rows = list(seen)
-        cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.bool_(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(list(seen.values()), pa.int64())], ["host", "path", "content", "feature", "n"])
+    """The features of each page under the digest of its main text; copies of a slice fold."""
+    for whole in batches:
+        for batch in pieces(whole, "html", 2 << 20):
+            seen: set[tuple] = set()
+            for url, source in zip(batch.column("url").to_pylist(), str_texts(batch.column("html")), strict=True):
+                told, found = features(parse(source))
+                host = _host(url)
+                seen.update((host, told, *x) for x in found)
+            rows = list(zip(*seen, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["host", "page", "path", "content", "feature"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, path, pages of the host and importance (0 to 1) of each merged element that has text.
+    """host, path, pages (of distinct main text) of the host and importance (0 to 1) of each merged node that has text.
 
-    With m pages, the presentation importance is the entropy to the base m of the shapes of an element's children, and
-    the content importance is one less the mean over its texts of the entropy to the base m of the pages each is on; an
-    element has the larger of the two. On a host of one page all elements have 1.
+    With m pages, the presentation importance is the entropy to the base m of the shapes of a node's children, and the
+    content importance is one less the mean over its texts of the entropy to the base m of the pages each is on; a node
+    has the larger of the two. On a host of one page all nodes have 1. Pages without text count as one; null urls are
+    of the host without a name; an empty table gives no rows. Repeated rows change nothing.
     """
-    seen = pages.select("url", "html").mapInArrow(_merged, "host string, path long, content boolean, feature long, n long")
-    once = seen.groupBy("host", "path", "content", "feature").agg(F.sum("n").alias("n"))
+    seen = pages.select("url", "html").mapInArrow(_merged, "host string, page long, path long, content boolean, feature long")
+    names = ("host", "path", "content", "feature")
+    once = seen.distinct().groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     merged = write_shared(once.groupBy("host", "path", "content").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum(F.log("n")).alias("logn")))
     sizes = merged.filter(~F.col("content") & (F.col("path") == _ROOT)).select("host", F.col("m").alias("pages"))
     spread = F.log("m") - F.col("nlogn") / F.col("m")
@@ -230,24 +298,26 @@ def importance(pages: DataFrame) -> DataFrame:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(parse(s), set(low or ())) for s, low in zip(str_texts(batch.column("html")), batch.column("low").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+    for whole in batches:
+        for batch in pieces(whole, "html", 2 << 20):
+            texts = [main_text(parse(s), set(low or ())) for s, low in zip(str_texts(batch.column("html")), batch.column("low").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame, threshold: float = 0.3, least_pages: int = 5, most_sent: int = 1_000_000) -> DataFrame:
+def extract(pages: DataFrame, threshold: float = 0.3, most_sent: int = 1_000_000) -> DataFrame:
     """page_id, url and text of each row of pages (page_id, url, html; further columns are left alone).
 
-    Branches under `threshold` are removed on hosts of least_pages pages or more. Blocks are joined in page order by one
-    line end, white space inside a block is one space, character references are decoded. A null or empty html gives an
-    empty text; rows without a host in their url are merged as one host; repeated rows each give a row. The low
-    branches are written to the shared folder and counted: up to most_sent of them are sent to all tasks, more are
-    joined by host, which shuffles the pages.
+    Branches under `threshold` are removed on every host, inside landmarks as outside. Blocks are joined in page order
+    by one line end, white space inside a block is one space, character references are decoded. A null or empty html
+    gives an empty text; rows without a host in their url are merged as one host; repeated rows each give a row; an
+    empty table gives none. The low branches are written to the shared folder and counted: up to most_sent of them are
+    sent to all tasks, more are joined by host, which shuffles the pages and leaves a common host to the adaptive
+    splitting of skewed joins.
     """
     pages = pages.select("page_id", "url", "html")
-    low = write_shared(importance(pages).filter((F.col("importance") < threshold) & (F.col("pages") >= least_pages)).groupBy("host").agg(F.collect_list("path").alias("low")))
+    low = write_shared(importance(pages).filter(F.col("importance") < threshold).groupBy("host").agg(F.collect_list("path").alias("low")))
     n = low.agg(F.sum(F.size("low"))).first()[0] or 0
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    side = F.broadcast(low) if n <= most_sent else low
+    host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    side = F.broadcast(low) if n <= most_sent else low.hint("merge")
     rows = pages.withColumn("host", host).join(side, "host", "left").select("page_id", "url", "html", "low")
     return rows.mapInArrow(_texts, T.StructType([field(pages, "page_id"), field(pages, "url"), T.StructField("text", T.StringType())]))

@@ -49,3 +49,74 @@ def test_copies_of_an_article_stay(spark):
 
 def test_deep_nesting():
     assert html_extract.main_text(html_extract.parse("<div>" * 5000 + "deep")) == "deep"
+
+
+INSIDE = [
+    ("<article><h1>T</h1><p>one</p><article class=comment><p>nice!</p></article></article>", "T\none"),
+    ("<article><h1>T</h1><p>one</p><section class=comments><article><p>nice!</p></article></section></article>", "T\none"),
+    ("<article class=comment><p>nice!</p></article><div><h1>T</h1><p>one</p></div>", "T\none"),
+    ("<main><h1>T</h1><p>intro</p><article><p>one</p></article></main><p>outside</p>", "T\nintro\none"),
+    ("<article><div class=header><h1>T</h1></div><header><p>by me</p></header><p>one</p></article>", "T\nby me\none"),
+    ("<div class=header><p>brand</p></div><p>one</p>", "one"),
+    ("<form id=f><main><h1>T</h1><p>one</p><button>go</button></main></form>", "T\none"),
+    ("<form><input><p>mail us</p></form><article><p>one</p></article>", "one"),
+    ("<aside><article><p>teaser</p></article></aside><div><p>one</p></div>", "one"),
+    ("<div role=main><p>one</p></div><div>two</div>", "one"),
+    ("<div class=menu>only this</div>", "only this"),
+    ("<div hidden><article>x</article></div><p>one</p>", "one"),
+    ("<header><h1>Site</h1></header><p>one</p>", "one"),
+    ("<p>o<b>n</b>e <i>two</i><div>three</div>four", "one two\nthree\nfour"),
+    ("<ul><li>a<li>b<ul><li>c</ul>d</ul>e", "a\nb\nc\nd\ne"),
+    ("</article></div><p>one</x>", "one"),
+]
+
+
+def test_what_is_declared_inside_and_outside_landmarks():
+    assert [html_extract.main_text(html_extract.parse(p)) for p, _ in INSIDE] == [t for _, t in INSIDE]
+
+
+def _of_host(i, inner):
+    return _page(f"{NAV}<article><h1>Same title</h1>{inner}<p>Text {i} of its own, <b>Update</b> {i * 3}.</p><ul class='box-{i}'><li>Follow us</li><li>Tell friends</li></ul></article>{FOOT}")
+
+
+def test_what_repeats_inside_landmarks_goes_and_inline_parts_stay(spark):
+    rows = [(i, f"http://h.example/{i}", _of_host(i, "<p class=hint>This site has moved.</p>")) for i in range(6)]
+    rows += [(9, "http://alone.example/", rows[0][2]), (10, "http://two.example/", rows[0][2]), (11, "http://two.example/", rows[1][2])]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    short = {i: f"Same title\nText {i} of its own, Update {i * 3}." for i in range(6)}
+    assert {i: got[i] for i in range(6)} == short
+    assert got[9] == f"Same title\nThis site has moved.\n{short[0].partition('\n')[2]}\nFollow us\nTell friends"
+    assert (got[10], got[11]) == (short[0], short[1])
+
+
+def test_copies_count_once_and_near_copies_keep_their_text(spark):
+    many = [(i, "http://h.example/", _page(f"<p>Nav</p><article><h1>T</h1><p>Copied.</p></article>{FOOT}")) for i in range(30)]
+    other = [(99, "http://h.example/", _page("<article><h1>U</h1><p>Another.</p></article>"))]
+    near = [(100 + i, "http://n.example/", _page(f"<article><h1>T{i}</h1>" + "".join(f"<p>Part {k}</p>" for k in range(20)) + "</article>")) for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(many + other + near, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(30)} == {"T\nCopied."} and got[99] == "U\nAnother."
+    assert got[103] == "T3\n" + "\n".join(f"Part {k}" for k in range(20))
+
+
+def test_importance_equals_brute_force(spark):
+    import math
+
+    pages = [(f"http://h.example/{i}", f"<div class=t>Top</div><div class=s>{i // 2}</div><div class=u>{i}</div>") for i in range(6)]
+    rows = {round(r.importance, 9) for r in html_extract.importance(spark.createDataFrame(pages, "url string, html string")).collect()}
+    want = {0.0, 1 - math.log(2) / math.log(6), 1.0}
+    assert rows == {round(x, 9) for x in want}
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    deep = "<span>" * 20_000
+    for source in ("<div>" * 20_000 + "x", deep + "</b>" * 20_000 + "x", deep + "<p>x</p>" * 20_000, "<ul>" + deep + "<li>x</li>" * 20_000, deep + "<h1>x</h1>" * 5_000, "<" * 100_000, "<a " * 50_000, "<a b='" * 20_000):
+        began = time.process_time()
+        html_extract.main_text(html_extract.parse(source))
+        assert time.process_time() - began < 20
+
+
+def test_depth_does_not_change_what_is_kept():
+    page = lambda n: "<div>" * n + "<p>outside</p><article><h1>T</h1><p>one</p></article>" + "</div>" * n
+    assert html_extract.main_text(html_extract.parse(page(15))) == html_extract.main_text(html_extract.parse(page(10_000))) == "T\none"
