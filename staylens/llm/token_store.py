@@ -10,30 +10,41 @@ from __future__ import annotations
 
 import functools
 import struct
+import unicodedata
 import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import pieces, raw_texts, shared_dir
+from .common import pieces, shared_dir, write_shared
 
 MAGIC = b"SSTOKEN1"
 _FOOTER = struct.Struct("<QQQQQQQII8s")  # index at, size; filter at, size; documents, ids, bytes of an id; crc of index, of filter
 _BLOCK_BYTES = 64 << 10
 _RESTART = 16
-_CACHE = 700_000
-_TAIL = ".,;:!?|"
+#: Words, letter runs and sign runs that a worker keeps, each.
+_CACHE = 500_000
+#: A word of signs, letters and signs; an apostrophe before letters may belong to them.
+_PARTS = r"^(?P<head>[!-&(-/:-@\[-`{-~]*)(?P<base>\pL+)(?P<tail>[!-/:-@\[-`{-~]*)$"
+#: Letters below have had one normal form, lower case and class in all versions of Unicode that matter.
+_STEADY = "\u0600"
+
+
+def _strings(column: pa.Array) -> list[str | None]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 @functools.cache
@@ -45,65 +56,99 @@ class WordEncoder:
     """The tokenizers library behind a cache of words.
 
     The vocabulary's pre-tokeniser drops white space and never joins across it, so a text's ids are those of its words.
-    Unknown words of letters alone go to the library many at a time; a token that ends a word says where to cut.
+    A word of signs, letters and signs is three pre-tokens if the letters are letters still after the vocabulary's
+    normaliser (NFC, then lower case); its letters go to the library in their normal form, many at a time, and a token
+    that ends a word says where to cut. All other words go to the library as they stand.
     """
 
     def __init__(self, path: str):
-        self.model = Tokenizer.from_file(path)
+        self.model, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = None
         vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.width = np.dtype("<u2") if len(self.ends) <= 1 << 16 else np.dtype("<u4")
-        self.kept: dict[bytes, bytes] = {}
+        self.kept: dict[str, bytes] = {"": b""}
+        self.letters: dict[str, bytes | None] = {}
+        self.signs: dict[str, bytes] = {"": b""}
 
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _together(self, words: list[str]) -> list[bytes]:
-        if not words:
-            return []
-        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.width)
+    def _together(self, words: list[str]) -> list[bytes | None]:
+        """Ids of words in normal form; None where a word is not one pre-token."""
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.width)
         cut = np.flatnonzero(self.ends[ids]) + 1
-        if len(cut) != len(words) or cut[-1] != len(ids):
-            return self._alone(words)  # some letter is more than one pre-token
-        return [x.tobytes() for x in np.split(ids, cut[:-1])]
-
-    def _learn(self, unknown: set[bytes]) -> dict[bytes, bytes]:
-        got: dict[bytes, bytes] = {}
-        plain, odd, tailed = set(), [], []
-        for raw in unknown:
-            word = raw.decode()
-            if word.isalpha():
-                plain.add(word)
-            elif word[-1] in _TAIL and word[:-1].isalpha():
-                tailed.append(word)
-                if (base := word[:-1].encode()) not in self.kept:
-                    plain.add(word[:-1])
-            else:
-                odd.append(word)
-        letters = sorted(plain)
-        for i in range(0, len(letters), 4096):
-            part = letters[i : i + 4096]
-            got.update(zip((x.encode() for x in part), self._together(part), strict=True))
-        got.update(zip((x.encode() for x in odd), self._alone(odd), strict=True))
-        tails = dict(zip(_TAIL, self._alone(list(_TAIL)), strict=True))
-        for word in tailed:
-            base = word[:-1].encode()
-            got[word.encode()] = (got.get(base) or self.kept[base]) + tails[word[-1]]
-        return got
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian integers of self.width."""
-        split = [x.split() for x in texts]
-        unknown = set().union(*split) - self.kept.keys()
+        if len(cut) == len(words) and cut[-1] == len(ids):
+            data, at = ids.tobytes(), [0, *(cut * self.width.itemsize).tolist()]
+            return [data[i:j] for i, j in pairwise(at)]
+        return self._together(words[: len(words) // 2]) + self._together(words[len(words) // 2 :]) if len(words) > 1 else [None]
+
+    @staticmethod
+    def _normal(base: str) -> str | None:
+        """The letters after the normaliser; None if they may not be letters to the library then."""
+        if base.isascii():
+            return base.lower()
+        normal = unicodedata.normalize("NFC", base)
+        low = normal.lower()
+        # a sigma's lower case depends on its place in Python, not in the library
+        return low if low.isalpha() and max(low) < _STEADY and "\u03a3" not in normal else None
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        if len(self.letters) > _CACHE:
+            self.letters = {}
+        if len(self.signs) > _CACHE:
+            self.signs = {"": b""}
+        column = pa.array(words, pa.string())
+        parts = pc.extract_regex(column, _PARTS)
+        parts = pc.if_else(pc.match_substring(column, "<|"), None, parts)  # may begin the name of a special token
+        base = pc.struct_field(parts, "base").dictionary_encode()
+        normal = list(map(self._normal, _strings(base.dictionary)))
+        fresh = sorted({x for x in normal if x is not None} - self.letters.keys())
+        for i in range(0, len(fresh), 4096):
+            some = fresh[i : i + 4096]
+            self.letters.update(zip(some, self._together(some), strict=True))
+        learnt = [None if x is None else self.letters[x] for x in normal]
+        heads, tails = (_strings(pc.struct_field(parts, x)) for x in ("head", "tail"))
+        signs = list(({*heads, *tails} - {None}) - self.signs.keys())
+        self.signs.update(zip(signs, self._alone(signs), strict=True))
+        sign = self.signs
+        at = pc.fill_null(base.indices, -1).to_numpy().tolist()
+        learnt.append(None)  # what is not made so
+        got = [None if (x := learnt[i]) is None else sign[h] + x + sign[t] for h, i, t in zip(heads, at, tails, strict=True)]
+        rest = iter(self._alone([w for w, x in zip(words, got, strict=True) if x is None]))
+        return [next(rest) if x is None else x for x in got]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        got = list(map(self.kept.get, words))
+        unknown = [w for w, x in zip(words, got, strict=True) if x is None]
         if unknown:
             new = self._learn(unknown)
             if len(self.kept) + len(new) > _CACHE:
-                self.kept = {}
-                new = self._learn(set().union(*split))
-            self.kept.update(new)
-        known = self.kept
-        return [b"".join([known[w] for w in words]) for words in split]
+                self.kept = {"": b""} | {w: x for w, x in zip(words, got, strict=True) if x is not None}
+            self.kept.update(zip(unknown, new, strict=True))
+            rest = iter(new)
+            got = [next(rest) if x is None else x for x in got]
+        return got
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian integers of self.width; a null has none. Each distinct word is looked up once."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        ids = self._ids(_strings(coded.dictionary))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width.itemsize
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        place = np.repeat(((np.cumsum(size) - size)[at] - ends[:-1]).astype(kind), n)
+        place += np.arange(ends[-1], dtype=kind)
+        flat = np.frombuffer(b"".join(ids), self.width).take(place)
+        return [flat[i:j].tobytes() for i, j in pairwise(ends[split.offsets.to_numpy()].tolist())]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """encode_column() of a list of texts in UTF-8."""
+        return self.encode_column(pa.array(texts, pa.binary()).cast(pa.string()))
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -141,7 +186,7 @@ def _probes(key: bytes, bits: int) -> list[int]:
 def bloom(keys: list[bytes]) -> bytes:
     """Ten bits a key, seven probes."""
     bits = max(64, 10 * len(keys))
-    out = np.zeros(-(-bits // 8) * 8, np.uint8)
+    out = np.zeros(-(-bits // 8) * 8, np.uint8)  # one byte a bit until packed; a shard's documents are bounded
     for k in keys:
         out[_probes(k, bits)] = 1
     return struct.pack("<Q", bits) + np.packbits(out, bitorder="little").tobytes()
@@ -266,38 +311,49 @@ class Shard:
         return out
 
 
-def _filed(folder: str, path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filed(folder: str, path: str, end_id: int, most_bytes: int, most_docs: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Write the documents of a partition to shards of about most_bytes; a shard gets its name when it is whole."""
     fs, base = pafs.FileSystem.from_uri(folder)
     part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-    coder, out = _encoder(path), None
+    coder, shard, done = _encoder(path), None, []
     tail = np.array([end_id], coder.width).tobytes()
+
+    def close() -> None:
+        size = shard.close()
+        shard.out.close()
+        name = f"{base}/part-{part:06d}-{len(done):06d}-{attempt}.sst"
+        fs.move(f"{base}/.{attempt}", name)
+        done.append((name, part, len(done), len(shard.keys), shard.n_ids, size))
+
     for whole in batches:
         for batch in pieces(whole, "text"):
-            if out is None:
-                out = fs.open_output_stream(f"{base}/.{attempt}", compression=None)
-                shard = ShardWriter(out, coder.width)
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(raw_texts(batch.column("text"))), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode_column(batch.column("text")), strict=True):
+                if shard is None:
+                    shard = ShardWriter(fs.open_output_stream(f"{base}/.{attempt}", compression=None), coder.width)
                 shard.add(key_of(doc_id), ids + tail)
-    if out is not None:
-        size = shard.close()
-        out.close()
-        name = f"{base}/part-{part:06d}-{attempt}.sst"
-        fs.move(f"{base}/.{attempt}", name)
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, part, len(shard.keys), shard.n_ids, size)], ["path", "part", "n_docs", "n_ids", "n_bytes"])
+                if shard.at >= most_bytes or len(shard.keys) >= most_docs:
+                    close()
+                    shard = None
+    if shard is not None:
+        close()
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], kind) for k, kind in enumerate((pa.string(), *[pa.int64()] * 5))], ["path", "part", "place", "n_docs", "n_ids", "n_bytes"])
 
 
-def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 2) -> DataFrame:
-    """Encode every text and write shards in ascending order of doc_id; returns path, part, n_docs, n_ids, n_bytes of each.
+def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 2, most_bytes: int = 64 << 20, most_docs: int = 1_000_000) -> DataFrame:
+    """Encode every text and write shards in ascending order of doc_id; returns path, part, place, n_docs, n_ids, n_bytes of each.
 
     docs has doc_id (whole numbers) and text; further columns are left alone. Null and empty texts have the end id
-    alone; null doc_ids come first; rows of one doc_id stand in order of their texts. Rows are dealt out by ranges of
-    doc_id, so a shard's documents precede those of the next; an empty table gives no shard. path is the vocabulary,
-    a file that the workers can read.
+    alone; null doc_ids come first; rows of one doc_id stand in order of the first 16 characters of their texts, then
+    of a digest; repeated rows each have their ids. Rows are dealt out by ranges of these and the row number, so the
+    rows without a doc_id, or with one, are no single task however many there are. A range's shards (numbered by place) begin anew at most_bytes or
+    most_docs and precede those of the next range; an empty table gives no shard. path is the vocabulary, a file that
+    the workers can read. The table that is returned writes when it is read, so write it down once.
     """
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lambda it: _filed(folder, path, end_id, it), "path string, part long, n_docs long, n_ids long, n_bytes long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, 16).alias("_head"), F.xxhash64("text").alias("_digest")).withColumn("_row", F.monotonically_increasing_id())
+    order = ("doc_id", "_head", "_digest", "_row")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(lambda it: _filed(folder, path, end_id, most_bytes, most_docs, it), "path string, part long, place long, n_docs long, n_ids long, n_bytes long")
 
 
 _READ = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -320,17 +376,15 @@ def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) of each document.
 
-    manifest is what write_shards() returned; it is collected, a row for each shard, to sum up the ids before each.
+    manifest is what write_shards() returned, written down; the ids before each shard are summed over it, a row for
+    each shard. Without a shard there are no rows; null doc_ids and repeated rows come back as they were written.
     """
-    spark, starts, total = manifest.sparkSession, [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r.part):
-        starts.append((r.path, total))
-        total += r.n_ids
-    files = spark.createDataFrame(starts, "path string, start long")
-    return files.repartition(max(1, len(starts))).mapInArrow(lambda it: _read(folder, it), _READ)
+    before = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("start"))
+    return files.repartition(max(1, min(manifest.count(), 100_000)), "path").mapInArrow(lambda it: _read(folder, it), _READ)
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
-    """Write the documents to shards in the shared folder and read those back."""
+    """Write the documents to shards in the shared folder and read those back; see write_shards() and read_shards()."""
     folder = shared_dir(docs.sparkSession)
-    return read_shards(write_shards(docs, path, folder, end_id), folder)
+    return read_shards(write_shared(write_shards(docs, path, folder, end_id)), folder)

@@ -66,3 +66,36 @@ def test_damage_is_seen():
         list(token_store.Shard(pa.BufferReader(bytes(data))))
     with pytest.raises(ValueError, match="not a shard"):
         token_store.Shard(pa.BufferReader(bytes(data[:-3])))
+
+
+@pytest.mark.parametrize("form", ["{0}", "z{0}.", "({0}x&&& a{0}", "'{0} {0}'s", "e{0}́, .{0}"])
+def test_every_codepoint_encodes_as_in_the_library(library, form):
+    coder = token_store.WordEncoder(PATH)
+    points = [chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000]
+    for i in range(0, len(points), 20_000):
+        texts = [form.format(x) for x in points[i : i + 20_000]]
+        got = [np.frombuffer(x, coder.width).tolist() for x in coder.encode([t.encode() for t in texts])]
+        assert got == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_shards_roll_and_rows_without_id_are_many_tasks(spark, library):
+    folder = shared_dir(spark)
+    rows = [(None, f"no id {i}") for i in range(3000)] + [(7, "same")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = token_store.write_shards(docs, PATH, folder, most_docs=500).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    made = spark.createDataFrame(shards)
+    assert sum(r.n_docs for r in shards) == 6000 and max(r.n_docs for r in shards) == 500
+    assert len({r.part for r in shards}) == 4
+    back = token_store.read_shards(made, folder).orderBy("start").collect()
+    assert [r.doc_id for r in back] == [r[0] for r in rows]
+    assert [r.start for r in back] == np.cumsum([0, *(r.n_tokens for r in back)])[:-1].tolist()
+    assert {tuple(np.frombuffer(r.ids, "<u4")) for r in back if r.doc_id} == {(*library.encode("same", add_special_tokens=False).ids, 2)}
+
+
+def test_columns_of_clashing_names_are_left_alone(spark):
+    docs = spark.createDataFrame([(2, "b", 1, "x", "y"), (1, "a", 2, "x", "y")], "doc_id long, text string, _row long, _digest string, ids string")
+    assert [r.doc_id for r in token_store.round_trip(docs, PATH).orderBy("start").collect()] == [1, 2]
