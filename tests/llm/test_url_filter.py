@@ -36,3 +36,19 @@ def test_a_collision_does_not_decide(tmp_path, monkeypatch):
     assert found[2] == -1
     assert [int(listed.verdicts[x]) for x in found[:2]] == [1, 0]
     assert np.all(listed.keys == 7)
+
+
+def test_one_rule_for_ties(spark):
+    """Equally long entries: the longer host wins, then the greater string; however the list is held."""
+    rules = spark.createDataFrame([("a.b.com/x", "block"), ("b.com/xyz", "allow"), ("d.net/ab", "block"), ("d.net/ab", "allow")], "entry string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.b.com/xyz"), (2, "http://c.b.com/xyz"), (3, "http://d.net/abc")], "page_id long, url string")
+    for most in (100, 3, 1):
+        got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules, most_mapped=most).collect()}
+        assert got == {1: ("a.b.com/x", "block"), 2: ("b.com/xyz", "allow"), 3: ("d.net/ab", "block")}
+
+
+def test_many_ranges_find_what_one_file_finds(spark):
+    rules = spark.createDataFrame([(f"h{i}.com/p{i % 7}", "block" if i % 2 else "allow") for i in range(500)], "entry string, verdict string")
+    pages = spark.createDataFrame([(i, f"http://www.h{i}.com/p{i % 9}/x") for i in range(600)], "page_id long, url string")
+    one, many = ({tuple(r) for r in url_filter.judge(pages, rules, most_mapped=m).collect()} for m in (1000, 40))
+    assert one == many and sum(r[4] is not None for r in one) == sum(i % 9 == i % 7 for i in range(500))
