@@ -43,7 +43,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
-    return found.filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("lost bytes in"), "file", F.col("start").cast("string"), "gap")).cast("boolean")
+    return found.filter(F.when(F.col("gap").isNull(), True).otherwise(lost)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
