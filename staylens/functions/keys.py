@@ -42,13 +42,20 @@ def empty_room() -> Column:
 
 
 def curated_violations(curated: DataFrame, samples: int = 10) -> DataFrame:
-    """For each broken invariant: how many rows, and the least few of their items."""
+    """For each broken invariant: how many rows, and the least few of their items.
+
+    Items are ranked within parts of a check first, so that no task sorts all of a check's items. Nulls in a key count
+    as a missing key; an empty table gives no rows; repeated rows count each.
+    """
     sold = F.coalesce(F.col("is_sold_out"), F.lit(False))
     is_empty = F.col("canonical_room_key") == empty_room()
     checks = {"empty_key_iff_sold_out": is_empty != sold, "price_null_iff_sold_out": F.col("price_per_night").isNull() != sold, "key_missing": F.col("canonical_series_id").isNull()}
     rows = curated.select("item_id", F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())).alias("violation"))
     per_item = rows.groupBy("violation", "item_id").agg(F.count(F.lit(1)).alias("n"))
-    ranked = per_item.withColumn("k", F.row_number().over(Window.partitionBy("violation").orderBy("item_id")))
+    parted = per_item.withColumn("_part", F.pmod(F.xxhash64("item_id"), F.lit(64)))
+    least = parted.withColumn("k", F.row_number().over(Window.partitionBy("violation", "_part").orderBy("item_id")))
+    kept = least.filter(F.col("k") <= samples).withColumn("k", F.row_number().over(Window.partitionBy("violation").orderBy("item_id")))
+    ranked = kept.select("violation", "item_id", F.lit(0).cast("long").alias("n"), "k").unionByName(per_item.groupBy("violation").agg(F.sum("n").alias("n")).select("violation", F.lit(None).cast(per_item.schema["item_id"].dataType).alias("item_id"), "n", F.lit(None).cast("int").alias("k")))
     return ranked.groupBy("violation").agg(F.sum("n").alias("n_rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= samples, F.col("item_id")))), lambda x: x.cast("string")), ",").alias("sample_items"))
 
 
@@ -87,12 +94,18 @@ def set_hash(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def numbered(df: DataFrame, priority: str, pk: str, name: str = "warehouse_id", chunk: int = 1_000_000) -> DataFrame:
-    """Row numbers from 1 in the order of (priority, pk), without one task for all rows: chunks of pk are numbered apart
-    and offset by the rows of the chunks before, of which there are few."""
+    """Row numbers from 1 in the order of (priority, pk), without one task for all rows.
+
+    Chunks of pk are numbered apart and offset by the rows before them: those of earlier chunks of the same thousand,
+    and those of earlier thousands, so that what one window orders is a millionth of a thousandth of the rows.
+    """
     cut = df.withColumn("_chunk", F.floor(F.col(pk) / chunk))
-    sizes = cut.groupBy(priority, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy(priority, "_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(priority, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    sizes = cut.groupBy(priority, "_chunk").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.col("_chunk") / 1000))
+    blocks = sizes.groupBy(priority, "_block").agg(F.sum("_n").alias("_of"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    first = blocks.select(priority, "_block", F.coalesce(F.sum("_of").over(upto(Window.orderBy(priority, "_block"))), F.lit(0)).alias("_first"))
+    inside = sizes.withColumn("_in", F.coalesce(F.sum("_n").over(upto(Window.partitionBy(priority, "_block").orderBy("_chunk"))), F.lit(0)))
+    before = inside.join(first, [priority, "_block"]).select(priority, "_chunk", (F.col("_first") + F.col("_in")).alias("_before"))
     within = F.row_number().over(Window.partitionBy(priority, "_chunk").orderBy(pk))
     return cut.withColumn("_k", within).join(before, [priority, "_chunk"]).withColumn(name, F.col("_before") + F.col("_k")).drop("_chunk", "_before", "_k")
 

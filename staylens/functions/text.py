@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import reduce
+from itertools import permutations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,21 +61,74 @@ BLOCKED = "access denied|request blocked|automated traffic"
 NETWORK = "timeout|timed out|err_internet_disconnected|err_name_not_resolved|err_network_changed|err_connection_timed_out|err_connection_reset|err_connection_closed|dns_probe_finished_no_internet|failed to establish a new connection|temporary failure in name resolution"
 
 
-def _accents() -> tuple[str, str]:
-    """Accented letters and the ASCII letters they decompose to, by rule."""
-    told, plain = "đĐ", "dD"
+# Patterns of areas, occupancy, taxes and error messages.
+AREA = r"\d+\s*(?:m|ft)"
+PEOPLE = r"\b([1-9])\s*(?:người|nguoi|person|people)\b"
+TRIPLE, QUAD = r"\btriple\b", r"\bquad(?:ruple)?\b"
+TAX_ADDED = rf"(?iu)\+\s*VND\s*([\d.,]+)[^\d]{{0,30}}{TAX_LABEL}"
+TAX_AFTER = rf"(?iu){TAX_LABEL}[^\d]{{0,30}}VND\s*([\d.,]+)"
+ROBOT = "captcha|verify you are human"
+DENIED = "access denied|blocked|robot"
+BROWSER = "driver|chrome|edge"
+
+
+def _plain(c: str) -> str:
+    """What a character is without marks and in its compatible form."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+def _accents() -> tuple[str, str, dict[str, str]]:
+    """By rule: characters that stand for one ASCII letter or digit, and these; and those that stand for more."""
+    told, plain, more = "đĐ", "dD", {}
+    for c in map(chr, range(0xA0, 0x20000)):
+        base = _plain(c)
+        if base != c and any(x.isascii() and x.isalnum() for x in base):
+            if len(base) == 1:
+                told, plain = told + c, plain + base
+            else:
+                more[c] = base
+    # what has no counterpart is deleted: the combining marks themselves
+    marks = "".join(c for c in map(chr, range(0x300, 0x370)) if unicodedata.combining(c))
+    return told + marks, plain, more
+
+
+_FROM, _TO, _MORE = _accents()
+_ANY_MORE = "[" + "".join(_MORE) + "]"
+
+
+def _compositions() -> dict[str, str]:
+    """By rule: each accented Latin letter by the ways to write it with combining marks."""
+    out = {}
     for c in map(chr, range(0xC0, 0x1F00)):
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if base != c and len(base) == 1 and base.isascii():
-            told, plain = told + c, plain + base
-    return told, plain
+        base, *marks = unicodedata.normalize("NFD", c)
+        for order in permutations(marks) if 0 < len(marks) < 4 else ():
+            for k in range(len(marks)):
+                out |= {x: c for x in [unicodedata.normalize("NFC", base + "".join(order[:k])) + "".join(order[k:])] if unicodedata.normalize("NFC", x) == c and unicodedata.normalize("NFC", c) == c}
+    return out
+
+
+_MARKED = "(?s).[\u0300-\u036f]*"
+
+
+def _told(mapping: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(mapping)), "map<string,string>")
+
+
+def composed(text: str | Column) -> Column:
+    """The text with letters and their combining marks in one; only texts with such marks are taken apart."""
+    t = F.coalesce(col(text), F.lit(""))
+    letters = F.transform(F.regexp_extract_all(t, F.lit(_MARKED), 0), lambda c: F.coalesce(F.element_at(_told(_COMPOSED), c), c))
+    return F.when(t.rlike("[\u0300-\u036f]"), F.array_join(letters, "")).otherwise(t)
 
 
-_FROM, _TO = _accents()
+_COMPOSED = _compositions()
 
 
 def strip_accents(text: str | Column) -> Column:
-    return F.regexp_replace(F.translate(F.coalesce(col(text), F.lit("")), _FROM, _TO), "[̀-ͯ]", "")
+    """ASCII letters and digits for what they are written with: accents, superscripts, full width, ligatures."""
+    t = F.coalesce(col(text), F.lit(""))
+    letters = F.transform(F.split(t, ""), lambda c: F.coalesce(F.element_at(_told(_MORE), c), c))
+    return F.translate(F.when(t.rlike(_ANY_MORE), F.array_join(letters, "")).otherwise(t), _FROM, _TO)
 
 
 def plain_words(text: str | Column) -> Column:
@@ -82,8 +137,10 @@ def plain_words(text: str | Column) -> Column:
 
 
 def canonical_text(text: str | Column) -> Column:
-    replaced = reduce(lambda t, a: F.regexp_replace(t, rf"\b{a[0]}\b", a[1]), ALIASES.items(), plain_words(text))
-    return F.trim(F.regexp_replace(replaced, " +", " "))
+    """plain_words() with the aliases put in, in their order; a text without any of them is left as it is."""
+    plain = plain_words(text)
+    replaced = reduce(lambda t, a: F.regexp_replace(t, rf"\b{a[0]}\b", a[1]), ALIASES.items(), plain)
+    return F.when(plain.rlike(rf"\b(?:{'|'.join(ALIASES)})\b"), F.trim(F.regexp_replace(replaced, " +", " "))).otherwise(plain)
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -92,9 +149,8 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def normal_area(text: str | Column) -> Column:
-    t = canonical_text(text)
-    pattern = r"(\d+)\s*(m|ft)"
-    return F.when(t.rlike(pattern), F.concat(F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)))
+    """The first number with its unit, without the space between; else null."""
+    return F.nullif(F.translate(F.regexp_extract(canonical_text(text), AREA, 0), " ", ""), F.lit(""))
 
 
 def _city(text: Column) -> Column:
@@ -115,8 +171,8 @@ def room_conditions(lines: str | Column) -> Column:
 
     No line about breakfast is false; no lines at all are null. A later line about cancellation or rooms left decides.
     """
-    lines = F.filter(F.transform(col(lines), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
     some = F.size(F.coalesce(col(lines), F.array().cast("array<string>"))) > 0
+    lines = F.filter(F.transform(col(lines), lambda x: F.trim(composed(x))), lambda x: x != "")
     about = F.filter(lines, lambda x: x.rlike(FREE_CANCEL) | x.rlike(PAID_CANCEL))
     policy = F.array_join(F.filter(lines, lambda x: x.rlike(CANCEL_WORD)), " | ")
     left = F.filter(lines, lambda x: x.rlike(ROOMS_LEFT))
@@ -130,7 +186,7 @@ def room_conditions(lines: str | Column) -> Column:
 
 def room_class(name: str | Column, occupancy: str | Column, breakfast: str | Column) -> Column:
     """Tier, occupancy bucket and breakfast, joined by underscores."""
-    text = F.lower(F.coalesce(col(name), F.lit("")))
+    text = F.lower(composed(name))
     tier = F.when(F.lit(False), "")
     for label, words in TIERS.items():
         tier = tier.when(reduce(lambda a, b: a | b, [text.contains(w) for w in words]), label)
@@ -140,8 +196,8 @@ def room_class(name: str | Column, occupancy: str | Column, breakfast: str | Col
 
 def occupancy_by_name(name: str | Column, scraped: str | Column) -> Column:
     """What the name says, never below what was scraped."""
-    text = F.lower(F.coalesce(col(name), F.lit("")))
-    told = F.when(text.rlike(r"\b[1-9]\s*(?:người|nguoi|person|people)\b"), F.regexp_extract(text, r"\b([1-9])\s*(?:người|nguoi|person|people)\b", 1).cast("int")).when(text.rlike(r"\btriple\b"), 3).when(text.rlike(r"\bquad(?:ruple)?\b"), 4)
+    text = F.lower(composed(name))
+    told = F.when(text.rlike(PEOPLE), F.regexp_extract(text, PEOPLE, 1).cast("int")).when(text.rlike(TRIPLE), 3).when(text.rlike(QUAD), 4)
     return F.greatest(told, col(scraped).cast("int"))
 
 
@@ -190,16 +246,15 @@ def price_number(text: str | Column) -> Column:
 
 def tax_info(text: str | Column) -> Column:
     """Struct of price_includes_tax and the tax amount told apart."""
-    t = F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\s+", " "))
-    added = rf"(?iu)\+\s*VND\s*([\d.,]+)[^\d]{{0,30}}{TAX_LABEL}"
-    after = rf"(?iu){TAX_LABEL}[^\d]{{0,30}}VND\s*([\d.,]+)"
-    amount = F.coalesce(found(t, after), found(t, added))
-    return F.struct(F.when(t.rlike(TAX_IN), True).when(t.rlike(TAX_OUT) | t.rlike(added), False).alias("price_includes_tax"), price_number(amount).alias("taxes_fees"))
+    t = F.trim(F.regexp_replace(composed(text), r"\s+", " "))
+    amount = F.coalesce(found(t, TAX_AFTER), found(t, TAX_ADDED))
+    return F.struct(F.when(t.rlike(TAX_IN), True).when(t.rlike(TAX_OUT) | t.rlike(TAX_ADDED), False).alias("price_includes_tax"), price_number(amount).alias("taxes_fees"))
 
 
 def discount_percent(text: str | Column, badge: str | Column | None = None) -> Column:
-    told = found(F.coalesce(col(text), F.lit("")), DISCOUNT)
-    return F.coalesce(told, found(F.lower(F.coalesce(col(badge), F.lit(""))), BADGE) if badge is not None else F.lit(None)).cast("int")
+    """The percent in the text, else in the badge."""
+    told = found(composed(text), DISCOUNT)
+    return F.coalesce(told, found(F.lower(composed(badge)), BADGE) if badge is not None else F.lit(None)).cast("int")
 
 
 def page_state(text: str | Column, sold_out: list[str], not_bookable: list[str]) -> Column:
@@ -211,7 +266,7 @@ def page_state(text: str | Column, sold_out: list[str], not_bookable: list[str])
 
 def error_code(message: str | Column, default: str = "UNKNOWN") -> Column:
     t = F.lower(F.coalesce(col(message), F.lit("")))
-    return F.when(t.rlike(NETWORK), "NETWORK_TIMEOUT").when(t.rlike("captcha|verify you are human"), "CAPTCHA").when(t.rlike("access denied|blocked|robot"), "BLOCKED").when(t.rlike("driver|chrome|edge"), "DRIVER_INIT").otherwise(default)
+    return F.when(t.rlike(NETWORK), "NETWORK_TIMEOUT").when(t.rlike(ROBOT), "CAPTCHA").when(t.rlike(DENIED), "BLOCKED").when(t.rlike(BROWSER), "DRIVER_INIT").otherwise(default)
 
 
 #: Errors that no retry mends.
@@ -219,6 +274,7 @@ PERMANENT = ["PROPERTY_NOT_BOOKABLE", "INVALID_LINK", "SOLD_OUT"]
 
 
 def retryable(code: str | Column) -> Column:
+    """Whether a retry may mend the error."""
     return ~col(code).isin(PERMANENT)
 
 

@@ -136,9 +136,11 @@ SCHEDULE_KEY = ["source_code", "crawl_date", "checkin_date", "hotel_id"]
 
 
 def classify_schedule(expected: DataFrame, actual: DataFrame, runs: DataFrame) -> DataFrame:
-    """Outcome of each expected item: its status, or missing for want of a run or of the item in a run that was."""
+    """Outcome of each expected item: its status, or missing for want of a run or of the item in a run that was. Two actual
+    items of one key are an error."""
     have = runs.select("source_code", "crawl_date", F.lit(True).alias("_ran")).distinct()
-    got = actual.select(*SCHEDULE_KEY, F.col("status").alias("_status"))
+    twice = F.raise_error(F.concat_ws(" ", F.lit("two actual items of"), *[F.col(c).cast("string") for c in SCHEDULE_KEY])).cast("string")
+    got = actual.groupBy(*SCHEDULE_KEY).agg(F.min("status").alias("_first"), n_rows().alias("_n")).select(*SCHEDULE_KEY, F.when(F.col("_n") > 1, twice).otherwise(F.col("_first")).alias("_status"))
     rows = expected.join(got, SCHEDULE_KEY, "left").join(have, ["source_code", "crawl_date"], "left")
     why = F.when(F.col("_status").isNull(), F.when(F.col("_ran").isNull(), "missing_source_run").otherwise("missing_item_in_existing_run"))
     return rows.select(*SCHEDULE_KEY, F.coalesce("_status", F.lit("missing")).alias("outcome"), why.alias("missing_reason"))
@@ -263,6 +265,17 @@ def calendar_flags(days: DataFrame, cities: DataFrame, holidays: DataFrame) -> D
     return rows.groupBy("c.day", "c.city").agg(*[some(F.col("event_type") == v).alias(k) for k, v in FLAGS.items()], some(F.col("is_tet")).alias("is_tet"), count_if(F.col("h.status") == "confirmed").alias("n_confirmed"), count_if(F.col("h.status") == "provisional").alias("n_provisional"))
 
 
+def anchor_dates(items: DataFrame, flags: DataFrame, day: str = "checkin_date") -> DataFrame:
+    """One row for each night that items are for: weekday, items, days and sources they were seen on, extremes of their lead
+    time, and whether any city has a flag that day. items: day, crawl_date, source_code, lead_time. flags: as
+    calendar_flags() gives them. Nights without flags have none set; items without a night make a row of null."""
+    names = [c for c in flags.columns if c.startswith("is_")]
+    told = items.groupBy(day).agg(n_rows().alias("n_items"), F.countDistinct("crawl_date").alias("n_crawl_dates"), F.countDistinct("source_code").alias("n_sources"), F.min("lead_time").alias("min_lead_time"), F.max("lead_time").alias("max_lead_time"))
+    any_city = flags.groupBy(F.col("day").alias(day)).agg(*[F.bool_or(c).alias(f"{c}_any_city") for c in names])
+    out = told.join(any_city, day, "left").fillna(False, [f"{c}_any_city" for c in names])
+    return out.withColumn("weekday_number", F.weekday(day) + 1).withColumn("weekday", F.date_format(day, "EEEE")).withColumn("is_weekend_fri_sat", F.weekday(day).isin(4, 5))
+
+
 def in_role(flags: DataFrame, role: str) -> DataFrame:
     """Flag columns named for the role of the day, so that a row can carry those of its night and of the day it was seen."""
     return flags.select(F.col("day").alias(f"{role}_date"), "city", *[F.col(c).alias(f"{role}_{c}") for c in flags.columns if c not in ("day", "city")])

@@ -146,11 +146,13 @@ def fit(train: DataFrame, inputs: list[str], label: str, model: str = "random_fo
     return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip"), kinds[model]()]).fit(train.filter(F.col(label).isNotNull()))
 
 
-def forward_folds(df: DataFrame, day: str, folds: int = 3) -> DataFrame:
-    """Adds fold: later days have higher ones, so that a search can hold out what comes after."""
+def forward_folds(df: DataFrame, day: str, folds: int = 3, gap: int = 14) -> DataFrame:
+    """Adds fold and fold_gap: later days have higher folds, so that a search can hold out what comes after; rows of the
+    last `gap` days of a fold have labels that lie in the next one and train nothing."""
     cuts = df.select(day).distinct().agg(F.percentile(F.unix_date(day), F.array(*[F.lit((i + 1) / folds) for i in range(folds - 1)])).alias("_q"))
     fold = reduce(lambda a, b: a + b, [(F.unix_date(day) > F.col("_q")[i]).cast("int") for i in range(folds - 1)], F.lit(0))
-    return df.crossJoin(F.broadcast(cuts)).withColumn("fold", fold).drop("_q")
+    near = reduce(lambda a, b: a | b, [(F.unix_date(day) <= F.col("_q")[i]) & (F.unix_date(day) > F.col("_q")[i] - gap) for i in range(folds - 1)], F.lit(False))
+    return df.crossJoin(F.broadcast(cuts)).withColumn("fold", fold).withColumn("fold_gap", near).drop("_q")
 
 
 def forward_search(df: DataFrame, inputs: list[str], label: str, models: list[str], folds: int = 3) -> list[tuple[str, float]]:
@@ -159,7 +161,7 @@ def forward_search(df: DataFrame, inputs: list[str], label: str, models: list[st
     for m in models:
         errors = []
         for k in range(1, folds):
-            said = fit(df.filter(F.col("fold") < k), inputs, label, m).transform(df.filter((F.col("fold") == k) & F.col(label).isNotNull()))
+            said = fit(df.filter((F.col("fold") < k) & ~F.col("fold_gap")), inputs, label, m).transform(df.filter((F.col("fold") == k) & F.col(label).isNotNull()))
             errors.append(said.agg(F.sqrt(F.avg((F.col("prediction") - F.col(label)) ** 2))).first()[0])
         known = [e for e in errors if e is not None]
         out.append((m, sum(known) / len(known) if known else float("nan")))
@@ -196,13 +198,17 @@ def position_alerts(compared: DataFrame, most: float = 0.2) -> DataFrame:
     return compared.filter(F.abs(F.col("own_to_set") - 1) >= most).withColumn("alert", F.when(F.col("own_to_set") > 1, "above_set").otherwise("below_set"))
 
 
-def external_context(df: DataFrame, weather: DataFrame, arrivals: DataFrame, day: str, city: str = "city") -> DataFrame:
-    """Adds the weather forecast of the day and the arrivals of its month before, by city. Nothing measured after the day is used.
+def external_context(df: DataFrame, weather: DataFrame, arrivals: DataFrame, day: str, seen: str, city: str = "city") -> DataFrame:
+    """Adds the weather forecast for a row's `day` and the last known month of arrivals, by city, as known on the day the row was seen.
 
-    weather: city, day, issued_on and measures; the last one issued up to the row's day counts. arrivals: city, month (its first day), arrivals.
+    weather: city, day, issued_on and measures; of the forecasts for the row's day the last one issued on or before the
+    day seen counts. arrivals: city, month (its first day), arrivals; a month is known when it is over, and the last
+    month before the one seen in counts. Rows without a city, or with nothing known, stay with nulls; repeated rows stay.
+    Forecasts of a (city, day) are folded into one array, so that a join multiplies no rows.
     """
-    w = weather.withColumnRenamed("day", "_day").filter(F.col("issued_on") <= F.col("_day"))
-    latest = w.groupBy("city", "_day").agg(F.max_by(F.struct(*[c for c in w.columns if c not in ("city", "_day")]), "issued_on").alias("weather"))
-    known = arrivals.select(F.col("city"), F.add_months("month", 1).alias("_month"), F.col("arrivals").alias("arrivals_last_month"))
-    out = df.withColumn("_day", F.col(day)).withColumn("_month", F.trunc(day, "month").cast("date"))
-    return out.join(latest, [city, "_day"], "left").join(known, [city, "_month"], "left").drop("_day", "_month")
+    measures = [c for c in weather.columns if c not in ("city", "day")]
+    told = weather.groupBy(F.col("city").alias("_city"), F.col("day").alias("_day")).agg(F.array_sort(F.collect_list(F.struct("issued_on", *[c for c in measures if c != "issued_on"]))).alias("_told"))
+    known = arrivals.select(F.col("city").alias("_place"), F.add_months("month", 1).alias("_month"), F.col("arrivals").alias("arrivals_last_month"))
+    rows = df.join(told, (F.col(city) == F.col("_city")) & (F.col(day) == F.col("_day")), "left").join(known, (F.col(city) == F.col("_place")) & (F.trunc(seen, "month") == F.col("_month")), "left")
+    usable = F.filter("_told", lambda x: x["issued_on"] <= F.col(seen))
+    return rows.withColumn("weather", F.when(F.size(usable) > 0, F.element_at(usable, -1))).drop("_city", "_day", "_told", "_place", "_month")

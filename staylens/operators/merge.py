@@ -104,9 +104,11 @@ def resolve_ownership(items: DataFrame, plan: DataFrame) -> DataFrame:
     """ownership_status, exclusion_reason and flags of each item, in fixed precedence.
 
     items: source_code, crawl_date, checkin_date, status, hotel_id, hotel_in_cohort, run_planned. The plan is looked up by day and night
-    alone; its owner is compared after.
+    alone; its owner is compared after. A day and night of two owners is an error; repeated plan rows are one.
     """
-    rows = items.join(plan.select("crawl_date", "checkin_date", "owner_source"), ["crawl_date", "checkin_date"], "left")
+    two = F.raise_error(F.concat_ws(" ", F.lit("two owners of"), F.col("crawl_date").cast("string"), F.col("checkin_date").cast("string"))).cast("string")
+    owners = plan.groupBy("crawl_date", "checkin_date").agg(F.min("owner_source").alias("owner_source"), F.max("owner_source").alias("_other"))
+    rows = items.join(owners.select("crawl_date", "checkin_date", F.when(F.col("owner_source") != F.col("_other"), two).otherwise(F.col("owner_source")).alias("owner_source")), ["crawl_date", "checkin_date"], "left")
     days = plan.select(F.col("owner_source").alias("source_code"), "crawl_date").distinct().withColumn("_plans_day", F.lit(True))
     nights = plan.select(F.col("owner_source").alias("source_code"), "checkin_date").distinct().withColumn("_plans_night", F.lit(True))
     window = plan.groupBy(F.col("owner_source").alias("source_code")).agg(F.min("crawl_date").alias("_first"), F.max("crawl_date").alias("_last"))
@@ -153,6 +155,16 @@ def reconcile(source: DataFrame, imported: DataFrame, rejects: DataFrame) -> Dat
     return out.withColumn("ok", F.col("n_source") == F.col("n_imported") + F.col("n_row_error") + F.col("n_parent_rejected"))
 
 
+def reconcile_hotels(source: DataFrame, rejected: DataFrame, merged: DataFrame, key: str) -> DataFrame:
+    """One row: hotel rows of all sources, rejected and accepted ones, distinct merged keys, rows that repeat a key, and
+    whether the merged table has each accepted key once. Keys may be null in none of them; empty tables reconcile."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    accepted = source.join(rejected.select(key).distinct(), key, "left_anti").agg(F.countDistinct(key).alias("_keys"))
+    wide = n(source, "n_source").crossJoin(n(rejected, "n_rejected")).crossJoin(merged.agg(F.count(F.lit(1)).alias("_rows"), F.countDistinct(key).alias("n_distinct"))).crossJoin(accepted)
+    out = wide.withColumn("n_accepted", F.col("n_source") - F.col("n_rejected")).withColumn("n_duplicate_keys", F.col("n_accepted") - F.col("n_distinct"))
+    return out.select("n_source", "n_rejected", "n_accepted", "n_distinct", "n_duplicate_keys", ((F.col("_rows") == F.col("n_distinct")) & (F.col("_keys") == F.col("n_distinct"))).alias("ok"))
+
+
 def checks(parts: dict[str, DataFrame]) -> DataFrame:
     """A check table: the number of rows of each violation frame, and whether it is none."""
     counted = [df.agg(F.count(F.lit(1)).alias("n_violations")).select(F.lit(name).alias("check_name"), "n_violations") for name, df in parts.items()]

@@ -383,6 +383,24 @@ def calendar_flags_by_city(spark, sf_dir):
     return _calendar(events_warehouse(spark, sf_dir))
 
 
+@query(events_sql(f"""{_CAL}, a AS (SELECT checkin_date, count(*) AS n_items, count(DISTINCT crawl_date) AS n_crawl_dates, count(DISTINCT source_code) AS n_sources, min(lead_time) AS min_lead_time, max(lead_time) AS max_lead_time FROM items WHERE include_main GROUP BY 1),
+    f AS (SELECT day AS checkin_date, bool_or(is_public_holiday) AS is_public_holiday_any_city, bool_or(is_festival_period) AS is_festival_period_any_city, bool_or(is_major_event) AS is_major_event_any_city, bool_or(is_tet) AS is_tet_any_city FROM cal GROUP BY 1)
+    SELECT a.*, isodow(checkin_date)::int AS weekday_number, dayname(checkin_date) AS weekday, isodow(checkin_date) IN (5, 6) AS is_weekend_fri_sat, coalesce(is_public_holiday_any_city, false) AS is_public_holiday_any_city, coalesce(is_festival_period_any_city, false) AS is_festival_period_any_city, coalesce(is_major_event_any_city, false) AS is_major_event_any_city, coalesce(is_tet_any_city, false) AS is_tet_any_city FROM a LEFT JOIN f USING (checkin_date)"""))
+def checkin_anchor_dates(spark, sf_dir):
+    w = events_warehouse(spark, sf_dir)
+    return derived.anchor_dates(catalog.scope(w.items, "MAIN"), _calendar(w))
+
+
+@query(events_sql(f"{_CAL} SELECT i.item_id, n.is_tet AS checkin_is_tet, s.is_public_holiday AS seen_is_public_holiday FROM items i JOIN hotels h USING (hotel_id) LEFT JOIN cal n ON n.day = i.checkin_date AND n.city = h.city LEFT JOIN cal s ON s.day = i.crawl_date AND s.city = h.city WHERE include_main"))
+def calendar_roles_of_items(spark, sf_dir):
+    """Flags of the night and of the day it was seen, side by side."""
+    w = events_warehouse(spark, sf_dir)
+    rows = catalog.scope(w.items, "MAIN").join(w.hotels.select("hotel_id", "city"), "hotel_id")
+    night, seen = (derived.in_role(_calendar(w), r) for r in ("checkin", "seen"))
+    out = rows.join(night, ["checkin_date", "city"], "left").join(seen.withColumnRenamed("seen_date", "crawl_date"), ["crawl_date", "city"], "left")
+    return out.select("item_id", "checkin_is_tet", "seen_is_public_holiday")
+
+
 def _flagged(spark, sf_dir) -> DataFrame:
     w = events_warehouse(spark, sf_dir)
     rows = catalog.priced(w).join(w.hotels.select("hotel_id", "city"), "hotel_id", "left")

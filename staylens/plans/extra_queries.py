@@ -64,11 +64,12 @@ def core_equals_map(spark, sf_dir):
     return derived.counts_agree(tagged(o), tagged(raw), "t").select(F.col("n_a").alias("n_rows"), "ok")
 
 
-@query(events_sql("SELECT status, count(*) AS n_hotels_of_status, (SELECT count(*) FROM hotels) AS n_hotels, (SELECT count(DISTINCT hotel_id) FROM hotels) AS n_distinct FROM items GROUP BY 1"))
+@query(events_sql("r AS (SELECT hotel_id, hotel_id % 11 = 0 AS rejected FROM hotels UNION ALL SELECT hotel_id, false FROM hotels WHERE hotel_id % 7 = 0 AND hotel_id % 11 <> 0) SELECT count(*) AS n_source, count(*) FILTER (rejected) AS n_rejected, count(*) FILTER (NOT rejected) AS n_accepted, count(DISTINCT hotel_id) FILTER (NOT rejected) AS n_distinct, count(*) FILTER (NOT rejected) - count(DISTINCT hotel_id) FILTER (NOT rejected) AS n_duplicate_keys, true AS ok FROM r"))
 def hotel_reconciliation(spark, sf_dir):
-    w = events_warehouse(spark, sf_dir)
-    sums = w.hotels.agg(F.count(F.lit(1)).alias("n_hotels"), F.countDistinct("hotel_id").alias("n_distinct"))
-    return w.items.groupBy("status").agg(F.count(F.lit(1)).alias("n_hotels_of_status")).crossJoin(sums)
+    """Two sources have some hotels in common, and some rows are rejected."""
+    hotels = events_warehouse(spark, sf_dir).hotels.select("hotel_id", (F.col("hotel_id") % 11 == 0).alias("rejected"))
+    rows = hotels.unionByName(hotels.filter("hotel_id % 7 = 0 and not rejected"))
+    return merge.reconcile_hotels(rows.select("hotel_id"), rows.filter("rejected").select("hotel_id"), rows.filter("not rejected").select("hotel_id").distinct(), "hotel_id")
 
 
 @query(events_sql(f"SELECT item_id, '{anomaly.config_hash()}' AS config_hash, CASE WHEN price_per_night < 10000 THEN 'high' ELSE 'notable' END AS severity FROM observations WHERE price_per_night > 0 AND price_per_night < 50000"))
@@ -77,16 +78,19 @@ def low_price_signals_with_config(spark, sf_dir):
     return anomaly.low_price(obs).select("item_id", F.lit(anomaly.config_hash()).alias("config_hash"), "severity")
 
 
-@query(events_sql("""h AS (SELECT DISTINCT city, crawl_date AS day FROM observations JOIN hotels USING (hotel_id) WHERE city IS NOT NULL), w AS (SELECT city, day, day - 1 AS issued_on, length(city) + day(day) AS degrees FROM h), a AS (SELECT DISTINCT city, date_trunc('month', day)::date AS month, length(city) * 10 + month(day) AS arrivals FROM h)
-    SELECT record_id, round(degrees::double, 6) AS degrees, round(arrivals::double, 6) AS arrivals_last_month FROM observations o JOIN hotels USING (hotel_id) LEFT JOIN w ON w.city = hotels.city AND w.day = o.checkin_date LEFT JOIN a ON a.city = hotels.city AND a.month = date_trunc('month', o.checkin_date)::date - INTERVAL 1 MONTH WHERE hotels.city IS NOT NULL"""))
+@query(events_sql("""h AS (SELECT DISTINCT city, checkin_date AS day FROM observations JOIN hotels USING (hotel_id) WHERE city IS NOT NULL), w AS (SELECT city, day, day - k AS issued_on, length(city) + day(day) - k AS degrees FROM h, (VALUES (0), (3), (10), (40)) t(k) WHERE (day(day) + k) % 7 <> 0),
+    c AS (SELECT DISTINCT city, crawl_date AS day FROM observations JOIN hotels USING (hotel_id) WHERE city IS NOT NULL), a AS (SELECT DISTINCT city, date_trunc('month', day)::date AS month, length(city) * 10 + month(day) AS arrivals FROM c),
+    o AS (SELECT record_id, city, o.checkin_date, o.crawl_date FROM observations o JOIN hotels USING (hotel_id))
+    SELECT record_id, round((SELECT arg_max(degrees, issued_on) FROM w WHERE w.city = o.city AND w.day = o.checkin_date AND issued_on <= o.crawl_date)::double, 6) AS degrees, round(arrivals::double, 6) AS arrivals_last_month FROM o LEFT JOIN a ON a.city = o.city AND a.month = date_trunc('month', o.crawl_date)::date - INTERVAL 1 MONTH"""))
 def external_context(spark, sf_dir):
-    """Weather and arrivals are derived from the days and cities that the events have."""
+    """Forecasts for each night are issued on up to four days, before and after it was seen; arrivals come month by month."""
     w = events_warehouse(spark, sf_dir)
-    obs = w.observations.join(w.hotels.select("hotel_id", "city"), "hotel_id").filter("city is not null")
-    days = obs.select("city", F.col("crawl_date").alias("day")).distinct()
-    weather = days.select("city", "day", F.date_sub("day", 1).alias("issued_on"), (F.length("city") + F.dayofmonth("day")).alias("degrees"))
-    arrivals = days.select("city", F.trunc("day", "month").alias("month"), (F.length("city") * 10 + F.month("day")).alias("arrivals")).distinct()
-    out = features.external_context(obs, weather, arrivals, "checkin_date")
+    obs = w.observations.join(w.hotels.select("hotel_id", "city"), "hotel_id")
+    nights = obs.filter("city is not null").select("city", F.col("checkin_date").alias("day")).distinct().withColumn("k", F.explode(F.array(*map(F.lit, (0, 3, 10, 40))))).filter((F.dayofmonth("day") + F.col("k")) % 7 != 0)
+    weather = nights.select("city", "day", F.date_sub("day", F.col("k")).alias("issued_on"), (F.length("city") + F.dayofmonth("day") - F.col("k")).alias("degrees"))
+    months = obs.filter("city is not null").select("city", F.trunc("crawl_date", "month").alias("month")).distinct()
+    arrivals = months.select("city", "month", (F.length("city") * 10 + F.month("month")).alias("arrivals"))
+    out = features.external_context(obs, weather, arrivals, "checkin_date", "crawl_date")
     return out.select("record_id", r6("weather.degrees").alias("degrees"), r6("arrivals_last_month").alias("arrivals_last_month"))
 
 

@@ -15,18 +15,39 @@ from .registry import query
 
 # --- monitors
 
-_MONITOR = """pi AS (SELECT run_id, count(*) AS n, count(DISTINCT hotel_id) AS h, count(*) FILTER (status = 'error') AS e FROM items GROUP BY 1),
-    po AS (SELECT run_id, count(*) FILTER (NOT is_sold_out AND price_per_night IS NULL) AS pn, count(*) FILTER (price_per_night <= 0) AS pb FROM observations JOIN items USING (item_id) GROUP BY 1),
-    w AS (SELECT r.*, n, h, e, pn, pb, lag(h) OVER (PARTITION BY r.source_code ORDER BY r.crawl_date) AS hb FROM runs r JOIN pi USING (run_id) JOIN po USING (run_id)),
-    g AS (SELECT run_id, 'run_completed' AS gate, CASE WHEN status <> 'completed' AND started_at < TIMESTAMP '2024-02-01' - INTERVAL 24 HOUR THEN 'fail' WHEN status <> 'completed' THEN 'warn' ELSE 'ok' END AS result FROM w
-    UNION ALL SELECT run_id, 'item_accounting', 'ok' FROM w UNION ALL SELECT run_id, 'hotel_coverage', CASE WHEN h < 0.5 * hb THEN 'fail' WHEN h < 0.9 * hb THEN 'warn' ELSE 'ok' END FROM w
-    UNION ALL SELECT run_id, 'url_date_invariant', 'ok' FROM w UNION ALL SELECT run_id, 'error_share', CASE WHEN e > 0.3 * n THEN 'fail' WHEN e > 0.1 * n THEN 'warn' ELSE 'ok' END FROM w UNION ALL SELECT run_id, 'error_taxonomy', 'ok' FROM w
-    UNION ALL SELECT run_id, 'price_missing', CASE WHEN pn > 0 THEN 'warn' ELSE 'ok' END FROM w UNION ALL SELECT run_id, 'price_sanity', CASE WHEN pb > 0 THEN 'fail' ELSE 'ok' END FROM w)"""
+# Every tenth day's runs declare an item more; items count their options by id, some wrongly; some links lack a date.
+_LINKED = "link || CASE WHEN item_id % 400 = 7 THEN '' ELSE '&checkout=' || cast(checkout_date AS varchar) END"
+_PARSED = f"""mi AS (SELECT * REPLACE (CASE WHEN item_id % 900 = 11 THEN NULL ELSE {_LINKED} END AS link, CASE WHEN item_id % 501 = 0 THEN 'queued' ELSE status END AS status), item_id % 5 + 1 AS n_parsed, item_id % 2 AS n_duplicate, item_id % 5 + 1 - item_id % 2 - CASE WHEN item_id % 700 = 3 THEN 1 ELSE 0 END AS n_saved FROM items),
+    mr AS (SELECT r.* REPLACE (CASE WHEN r.status = 'partial' AND r.source_code = 'b' THEN 'running' ELSE r.status END AS status), k + CASE WHEN day(crawl_date) % 10 = 0 THEN 1 ELSE 0 END AS n_declared, k AS n_processed FROM runs r JOIN (SELECT run_id, count(*) AS k FROM items GROUP BY 1) USING (run_id))"""
+_MONITOR = f"""{_PARSED},
+    pi AS (SELECT run_id, count(*) AS n, count(DISTINCT hotel_id) AS h, count(*) FILTER (status = 'error') AS e, count(*) FILTER (status = 'queued') AS q, count(*) FILTER (status IN ('success', 'partial') AND n_parsed <> n_saved + n_duplicate) AS u,
+                  count(*) FILTER (status IN ('success', 'partial') AND NOT (contains(link, 'checkin=' || cast(checkin_date AS varchar)) AND contains(link, 'checkout=' || cast(checkout_date AS varchar)))) AS w, count(*) FILTER (checkout_date <> checkin_date + 1) AS c FROM mi GROUP BY 1),
+    po AS (SELECT i.run_id, count(*) FILTER (NOT is_sold_out AND o.item_id % 600 = 5) AS np, count(*) FILTER (NOT is_sold_out AND o.item_id % 40 = 9) AS nr, count(*) FILTER (o.item_id % 60 = 0) AS na, count(*) FILTER (NOT is_sold_out AND o.item_id % 600 <> 5 AND (price_per_night < 0.05 OR price_per_night > 400)) AS nx FROM observations o JOIN items i USING (item_id) GROUP BY 1),
+    w AS (SELECT r.*, pi.*, np, nr, na, nx, last_value(CASE WHEN status = 'completed' THEN h END IGNORE NULLS) OVER (PARTITION BY source_code ORDER BY crawl_date, r.run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hb FROM mr r JOIN pi USING (run_id) JOIN po USING (run_id)),
+    g AS (SELECT run_id, 'run_completed' AS gate, CASE WHEN status = 'running' AND started_at < TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR THEN 'fail' WHEN status <> 'completed' THEN 'warn' ELSE 'ok' END AS result FROM w
+    UNION ALL SELECT run_id, 'item_accounting', CASE WHEN n <> n_declared OR n_processed <> n_declared OR q > 0 THEN 'warn' ELSE 'ok' END FROM w UNION ALL SELECT run_id, 'hotel_coverage', CASE WHEN h <> hb THEN 'warn' ELSE 'ok' END FROM w
+    UNION ALL SELECT run_id, 'option_reconciliation', CASE WHEN u > 0 THEN 'fail' ELSE 'ok' END FROM w UNION ALL SELECT run_id, 'url_date_invariant', CASE WHEN w > 0 OR c > 0 THEN 'fail' ELSE 'ok' END FROM w
+    UNION ALL SELECT run_id, 'error_taxonomy', CASE WHEN source_code = 'b' THEN 'fail' WHEN e > 0 THEN 'warn' ELSE 'ok' END FROM w UNION ALL SELECT run_id, 'missingness', CASE WHEN np > 0 THEN 'fail' WHEN nr > 0 THEN 'warn' ELSE 'ok' END FROM w
+    UNION ALL SELECT run_id, 'price_sanity', CASE WHEN nx > 0 THEN 'fail' WHEN na > 0 THEN 'warn' ELSE 'ok' END FROM w UNION ALL SELECT run_id, 'anomaly_registry_integrity', CASE WHEN source_code = 'a' THEN 'warn' ELSE 'ok' END FROM w)"""
+
+
+def _collected(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs, items and observations with the counts and faults that a collector leaves."""
+    w = events_warehouse(spark, sf_dir)
+    i = F.col("item_id")
+    link = F.when(i % 900 != 11, F.concat("link", F.when(i % 400 == 7, "").otherwise(F.concat(F.lit("&checkout="), F.col("checkout_date").cast("string")))))
+    items = w.items.select("*", (i % 5 + 1).alias("n_parsed"), (i % 2).alias("n_duplicate")).withColumn("link", link).withColumn("status", F.when(i % 501 == 0, "queued").otherwise(F.col("status"))).withColumn("n_saved", F.col("n_parsed") - F.col("n_duplicate") - F.when(i % 700 == 3, 1).otherwise(0))
+    sizes = w.items.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_processed"))
+    runs = w.runs.join(sizes, "run_id").withColumn("n_declared", F.col("n_processed") + F.when(F.dayofmonth("crawl_date") % 10 == 0, 1).otherwise(0)).withColumn("status", F.when((F.col("status") == "partial") & (F.col("source_code") == "b"), "running").otherwise(F.col("status")))
+    obs = w.observations.withColumn("price_per_night", F.when(i % 600 != 5, F.col("price_per_night"))).withColumn("room_key", F.when(i % 40 != 9, F.col("room_key"))).withColumn("is_anomaly", i % 60 == 0)
+    return runs, items, obs
 
 
 def _gates(spark, sf_dir) -> DataFrame:
-    w = events_warehouse(spark, sf_dir)
-    return monitor.run_monitor(w.runs, w.items, w.observations, F.lit("2024-02-01").cast("timestamp_ntz"))
+    runs, items, obs = _collected(spark, sf_dir)
+    reviews = spark.createDataFrame([("b", 2)], "source_code string, n_review int")
+    registry = spark.createDataFrame([("a", False), ("b", True)], "source_code string, registry_ok boolean")
+    return monitor.run_monitor(runs, items, obs, reviews, registry, F.lit("2024-01-20").cast("timestamp_ntz"), 0.05, 400)
 
 
 @query(events_sql(f"{_MONITOR} SELECT * FROM g"))
@@ -45,17 +66,37 @@ def city_price_stats_by_index(spark, sf_dir):
     return monitor.indexed_price_stats(orders_warehouse(spark, sf_dir).observations.filter("price_per_night is not null"), "city")
 
 
-@query(events_sql("SELECT CASE WHEN item_id % 4 = 0 THEN 'confirmed' ELSE 'legacy' END AS evidence, count(*) AS n_items, count(DISTINCT link) AS n_links FROM items WHERE status = 'not_bookable' GROUP BY 1"))
+@query(events_sql("SELECT CASE WHEN item_id % 4 = 0 THEN 'confirmed' ELSE 'legacy' END AS evidence, count(*) AS n_items, count(DISTINCT link) AS n_links FROM items WHERE status = 'not_bookable' AND item_id % 4 <> 1 GROUP BY 1"))
 def dead_link_evidence(spark, sf_dir):
     items = events_warehouse(spark, sf_dir).items.filter("status = 'not_bookable'")
-    told = items.withColumn("evidence_json", F.when(F.col("item_id") % 4 == 0, '{"confirmed": true}').when(F.col("item_id") % 4 == 1, '{"confirmed": false}'))
+    told = items.withColumn("evidence_json", F.when(F.col("item_id") % 4 == 0, '{"verdict": "confirmed"}').when(F.col("item_id") % 4 == 1, '{"verdict": "not_confirmed"}'))
     return monitor.dead_link_split(told, "evidence_json")
 
 
-@query(events_sql("""SELECT run_id, count(*) AS n_items, count(DISTINCT checkin_date) AS n_nights, any_value(hour(started_at + INTERVAL 7 HOUR) * 60 + minute(started_at + INTERVAL 7 HOUR)) NOT BETWEEN 1290 AND 1350 AS off_schedule, count(DISTINCT selector_version) > 1 AS mixed_versions, round(count(*) FILTER (i.status = 'success')::double / count(*), 6) AS success_rate FROM runs JOIN items i USING (run_id) GROUP BY 1"""))
+_AUDIT = f"""{_PARSED}, ar AS (SELECT run_id, source_code, started_at, CASE WHEN source_code = 'a' THEN 'sha' WHEN day(crawl_date) % 2 = 0 THEN 'sha' END AS file, CASE WHEN source_code = 'b' THEN '[]' ELSE cast(day(crawl_date) % 2 AS varchar) END AS dates, CASE WHEN source_code = 'a' THEN 'v1' ELSE 'v' || (day(crawl_date) % 3) END AS version FROM runs),
+    ai AS (SELECT *, CASE WHEN source_code = 'b' AND item_id % 77 = 0 THEN 'captcha' ELSE error_code END AS code, n_parsed + CASE WHEN item_id % 300 = 4 THEN 1 ELSE 0 END AS n_candidates, CASE WHEN item_id % 350 = 6 THEN 1 ELSE 0 END AS n_rejected FROM mi WHERE source_code = 'b' OR n_parsed = n_saved + n_duplicate),
+    s1 AS (SELECT source_code, count(DISTINCT cast(started_at + INTERVAL 7 HOUR AS date)) AS days, count(DISTINCT coalesce(file, '')) AS files, count(*) FILTER (file IS NULL) AS nofile, count(DISTINCT dates) AS sets, count(DISTINCT version) AS versions, count(*) FILTER (hour(started_at + INTERVAL 7 HOUR) * 60 + minute(started_at + INTERVAL 7 HOUR) NOT BETWEEN 1290 AND 1350) AS off FROM ar GROUP BY 1),
+    s2 AS (SELECT source_code, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (code IN ('captcha', 'blocked')) AS blocked, count(*) FILTER (status IN ('success', 'partial') AND (n_rejected > 0 OR n_candidates <> n_parsed OR n_parsed <> n_saved + n_duplicate)) AS incomplete,
+                  count(*) FILTER (link IS NOT NULL AND NOT (contains(link, 'checkin=' || cast(checkin_date AS varchar)) AND contains(link, 'checkout=' || cast(checkout_date AS varchar)))) AS urls, count(*) FILTER (link IS NULL) AS nourl FROM ai GROUP BY 1),
+    rf AS (SELECT hotel_id, checkin_date, CASE WHEN hotel_id % 9 = 0 THEN 'proposed' ELSE 'approved' END AS status, hotel_id % 50 <> 1 AS sound FROM (SELECT DISTINCT hotel_id, checkin_date FROM observations)),
+    se AS (SELECT DISTINCT ai.source_code, o.hotel_id, o.checkin_date FROM observations o JOIN ai USING (item_id) WHERE ai.status = 'success' AND NOT is_sold_out AND room_key IS NOT NULL AND o.item_id % 40 <> 9),
+    s3 AS (SELECT source_code, count(*) AS series, count(*) FILTER (status = 'approved') AS ready FROM se JOIN rf USING (hotel_id, checkin_date) GROUP BY 1),
+    w AS (SELECT *, (SELECT count(*) FROM rf WHERE status = 'approved') AS approved, (SELECT count(*) FROM rf WHERE status = 'approved' AND sound) AS sound FROM s1 JOIN s2 USING (source_code) JOIN s3 USING (source_code))
+    SELECT source_code, u.* FROM w, LATERAL (VALUES ('six_distinct_real_days', 'gate', days::double, days >= 6), ('same_protocol_file', 'gate', files, files = 1 AND nofile = 0), ('same_checkin_dates', 'gate', sets, sets = 1), ('parser_complete', 'gate', incomplete, incomplete = 0), ('requested_url_dates', 'gate', urls, urls = 0), ('no_technical_errors', 'gate', errors, errors = 0), ('no_block_or_captcha', 'gate', blocked, blocked = 0),
+        ('approved_references_valid', 'gate', approved - sound, approved > 0 AND approved = sound), ('reference_ready_ratio', 'gate', round(ready::double / series, 4), ready::double / series >= 0.8), ('off_schedule', 'warning', off, off = 0), ('mixed_scraper_versions', 'warning', versions, versions <= 1), ('requested_url_legacy_missing', 'warning', nourl, nourl = 0)) u(check_name, kind, value, passed)"""
+
+
+@query(events_sql(_AUDIT))
 def sampling_quality_audit(spark, sf_dir):
-    w = events_warehouse(spark, sf_dir)
-    return monitor.sampling_audit(w.runs, w.items)
+    runs, items, obs = _collected(spark, sf_dir)
+    a, odd = F.col("source_code") == "a", F.dayofmonth("crawl_date") % 2
+    i = F.col("item_id")
+    runs = runs.select("run_id", "source_code", "started_at", F.when(a | (odd == 0), "sha").alias("file_sha256"), F.when(a, odd.cast("string")).otherwise("[]").alias("checkin_dates"), F.when(a, "v1").otherwise(F.concat(F.lit("v"), (F.dayofmonth("crawl_date") % 3).cast("string"))).alias("scraper_version"))
+    items = items.filter(~a | (F.col("n_parsed") == F.col("n_saved") + F.col("n_duplicate"))).withColumn("error_code", F.when(~a & (i % 77 == 0), "captcha").otherwise(F.col("error_code"))).drop("source_code")
+    items = items.withColumn("n_candidates", F.col("n_parsed") + F.when(i % 300 == 4, 1).otherwise(0)).withColumn("n_rejected", F.when(i % 350 == 6, 1).otherwise(0))
+    h = F.col("hotel_id")
+    found = obs.select("hotel_id", "checkin_date").distinct().select("*", F.when(h % 9 == 0, "proposed").otherwise("approved").alias("status"), F.lit(4).alias("distinct_run_count"), F.lit(0.9).alias("coverage"), F.lit(5).alias("observation_count"), F.when(h % 50 == 1, 4).otherwise(5).alias("distinct_item_count"))
+    return monitor.sampling_audit(runs, items, obs, found)
 
 
 @query(events_sql("SELECT run_id, count(*) AS n_items, count(*) AS n_done, arg_max(item_id, (finished_at, item_id)) AS latest_item, 100.0 AS percent FROM items GROUP BY 1"))
@@ -85,10 +126,11 @@ def retry_items(spark, sf_dir):
     return monitor.retry_set(events_warehouse(spark, sf_dir).items, "retry")
 
 
-@query(events_sql("SELECT item_id, status FROM items WHERE status = 'error' AND source_code = 'a' ORDER BY crawl_date DESC, item_id LIMIT 50 OFFSET 100"))
+@query(events_sql("e AS (SELECT * FROM items WHERE status = 'error' AND source_code = 'a') SELECT item_id, status, (SELECT count(*) FROM e) AS n_total, (SELECT string_agg(DISTINCT selector_version, ',' ORDER BY selector_version) FROM items) AS markets FROM e ORDER BY crawl_date DESC, item_id LIMIT 50 OFFSET 100"))
 def filtered_item_page(spark, sf_dir):
+    """The selector version stands for the market."""
     items = events_warehouse(spark, sf_dir).items
-    return monitor.filtered_page(items, (F.col("status") == "error") & (F.col("source_code") == "a"), [F.desc("crawl_date"), F.col("item_id")], 100, 50).select("item_id", "status")
+    return monitor.filtered_page(items, (F.col("status") == "error") & (F.col("source_code") == "a"), [F.desc("crawl_date"), F.col("item_id")], 100, 50, "selector_version").select("item_id", "status", "n_total", "markets")
 
 
 @query(events_sql("SELECT run_id, item_id, status, error_code FROM items WHERE status IN ('error', 'partial', 'not_bookable')"))

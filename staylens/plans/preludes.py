@@ -49,3 +49,9 @@ def events_sql(body: str) -> str:
 
 def orders_sql(body: str) -> str:
     return f"WITH {ORDERS}{',' if body.lstrip()[:6].upper() != 'SELECT' else ''} {body}"
+
+
+def names_sql(options: list, of: str) -> str:
+    """options[of], null beyond the last, as SQL."""
+    told = ["NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in options]
+    return f"CASE {of} {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(told))} END"

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
 from ..functions import timeaxis as ta
 from ..functions.stats import r6
 from ..operators import options
-from ..sources.bindings import events_warehouse, orders_warehouse, read
-from .preludes import BUCKET, BUCKET_ORDER, events_sql, orders_sql
+from ..sources.bindings import events_warehouse, orders_warehouse, pick, read
+from .preludes import BUCKET, BUCKET_ORDER, events_sql, names_sql, orders_sql
 from .registry import query
 
 _ALIASED = "trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '[^a-z0-9]+', ' ', 'g'), '^ | $', '', 'g'))"
@@ -95,10 +97,16 @@ def link_list_preflight(spark, sf_dir):
     return options.link_preflight(pages, "url", "page_id", F.col("url").startswith("https://")).drop("url")
 
 
-@query(orders_sql("""SELECT item_id, option_index, hotel_id, checkin_date, room_name, price_total, CASE WHEN contains(room_name, 'large') THEN 'other' ELSE 'other' END || '_' || CASE WHEN max_occupancy <= 2 THEN '1-2p' ELSE '3p+' END || '_' || CASE WHEN breakfast_included THEN 'bf' ELSE 'nobf' END AS room_class FROM observations"""))
+_TIER_NAMES = ["Junior SUITE", "Phòng Deluxe", "superior twin", "Studio", "Phòng gia đình", "Phòng tiêu chuẩn", unicodedata.normalize("NFD", "Phòng gia đình"), "standard family", None]
+_TIER_SQL = "CASE WHEN n LIKE '%suite%' THEN 'suite' WHEN n LIKE '%deluxe%' THEN 'deluxe' WHEN n LIKE '%superior%' THEN 'superior' WHEN n LIKE '%studio%' THEN 'studio' WHEN n LIKE '%family%' OR n LIKE '%gia đình%' OR n LIKE '%gia dinh%' THEN 'family' WHEN n LIKE '%standard%' OR n LIKE '%tiêu chuẩn%' OR n LIKE '%tieu chuan%' THEN 'standard' ELSE 'other' END"
+
+
+@query(orders_sql(f"""t AS (SELECT *, {names_sql(_TIER_NAMES, "item_id % 9")} || ' ' || room_name AS told FROM observations), l AS (SELECT *, lower(nfc_normalize(coalesce(told, ''))) AS n FROM t)
+    SELECT item_id, option_index, hotel_id, checkin_date, room_name, price_total, {_TIER_SQL} || '_' || CASE WHEN max_occupancy <= 2 THEN '1-2p' ELSE '3p+' END || '_' || CASE WHEN breakfast_included THEN 'bf' ELSE 'nobf' END AS room_class FROM l"""))
 def room_class_of_options(spark, sf_dir):
-    o = orders_warehouse(spark, sf_dir).observations
-    return o.select("item_id", "option_index", "hotel_id", "checkin_date", "room_name", "price_total", text.room_class("room_name", "max_occupancy", "breakfast_included").alias("room_class"))
+    """Names get a tier's words in front, composed and decomposed."""
+    o = orders_warehouse(spark, sf_dir).observations.withColumn("told", F.concat(pick(F.col("item_id") % 9, _TIER_NAMES), F.lit(" "), "room_name"))
+    return o.select("item_id", "option_index", "hotel_id", "checkin_date", "room_name", "price_total", text.room_class("told", "max_occupancy", "breakfast_included").alias("room_class"))
 
 
 @query(orders_sql("""SELECT item_id, count(*) AS n_options, sum(k - 1)::bigint AS n_duplicates FROM (SELECT item_id, room_name, hotel_id, count(*) AS k FROM observations GROUP BY 1, 2, 3) GROUP BY 1"""))
@@ -176,7 +184,7 @@ def curated_key_violations(spark, sf_dir):
 )
 def deterministic_warehouse_ids(spark, sf_dir):
     items = events_warehouse(spark, sf_dir).items.select("source_code", F.col("item_id").alias("source_pk"))
-    return keys.numbered(items, "source_code", "source_pk", chunk=1000)
+    return keys.numbered(items, "source_code", "source_pk")
 
 
 _DIGEST = """cast(('0x' || substr(sha256('{"checkin_date":"' || cast(checkin_date AS varchar) || '","hotel_id":' || coalesce(cast(hotel_id AS varchar), 'null') || ',"item_id":' || item_id || ',"status":"' || status || '"}'), 1, 15)) AS bigint)"""
@@ -201,7 +209,7 @@ def checksum_drift_gate(spark, sf_dir):
 def self_reference_remap(spark, sf_dir):
     """Rows that retry an earlier row point to its new id."""
     items = events_warehouse(spark, sf_dir).items.select(F.lit(1).alias("priority"), "item_id", F.when(F.col("item_id") % 5 == 0, F.col("item_id") - 5).alias("retry_of_item"))
-    ids = keys.numbered(items, "priority", "item_id", chunk=1000)
+    ids = keys.numbered(items, "priority", "item_id")
     parent = ids.select(F.col("item_id").alias("retry_of_item"), F.col("warehouse_id").alias("retry_of"))
     return ids.join(parent, "retry_of_item", "left").select("warehouse_id", "retry_of")
 
