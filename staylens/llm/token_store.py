@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import pieces, shared_dir, write_shared
+from .common import pieces, shared_folder, write_shared
 
 MAGIC = b"SSTOKEN1"
 _FOOTER = struct.Struct("<QQQQQQQII8s")  # index at, size; filter at, size; documents, ids, bytes of an id; crc of index, of filter
@@ -386,5 +386,5 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """Write the documents to shards in the shared folder and read those back; see write_shards() and read_shards()."""
-    folder = shared_dir(docs.sparkSession)
+    folder = shared_folder(docs.sparkSession)
     return read_shards(write_shared(write_shards(docs, path, folder, end_id)), folder)

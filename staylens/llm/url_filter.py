@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw_texts, shared_dir, write_shared
+from .common import raw_texts, shared_folder, write_shared
 
 #: Host and path after the first "://".
 PARTS = r"(?s)^.*?://(?P<host>[^/?#]*)(?P<path>[^?#]*)"
@@ -192,9 +192,7 @@ def judge(pages: DataFrame, entries: DataFrame, other: str = "allow", most_mappe
     lengths = sorted(r[0] for r in entries.select((F.octet_length("entry") - cut).alias("n")).distinct().collect())
     schema = T.StructType([*pages.schema.fields, *(T.StructField(x, T.StringType()) for x in ("host", "path", "rule", "verdict"))])
     bits = (max(0, entries.count() - 1) // max(1, most_mapped)).bit_length()
-    folder = shared_dir(spark)
-    fs, base = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(base, recursive=True)
+    folder = shared_folder(spark)
     sorted_out = entries.withColumn("range", _range(bits)).repartition(1 << bits, "range").sortWithinPartitions("range", "digest").select("range", "digest", "entry", "blocks")
     files = write_shared(sorted_out.mapInArrow(lambda it: _filed(folder, it), "name string, range int"))
     if bits:

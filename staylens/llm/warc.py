@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, raw_texts, shared_dir, write_shared
+from .common import pieces, raw_texts, shared_folder, write_shared
 
 VERSION = b"WARC/1.0\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -368,7 +368,7 @@ def read_archives(folder: str, files: DataFrame, with_payload: bool = True, most
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write pages as archives to the shared folder and read those back: page_id (as pages has it) and what read_archives()
     tells. See write_archives() for nulls, repeated rows and empty tables."""
-    folder = shared_dir(pages.sparkSession)
+    folder = shared_folder(pages.sparkSession)
     read = read_archives(folder, write_shared(write_archives(pages, folder, least_bytes)), with_payload=False)
     kind = pages.schema["page_id"].dataType
     name = lambda x: F.when(F.col(x) != "", F.col(x)).cast(kind)

@@ -13,14 +13,16 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from staylens.llm import queries, quality
+from staylens.llm import queries
 from staylens.llm.oracles import ORACLES
 
 from .samples import DOCS, ITEMS
 from .test_byte_bpe import library  # noqa: F401
 from .test_decontaminate import _brute as hits
+from .test_near_copies import _kept as near
 from .test_ppm import _base
 from .test_quality import _base as measures
+from .test_quality import verdict
 from .test_simhash import _components, _print
 
 IDS = [(d, t, g) for d, t, g in dict((x[0], x) for x in DOCS).values() if d is not None]
@@ -66,6 +68,7 @@ def test_byte_bpe(spark, tables, library):  # noqa: F811
 def test_quality(spark, tables):
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in queries.op4_quality(spark, tables).collect()}
     assert got == {d: measures(t) for d, t, _ in IDS}
+    assert {r.doc_id: r.kept for r in queries.op4_quality(spark, tables).collect()} == {d: verdict(t, g)[1] for d, t, g in IDS}
 
 
 def test_warc(spark, tables):
@@ -117,17 +120,9 @@ def test_html_of_given_pages(spark):
 
 def test_pipeline_equals_brute_force(spark, tables, library):  # noqa: F811
     docs = [r for r in IDS]
-    model = queries.RULES
-    kept = []
-    for d, t, g in docs:
-        row = next(quality._measures(model, [t or ""], [(t or "").encode()], [g]))
-        if row[-1]:
-            kept.append((d, t))
-    of = _components({_print(t) for _, t in kept})
-    least = {}
-    for d, t in kept:
-        least[of[_print(t)]] = min(d, least.get(of[_print(t)], d))
-    kept = [(d, t) for d, t in kept if least[of[_print(t)]] == d]
+    kept = [(d, t) for d, t, g in docs if verdict(t, g)[1]]
+    stays = set(near(kept))
+    kept = [(d, t) for d, t in kept if d in stays]
     hit = {d for d, _, n, _ in hits(kept, [r for r in ITEMS if r[0] is not None], 10) if n}
     kept = [(d, t) for d, t in kept if d not in hit]
     assert 1 in hit and kept
