@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import normal_area, token_similarity
 
 SERIES = ["hotel_id", "checkin_date"]
+# The weights of a match, and the least score of an alias.
+WEIGHTS = {"name": 0.65, "occupancy": 0.15, "area": 0.10, "rate": 0.10}
+ALIAS_SCORE = 0.80
 CANDIDATE = [*SERIES, "room_key", "rate_key"]
 
 
@@ -56,9 +59,9 @@ def match_score(room: str = "", ref: str = "ref_") -> Column:
     a, b = (lambda c: F.col(room + c)), (lambda c: F.col(ref + c))
     same_rate = F.coalesce(a("rate_key") == b("rate_key"), F.lit(False))
     exact = same_rate & F.coalesce(a("room_key") == b("room_key"), F.lit(False))
-    score = 0.65 * token_similarity(a("room_name"), b("room_name")) + 0.15 * a("max_occupancy").eqNullSafe(b("max_occupancy")).cast("double") + 0.10 * normal_area(a("room_area")).eqNullSafe(normal_area(b("room_area"))).cast("double") + 0.10 * same_rate.cast("double")
+    score = WEIGHTS["name"] * token_similarity(a("room_name"), b("room_name")) + WEIGHTS["occupancy"] * a("max_occupancy").eqNullSafe(b("max_occupancy")).cast("double") + WEIGHTS["area"] * normal_area(a("room_area")).eqNullSafe(normal_area(b("room_area"))).cast("double") + WEIGHTS["rate"] * same_rate.cast("double")
     rounded = F.round(score, 4)
-    return F.when(exact, F.struct(F.lit("exact").alias("match"), F.lit(1.0).alias("score"))).otherwise(F.struct(F.when(same_rate & (score >= 0.80 - 1e-12), "alias").otherwise("not_reference").alias("match"), rounded.alias("score")))
+    return F.when(exact, F.struct(F.lit("exact").alias("match"), F.lit(1.0).alias("score"))).otherwise(F.struct(F.when(same_rate & (score >= ALIAS_SCORE - 1e-12), "alias").otherwise("not_reference").alias("match"), rounded.alias("score")))
 
 
 def best_match(scored: DataFrame, item: list[str]) -> DataFrame:
@@ -86,10 +89,10 @@ def recalibrate(old: DataFrame, found: DataFrame, **thresholds: float) -> DataFr
     return new.unionByName(kept, allowMissingColumns=True)
 
 
-def refresh(old: DataFrame, found: DataFrame, run_id: Column, **thresholds: float) -> DataFrame:
-    """References after a run: series that it touched and that have none approved are built anew, the others stay."""
+def refresh(old: DataFrame, found: DataFrame, of_run: Column, **thresholds: float) -> DataFrame:
+    """References after a run: series that it touched and that have none approved are built anew, the others stay. of_run: which evidence is the run's."""
     approved = old.filter("status = 'approved'").select(*SERIES)
-    touched = found.filter(F.col("run_id") == run_id).select(*SERIES).distinct().join(approved, SERIES, "left_anti")
+    touched = found.filter(of_run).select(*SERIES).distinct().join(approved, SERIES, "left_anti")
     return old.join(touched, SERIES, "left_anti").unionByName(build(found.join(touched, SERIES, "left_semi"), **thresholds), allowMissingColumns=True)
 
 

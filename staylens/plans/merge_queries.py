@@ -161,32 +161,53 @@ def import_reconciliation(spark, sf_dir):
 
 
 def _integrity(spark, sf_dir) -> DataFrame:
+    """The warehouse with a fault of each kind put in, by id, and its maps from the sources."""
     e, o = events_warehouse(spark, sf_dir), orders_warehouse(spark, sf_dir)
-    items, obs = e.items, e.observations
-    flagged = items.select("item_id", "include_raw", "include_main", "include_reference", "ownership_status")
+    i, r = F.col("item_id"), F.col("record_id")
+    items = e.items.withColumn("status", F.when(i % 501 == 0, "queued").otherwise(F.col("status"))).withColumn("reference_status", F.when(i % 640 == 0, "exact").otherwise("calibrating"))
+    obs = e.observations.filter("record_id % 811 <> 3").join(e.items.select("item_id", "run_id"), "item_id").withColumn("run_id", F.when(r % 433 == 0, F.concat(F.lit("z"), "run_id")).otherwise(F.col("run_id"))).withColumn("is_reference_room", r % 547 == 0)
+    runs = e.runs.withColumn("status", F.when((F.dayofmonth("crawl_date") == 5) & (F.col("source_code") == "a"), "running").otherwise(F.col("status")))
+    run_map = e.runs.filter("dayofmonth(crawl_date) <> 9 or source_code = 'b'").select("run_id", "source_code", (F.dayofmonth("crawl_date") != 11).alias("include_main"))
+    item_map = e.items.filter("item_id % 379 <> 2").select("item_id", "run_id", F.when(i % 283 == 4, "x").otherwise(F.col("source_code")).alias("source_code"), "include_raw", "include_main", "include_reference", F.when(i % 1000 == 26, "unassigned").otherwise(F.col("ownership_status")).alias("ownership_status"), "exclusion_reason", F.when(i % 613 != 5, "slot").alias("schedule_slot"))
+    obs_map = e.observations.filter("record_id % 457 <> 6").select("record_id", F.when(r % 700 == 8, "ABC").otherwise(F.sha2(r.cast("string"), 256)).alias("source_record_sha256"))
+    mapped = item_map.join(run_map.select("run_id", F.col("source_code").alias("run_source"), F.col("include_main").alias("run_main")), "run_id")
+    refs = e.hotels.select("hotel_id", F.lit("approved").alias("status")).unionByName(e.hotels.filter("hotel_id % 8 = 0").select("hotel_id", F.lit("approved").alias("status")))
     return merge.checks({
+        "items_without_run": merge.orphans(items, runs.filter("dayofmonth(crawl_date) <> 3"), "run_id"),
         "orphan_observations": merge.orphans(o.observations, o.items.filter("item_id % 100 <> 1"), "item_id"),
         "duplicate_item_option": merge.repeated(o.observations, "item_id", "option_index"),
-        "observation_night_differs": obs.join(items.select("item_id", F.col("checkin_date").alias("d")), "item_id").filter(~F.col("checkin_date").eqNullSafe(F.col("d"))),
-        "items_without_run": merge.orphans(items, e.runs.filter("status = 'completed'"), "run_id"),
-        "items_without_hotel": items.filter("status = 'success' and hotel_id is null"),
-        "success_without_observation": items.filter("status = 'success'").join(obs.filter("not is_sold_out"), "item_id", "left_anti"),
-        "child_flag_above_parent": flagged.filter("(include_main and not include_raw) or (include_reference and not include_main)"),
-        "unassigned_with_flags": flagged.filter("ownership_status = 'unassigned' and (include_main or include_reference)"),
-        "unfinished_items": items.filter(~F.col("status").isin("success", "partial", "sold_out", "not_bookable", "error")),
-        "bad_key_format": obs.filter(~F.coalesce(F.col("room_key"), F.lit("0")).rlike("^[0-9a-f]+$")),
-        "city_outside_scope": e.hotels.filter("city is null"),
-        "rejections_unwaived": e.rejections.filter("not waived"),
-        "hotel_key_repeated": merge.repeated(e.hotels, "hotel_id"),
+        "observation_of_other_run": obs.join(items.select("item_id", F.col("run_id").alias("_run")), "item_id").filter("run_id <> _run"),
+        "run_without_map": merge.orphans(runs, run_map, "run_id"),
+        "item_without_map": merge.orphans(items, item_map, "item_id"),
+        "observation_without_map": merge.orphans(obs, obs_map, "record_id"),
+        "bad_fingerprint_format": obs_map.filter(~F.col("source_record_sha256").rlike("^[0-9a-f]{64}$")),
+        "item_map_of_other_source": mapped.filter("source_code <> run_source"),
+        "child_flag_above_parent": mapped.filter("include_main and not run_main"),
+        "unassigned_with_flags": item_map.filter("ownership_status = 'unassigned' and (include_main or include_reference or exclusion_reason is null)"),
+        "resolved_without_slot": item_map.filter("ownership_status <> 'unassigned' and schedule_slot is null"),
+        "unfinished_runs": runs.filter(F.col("status").isin("queued", "running")),
+        "unfinished_items_of_finished_runs": items.filter(F.col("status").isin("queued", "running")).join(runs.filter("status = 'completed'").select("run_id"), "run_id"),
+        "success_without_hotel": items.filter("status = 'success' and hotel_id is null"),
+        "success_without_observation": items.filter("status = 'success'").join(obs, "item_id", "left_anti"),
+        "observation_reference_not_reset": obs.filter("is_reference_room"),
+        "item_reference_not_reset": items.filter("reference_status <> 'calibrating'"),
+        "series_with_many_approved": merge.repeated(refs.filter("status = 'approved'"), "hotel_id"),
+        "city_outside_scope": e.hotels.filter(F.col("city").isNotNull() & ~F.col("city").isin("Hanoi", "Da Nang", "Hoi An", "Nha Trang")),
     })
 
 
-_CHECKS = """k AS (SELECT 'duplicate_item_option' AS check_name, (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)) AS n_violations
-    UNION ALL SELECT 'orphan_observations', (SELECT count(*) FROM lineitem WHERE l_orderkey % 100 = 1)
-    UNION ALL SELECT 'observation_night_differs', 0 UNION ALL SELECT 'items_without_run', (SELECT count(*) FROM items WHERE day(crawl_date) % 13 = 0)
-    UNION ALL SELECT 'items_without_hotel', (SELECT count(*) FROM items WHERE status = 'success' AND hotel_id IS NULL) UNION ALL SELECT 'success_without_observation', 0
-    UNION ALL SELECT 'child_flag_above_parent', 0 UNION ALL SELECT 'unassigned_with_flags', 0 UNION ALL SELECT 'unfinished_items', 0 UNION ALL SELECT 'bad_key_format', 0
-    UNION ALL SELECT 'city_outside_scope', (SELECT count(*) FROM hotels WHERE city IS NULL) UNION ALL SELECT 'rejections_unwaived', (SELECT count(*) FROM rejections WHERE NOT waived) UNION ALL SELECT 'hotel_key_repeated', 0)"""
+_CHECKS = """it AS (SELECT * REPLACE (CASE WHEN item_id % 501 = 0 THEN 'queued' ELSE status END AS status) FROM items), ob AS (SELECT * FROM observations WHERE record_id % 811 <> 3),
+    im AS (SELECT * REPLACE (CASE WHEN item_id % 283 = 4 THEN 'x' ELSE source_code END AS source_code, CASE WHEN item_id % 1000 = 26 THEN 'unassigned' ELSE ownership_status END AS ownership_status) FROM items WHERE item_id % 379 <> 2),
+    rm AS (SELECT * FROM runs WHERE day(crawl_date) <> 9 OR source_code = 'b'), rs AS (SELECT * REPLACE (CASE WHEN day(crawl_date) = 5 AND source_code = 'a' THEN 'running' ELSE status END AS status) FROM runs),
+    k(check_name, n_violations) AS (SELECT 'items_without_run', (SELECT count(*) FROM items WHERE day(crawl_date) = 3) UNION ALL SELECT 'orphan_observations', (SELECT count(*) FROM lineitem WHERE l_orderkey % 100 = 1)
+    UNION ALL SELECT 'duplicate_item_option', (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)) UNION ALL SELECT 'observation_of_other_run', (SELECT count(*) FROM ob WHERE record_id % 433 = 0)
+    UNION ALL SELECT 'run_without_map', (SELECT count(*) FROM runs WHERE run_id NOT IN (SELECT run_id FROM rm)) UNION ALL SELECT 'item_without_map', (SELECT count(*) FROM items WHERE item_id % 379 = 2) UNION ALL SELECT 'observation_without_map', (SELECT count(*) FROM ob WHERE record_id % 457 = 6)
+    UNION ALL SELECT 'bad_fingerprint_format', (SELECT count(*) FROM observations WHERE record_id % 457 <> 6 AND record_id % 700 = 8) UNION ALL SELECT 'item_map_of_other_source', (SELECT count(*) FROM im JOIN rm USING (run_id) WHERE im.source_code <> rm.source_code)
+    UNION ALL SELECT 'child_flag_above_parent', (SELECT count(*) FROM im JOIN rm USING (run_id) WHERE include_main AND day(rm.crawl_date) = 11) UNION ALL SELECT 'unassigned_with_flags', (SELECT count(*) FROM im WHERE ownership_status = 'unassigned' AND (include_main OR include_reference OR exclusion_reason IS NULL))
+    UNION ALL SELECT 'resolved_without_slot', (SELECT count(*) FROM im WHERE ownership_status <> 'unassigned' AND item_id % 613 = 5) UNION ALL SELECT 'unfinished_runs', (SELECT count(*) FROM rs WHERE status = 'running') UNION ALL SELECT 'unfinished_items_of_finished_runs', (SELECT count(*) FROM it JOIN rs USING (run_id) WHERE it.status = 'queued' AND rs.status = 'completed')
+    UNION ALL SELECT 'success_without_hotel', (SELECT count(*) FROM it WHERE status = 'success' AND hotel_id IS NULL) UNION ALL SELECT 'success_without_observation', (SELECT count(*) FROM it WHERE status = 'success' AND item_id % 811 = 3)
+    UNION ALL SELECT 'observation_reference_not_reset', (SELECT count(*) FROM ob WHERE record_id % 547 = 0) UNION ALL SELECT 'item_reference_not_reset', (SELECT count(*) FROM items WHERE item_id % 640 = 0)
+    UNION ALL SELECT 'series_with_many_approved', (SELECT count(*) FROM hotels WHERE hotel_id % 8 = 0) UNION ALL SELECT 'city_outside_scope', (SELECT count(*) FROM hotels WHERE city = 'Da Lat'))"""
 
 
 @query(events_sql(f"{_CHECKS} SELECT check_name, n_violations, n_violations = 0 AS ok FROM k"))
@@ -361,23 +382,59 @@ def references_refreshed_after_run(spark, sf_dir):
     """A run is a region's year here."""
     found = _years(spark, sf_dir)[2]
     old = reference.build(found, **LEAST).filter("hotel_id % 3 = 0")
-    touched = found.withColumn("run", F.concat_ws("|", "source_code", F.year("crawl_date").cast("string")))
-    approved = old.filter("status = 'approved'").select(*reference.SERIES)
-    hit = touched.filter("run = 'REGION_0|1997'").select(*reference.SERIES).distinct().join(approved, reference.SERIES, "left_anti")
-    return old.join(hit, reference.SERIES, "left_anti").unionByName(reference.build(found.join(hit, reference.SERIES, "left_semi"), **LEAST)).select("hotel_id", "checkin_date", "status")
+    run = F.concat_ws("|", "source_code", F.year("crawl_date").cast("string"))
+    return reference.refresh(old, found, run == "REGION_0|1997", **LEAST).select("hotel_id", "checkin_date", "status")
 
 
-@query(orders_sql(f"""{_YEARS},
-    i AS (SELECT hotel_id, checkin_date, room_key, rate_key, item_id, min(crawl_date) AS day, count(*) AS n, min(run_id) AS run_id FROM f GROUP BY 1, 2, 3, 4, 5),
+@query(orders_sql(f"{_YEARS} SELECT hotel_id, checkin_date, 2::bigint AS n_approved FROM refs WHERE status = 'approved' AND hotel_id % 5 = 0"))
+def series_with_many_approved(spark, sf_dir):
+    """Some approved references are stored twice."""
+    refs = reference.build(_years(spark, sf_dir)[2], **LEAST)
+    return reference.many_approved(refs.unionByName(refs.filter("hotel_id % 5 = 0")))
+
+
+_CAUSAL = """i AS (SELECT hotel_id, checkin_date, room_key, rate_key, item_id, min(crawl_date) AS day, count(*) AS n, min(run_id) AS run_id FROM f GROUP BY 1, 2, 3, 4, 5),
     d AS (SELECT DISTINCT hotel_id, checkin_date, room_key, rate_key, day FROM i),
     e AS (SELECT d.*, count(*) AS items, sum(n) AS obs, count(DISTINCT run_id) AS runs FROM d JOIN i USING (hotel_id, checkin_date, room_key, rate_key) WHERE i.day <= d.day GROUP BY ALL),
     si AS (SELECT hotel_id, checkin_date, item_id, min(crawl_date) AS day FROM f GROUP BY 1, 2, 3),
-    r AS (SELECT e.*, least(1.0, items::double / (SELECT count(*) FROM si WHERE si.hotel_id = e.hotel_id AND si.checkin_date = e.checkin_date AND si.day <= e.day)) AS coverage FROM e)
-    SELECT hotel_id, checkin_date, room_key, rate_key, approved_on, runs, items, round(coverage, 6) AS coverage FROM (SELECT *, day AS approved_on, row_number() OVER (PARTITION BY hotel_id, checkin_date ORDER BY day, coverage DESC, runs DESC, room_key, rate_key) AS k FROM r WHERE runs >= 3 AND coverage >= 0.3 AND obs = items) WHERE k = 1"""))
+    r AS (SELECT e.*, least(1.0, items::double / (SELECT count(*) FROM si WHERE si.hotel_id = e.hotel_id AND si.checkin_date = e.checkin_date AND si.day <= e.day)) AS coverage FROM e),
+    ca AS (SELECT hotel_id, checkin_date, room_key, rate_key, approved_on, runs, items, round(coverage, 6) AS coverage FROM (SELECT *, day AS approved_on, row_number() OVER (PARTITION BY hotel_id, checkin_date ORDER BY day, coverage DESC, runs DESC, room_key, rate_key) AS k FROM r WHERE runs >= 3 AND coverage >= 0.3 AND obs = items) WHERE k = 1)"""
+
+
+@query(orders_sql(f"{_YEARS}, {_CAUSAL} SELECT * FROM ca"))
 def causal_reference_assignment(spark, sf_dir):
     return reference.causal_assignment(_years(spark, sf_dir)[2], **LEAST)
 
 
+_WORDS = "list_distinct(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '))"
+_SCORED = f"""{_CAUSAL}, asg AS (SELECT ca.hotel_id, ca.checkin_date, ca.room_key AS ref_room_key, ca.rate_key AS ref_rate_key, approved_on, min(room_name) AS ref_room_name, max(max_occupancy) AS ref_max_occupancy, min(room_area) AS ref_room_area FROM ca JOIN f USING (hotel_id, checkin_date, room_key, rate_key) GROUP BY ALL),
+    ow AS (SELECT y.item_id, y.option_index, y.hotel_id, y.checkin_date, rate_key = ref_rate_key AS same_rate, room_key = ref_room_key AS same_room, {_WORDS.format('room_name')} AS a, {_WORDS.format('ref_room_name')} AS b, max_occupancy = ref_max_occupancy AS occ, room_area = ref_room_area AS area FROM y JOIN asg USING (hotel_id, checkin_date) WHERE y.crawl_date >= approved_on),
+    os AS (SELECT *, 0.65 * len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) + 0.15 * occ::int + 0.1 * area::int + 0.1 * same_rate::int AS s FROM ow),
+    sc AS (SELECT item_id, option_index, hotel_id, checkin_date, CASE WHEN same_rate AND same_room THEN 'exact' WHEN same_rate AND s >= 0.8 - 1e-12 THEN 'alias' ELSE 'not_reference' END AS match, CASE WHEN same_rate AND same_room THEN 1.0 ELSE round(s, 4) END AS score FROM os)"""
+
+
+def _assigned(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All observations, and the assigned references with what they are called in their evidence."""
+    _, obs, found = _years(spark, sf_dir)
+    first = reference.causal_assignment(found, **LEAST)
+    told = found.join(first.select(*reference.CANDIDATE, "approved_on"), reference.CANDIDATE).groupBy(*reference.CANDIDATE, "approved_on").agg(F.min("room_name").alias("room_name"), F.max("max_occupancy").alias("max_occupancy"), F.min("room_area").alias("room_area"))
+    return obs, told.select(*reference.SERIES, "approved_on", *[F.col(c).alias(f"ref_{c}") for c in ("room_key", "rate_key", "room_name", "max_occupancy", "room_area")])
+
+
+@query(orders_sql(f"{_YEARS}, {_SCORED} SELECT item_id, option_index, hotel_id, checkin_date, match, round(score, 3) AS score FROM sc"))
+def option_match_scores(spark, sf_dir):
+    obs, assigned = _assigned(spark, sf_dir)
+    rows = obs.join(assigned, reference.SERIES).filter(F.col("crawl_date") >= F.col("approved_on")).withColumn("m", reference.match_score())
+    return rows.select("item_id", "option_index", "hotel_id", "checkin_date", "m.match", F.round("m.score", 3).alias("score"))
+
+
+@query(orders_sql(f"""{_YEARS}, {_SCORED}, tp AS (SELECT item_id, hotel_id, checkin_date, max(score) FILTER (match <> 'not_reference') AS top FROM sc GROUP BY 1, 2, 3), b AS (SELECT item_id, hotel_id, checkin_date, any_value(top) AS top, count(*) FILTER (match <> 'not_reference' AND score = top) AS n, max(match) FILTER (match <> 'not_reference' AND score = top) AS match, max(option_index) FILTER (match <> 'not_reference' AND score = top) AS option_index FROM sc JOIN tp USING (item_id, hotel_id, checkin_date) GROUP BY 1, 2, 3)
+    SELECT item_id, hotel_id, checkin_date, CASE WHEN n = 0 THEN 'unavailable' WHEN n > 1 THEN 'ambiguous' ELSE match END AS match_status, round(coalesce(top, 0), 3) AS score, CASE WHEN n = 1 THEN option_index END AS option_index FROM b"""))
+def item_reference_matches(spark, sf_dir):
+    obs, assigned = _assigned(spark, sf_dir)
+    return reference.item_matches(obs, assigned).select("item_id", "hotel_id", "checkin_date", "match_status", F.round("score", 3).alias("score"), "option_index")
+
+
 # --- anomaly signals
 
 _SCOPE = "v AS (SELECT * FROM observations WHERE item_status = 'success' AND NOT is_sold_out AND price_per_night > 0), r AS (SELECT item_id, room_key, quantile_cont(price_per_night, 0.5) AS rep FROM v GROUP BY 1, 2)"
@@ -400,12 +457,11 @@ def representative_prices(spark, sf_dir):
     return anomaly.representatives(_scope(spark, sf_dir)).select("item_id", "room_key", r6("rep_price").alias("rep_price"))
 
 
-@query(orders_sql(f"{_SCOPE}, c AS (SELECT a.item_id, a.room_key, count(*) AS n, quantile_cont(b.rep, 0.5) AS med FROM r a JOIN r b ON a.item_id = b.item_id AND a.room_key <> b.room_key GROUP BY 1, 2 HAVING count(*) >= 2) SELECT item_id, option_index, room_key, round(price_per_night, 6) AS price, n::int AS context_room_count, round(med, 6) AS context_median FROM v JOIN c USING (item_id, room_key) WHERE round(price_per_night, 9) >= round(1.5 * med, 9)"))
+@query(orders_sql(f"{_SCOPE}, c AS (SELECT a.item_id, a.room_key, count(*) AS n, quantile_cont(b.rep, 0.5) AS med FROM r a JOIN r b ON a.item_id = b.item_id AND a.room_key <> b.room_key GROUP BY 1, 2 HAVING count(*) >= 2) SELECT item_id, option_index, room_key, round(price_per_night, 6) AS price, n::int AS context_room_count, round(med, 6) AS context_median FROM v JOIN c USING (item_id, room_key) WHERE price_per_night >= 1.5 * med"))
 def context_level_high(spark, sf_dir):
     """At half above the other rooms, as the orders' prices lie close together."""
     obs = _scope(spark, sf_dir)
-    reps = anomaly.context_high(obs, ratio=0.0)
-    return reps.filter(F.round("price_per_night", 9) >= F.round(1.5 * F.col("context_median"), 9)).select("item_id", "option_index", "room_key", r6("price_per_night").alias("price"), "context_room_count", r6("context_median").alias("context_median"))
+    return anomaly.context_high(obs, ratio=1.5).select("item_id", "option_index", "room_key", r6("price_per_night").alias("price"), "context_room_count", r6("context_median").alias("context_median"))
 
 
 _TEMPORAL = "e AS (SELECT i.item_id, i.crawl_date, i.finished_at, o.hotel_id, room_key, price_per_night AS rep_price FROM items i JOIN observations o USING (item_id) WHERE status = 'success' AND price_per_night > 0)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,16 +205,39 @@ def anomaly_projection_mismatches(spark, sf_dir):
 
 @query(events_sql(f"{_RES} SELECT record_id, decision FROM re WHERE hotel_id * 2 + CASE WHEN hotel_id % 3 = 0 THEN 2 ELSE 1 END <= 100 UNION ALL SELECT record_id, CASE WHEN hotel_id % 4 = 0 THEN 'keep' ELSE 'exclude_from_train' END FROM lo JOIN st USING (hotel_id) WHERE hotel_id * 2 + 1 <= 100 AND hotel_id * 2 + 2 > 100 AND state <> 'active'"))
 def resolutions_as_of(spark, sf_dir):
-    log = _log(spark, sf_dir)
-    cut = log.filter(F.col("decided_at") <= F.timestamp_seconds(F.lit(1_700_000_100)))
+    cut = review_log.as_of(_log(spark, sf_dir), F.timestamp_seconds(F.lit(1_700_000_100)))
     return review_log.resolutions(cut).select("record_id", "decision")
 
 
-@query(events_sql(f"""{_LOG}, f AS (SELECT hotel_id FROM st), g AS (SELECT CASE WHEN hotel_id % 5 = 0 OR hotel_id % 3 = 0 THEN 2 ELSE 1 END AS n, hotel_id FROM st) SELECT 'unknown_source' AS violation, count(*) AS n FROM (SELECT DISTINCT hotel_id * 2 + 1 FROM lo WHERE source_code = 'b' UNION ALL SELECT DISTINCT hotel_id * 2 + 2 FROM lo WHERE source_code = 'b' AND hotel_id % 5 <> 0 AND hotel_id % 3 = 0)
-    UNION ALL SELECT 'sequence_gap', count(*) FROM (SELECT hotel_id * 2 + 1 AS s FROM st UNION ALL SELECT hotel_id * 2 + 2 FROM st WHERE state <> 'active') a WHERE s <> 1 AND s - 1 NOT IN (SELECT hotel_id * 2 + 1 FROM st UNION ALL SELECT hotel_id * 2 + 2 FROM st WHERE state <> 'active')"""))
+def _faulty_log(spark, sf_dir) -> DataFrame:
+    """Three events for each hotel, sound but for one fault that its number chooses. Sequences are dense over hotels 0, 1, 2 and on."""
+    h = F.col("h")
+    fault = lambda k: h % 12 == k
+    of = lambda tail: F.concat(F.lit("r"), h.cast("string"), F.lit(tail))
+    member = lambda name, n: F.struct(F.when(fault(4), F.lit("zz")).otherwise(F.lit("a")).alias("source_code"), (h * 10 + n).alias("record_id"), F.lit(name).alias("fingerprint"))
+    one, other = F.array(member("f", 1)), F.array(member("f", 2))
+    none = F.lit(None).cast("string")
+    hotels = events_warehouse(spark, sf_dir).hotels.select(F.col("hotel_id").alias("h"))
+    kinds = [  # action, review, target, decision, members
+        (F.when(fault(3), "odd").otherwise("activate"), of("a"), none, F.lit("keep"), F.when(fault(5), F.concat(one, one)).otherwise(one)),
+        (F.when(fault(10) | fault(6), "activate").otherwise("supersede"), F.when(fault(6), of("a")).otherwise(of("b")), F.when(fault(10) | fault(6), none).when(fault(7), F.lit("nobody")).otherwise(of("a")), F.lit("keep"), F.when(fault(9) | fault(6), other).otherwise(one)),
+        (F.lit("retract"), none, F.when(fault(8), of("a")).when(fault(7), of("a")).when(fault(6), of("a")).otherwise(of("b")), none, F.array().cast("array<struct<source_code:string,record_id:bigint,fingerprint:string>>")),
+    ]
+    rows = []
+    for k, (action, review, target, decision, members) in enumerate(kinds):
+        sequence = h * 3 + k + 1 - (F.when(fault(1), 1).otherwise(0) if k == 1 else F.lit(0))
+        event = F.concat(F.lit("e"), (h * 3 + F.when(fault(2) & F.lit(k == 1), 0).otherwise(k)).cast("string"))
+        moved = F.lit(1_700_000_000) + h * 3 + k - (F.when(fault(11), 100).otherwise(0) if k == 2 else F.lit(0))
+        row = hotels.select(sequence.cast("long").alias("sequence"), event.alias("event_id"), action.alias("action"), review.alias("review_id"), target.alias("target_review_id"), decision.alias("decision"), members.cast("array<struct<source_code:string,record_id:bigint,fingerprint:string>>").alias("members"), F.timestamp_seconds(moved).alias("decided_at"), h.alias("h"))
+        rows.append(row.filter(~fault(0)) if k == 1 else row)
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+@query(events_sql("hh AS (SELECT hotel_id % 12 AS f FROM hotels) SELECT v.* FROM (SELECT count(*) FILTER (f = 1) AS rep, count(*) FILTER (f = 2) AS ev, count(*) FILTER (f = 3) AS act, count(*) FILTER (f = 4) AS src, count(*) FILTER (f IN (1, 5)) AS mem, count(*) FILTER (f = 6) AS reu, count(*) FILTER (f IN (0, 1, 3, 7)) AS unk, count(*) FILTER (f = 8) AS sta, count(*) FILTER (f = 10) AS ovl FROM hh) t, LATERAL (VALUES ('event_id_repeated', 2 * ev), ('unknown_action', act), ('unknown_source', 2 * src), ('member_repeated', mem), ('review_id_reused', reu), ('target_unknown', unk), ('target_not_active', sta), ('overlapping_ownership', ovl), ('sequence_repeated', rep)) v(violation, n)"))
 def review_log_violations(spark, sf_dir):
-    """Only source a is declared, and the sequence has gaps where hotels have nothing low or one event."""
-    return review_log.violations(_log(spark, sf_dir), ["a"]).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+    """Of the twelve rules those whose faults touch no other event; tests hold the other three against known logs."""
+    found = review_log.violations(_faulty_log(spark, sf_dir), ["a", "b"]).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+    return found.filter(F.col("violation").isin("event_id_repeated", "unknown_action", "unknown_source", "member_repeated", "review_id_reused", "target_unknown", "target_not_active", "overlapping_ownership", "sequence_repeated"))
 
 
 def _problems(spark, sf_dir) -> DataFrame:
@@ -238,9 +263,14 @@ def review_payload_drift(spark, sf_dir):
     return review_log.payload_drift(log, applied)
 
 
-@query(events_sql("SELECT false AS open"))
+@query(events_sql(f"{_RES}, n AS (SELECT (SELECT count(*) FROM st WHERE (hotel_id * 2 + 1) % 10 = 1) + (SELECT count(*) FROM st WHERE state <> 'active' AND (hotel_id * 2 + 2) % 10 = 1) + (SELECT count(*) FROM st WHERE (hotel_id * 2 + 1) % 14 = 1) + (SELECT count(*) FROM st WHERE state = 'superseded' AND (hotel_id * 2 + 2) % 14 = 1) + (SELECT count(*) FROM re WHERE record_id % 6 = 0) + (SELECT count(*) FROM re WHERE record_id % 9 = 0) AS k) SELECT 'faulty' AS state, k AS n_problems, k = 0 AS open FROM n UNION ALL SELECT 'repaired', count(*) FILTER (record_id IS NULL), count(*) > 0 FROM re UNION ALL SELECT 'sync failed', count(*) FILTER (record_id IS NULL), count(*) < 0 FROM re UNION ALL SELECT 'other file', count(*) FILTER (record_id IS NULL), count(*) < 0 FROM re"))
 def consumer_gate(spark, sf_dir):
-    return review_log.consumer_gate(_problems(spark, sf_dir), True, True).select("open")
+    """With faults, after their repair, after a failed sync and with another file."""
+    log = _log(spark, sf_dir)
+    sound = review_log.verify(log, review_log.log_hash(log).select("event_id", "payload_sha256"), review_log.review_states(log), review_log.resolutions(log), review_log.projection(_records(spark, sf_dir), log))
+    gates = {"faulty": (_problems(spark, sf_dir), True, True), "repaired": (sound, True, True), "sync failed": (sound, False, True), "other file": (sound, True, False)}
+    rows = [review_log.consumer_gate(*g).select(F.lit(n).alias("state"), "n_problems", "open") for n, g in gates.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 # --- features and labels over (hotel, day) series of the events

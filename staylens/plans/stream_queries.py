@@ -17,8 +17,12 @@ _S = ("success", "partial", "sold_out", "not_bookable", "error")
 
 
 def _folder(spark) -> str:
-    """A new folder that the driver and the executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='staylens-stream-')}"
+    """A new folder that the driver and the executors share; a machine's own folder serves only where all is one process, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        base = f"file://{tempfile.mkdtemp(prefix='staylens-stream-')}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
