@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .timeaxis import col
@@ -34,3 +34,26 @@ def count_if(x: Column) -> Column:
 
 def n_rows() -> Column:
     return F.count(F.lit(1))
+
+
+def overall_quantiles(df: DataFrame, x: str, points: list[float], bins: int = 10_000) -> DataFrame:
+    """One row with the quantiles of a column over all rows, exact and interpolated as by quantile(), as p1, p5 and so on.
+
+    Equal values are counted first; equal-width bins of values tell in which bins the ranks lie, and only values of those
+    are ordered. No task holds all values, but for one bin's. Nulls are left out; no values give nulls.
+    """
+    counts = df.filter(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("_v")).agg(n_rows().alias("_c"))
+    ends = counts.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.coalesce(F.sum("_c"), F.lit(0)).alias("_n"))
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    bin_of = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width)).otherwise(F.lit(0))
+    binned = counts.crossJoin(F.broadcast(ends)).withColumn("_bin", bin_of.cast("long"))
+    upto = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = binned.groupBy("_bin").agg(F.sum("_c").alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(upto), F.lit(0)))  # a row a bin
+    ranks = ends.select("_n", F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), (F.lit(q) * (F.col("_n") - 1)).alias("_at")) for i, q in enumerate(points)])).alias("_r")).select("_r.*").withColumn("_rank", F.explode(F.array(F.floor("_at"), F.ceil("_at"))))
+    wanted = ranks.distinct().join(sizes, (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_in")))
+    inside = binned.join(F.broadcast(sizes.join(wanted.select("_bin").distinct(), "_bin", "left_semi").select("_bin", "_before")), "_bin")
+    placed = inside.withColumn("_to", F.col("_before") + F.sum("_c").over(Window.partitionBy("_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = placed.join(F.broadcast(ranks.distinct()), (F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c")))
+    at = lambda i, pick: pick(F.when(F.col("_i") == i, F.col("_v")))
+    part = lambda i: F.max(F.when(F.col("_i") == i, F.col("_at") - F.floor("_at")))
+    return found.agg(*[(at(i, F.min) + part(i) * (at(i, F.max) - at(i, F.min))).alias(f"p{round(q * 100)}") for i, q in enumerate(points)])

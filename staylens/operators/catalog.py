@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeaxis as ta
-from ..functions.stats import count_if, quantile, r6, rate
+from ..functions.stats import count_if, overall_quantiles, quantile, r6, rate
 from ..sources.bindings import CITIES, STATUSES, Warehouse
 
 Metric = Callable[[Warehouse], DataFrame]
@@ -84,7 +84,12 @@ def status_counts(items: DataFrame, *by: str | Column) -> DataFrame:
 
 
 def price_stats(df: DataFrame, *by: str | Column, more: list[Column] | None = None) -> DataFrame:
+    """Count, extremes, mean and quantiles of the price; without a group no task holds all prices. Null prices are left out."""
     p = F.col("price_per_night")
+    if not by and not more:
+        told = df.agg(F.count(p).alias("n_obs"), r6(F.min(p)).alias("min_price"), r6(F.max(p)).alias("max_price"), r6(F.avg(p.cast("double"))).alias("mean_price"))
+        points = overall_quantiles(df, "price_per_night", POINTS)
+        return told.crossJoin(points).select(*told.columns, *[r6(c).alias(c) for c in points.columns])
     out = df.groupBy(*by).agg(F.count(p).alias("n_obs"), r6(F.min(p)).alias("min_price"), r6(F.max(p)).alias("max_price"), r6(F.avg(p.cast("double"))).alias("mean_price"), F.percentile(p.cast("double"), F.array(*[F.lit(x) for x in POINTS])).alias("_q"), *(more or []))
     return out.select("*", *[r6(F.col("_q")[i]).alias(f"p{round(x * 100)}") for i, x in enumerate(POINTS)]).drop("_q")
 

@@ -63,25 +63,26 @@ _STREAK = "hotel_id long, last_day date, streak_days int, needs_review boolean"
 def dead_link_streaks(stream: DataFrame, review_at: int = 3) -> DataFrame:
     """Consecutive dead days of each hotel, kept as state: the same day changes nothing, the next adds one, a gap starts anew, a success resets.
 
-    Rows of a batch are taken in order of time; a row older than the state is passed over.
+    A day with a success is no dead day, whatever else comes on it and in whatever batch, so the state holds the day of
+    the last reset too. Days are taken in order; one older than the state is passed over, as its streak is over. The
+    state of a hotel is three values and stays for good, as a streak has no end of its own.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, last = state.get if state.exists else (0, None)
+        streak, last, reset = state.get if state.exists else (0, None, None)
         rows = pd.concat([p[["day", "status"]].drop_duplicates() for p in parts]).drop_duplicates()  # no more than the days and states of one hotel
         for day, group in rows.groupby("day"):
-            if last is not None and day < last:
+            if last is not None and day < last or day == reset:
                 continue
             if "success" in set(group["status"]):
-                streak, last = 0, day
-            elif last != day or streak == 0:
-                streak = streak + 1 if last is not None and streak and (day - last).days == 1 else 1
-                last = day
-        state.update((streak, last))
+                streak, last, reset = 0, day, day
+            elif day != last:
+                streak, last = streak + 1 if last is not None and streak and (day - last).days == 1 else 1, day
+        state.update((streak, last, reset))
         yield pd.DataFrame({"hotel_id": [key[0]], "last_day": [last], "streak_days": [streak], "needs_review": [streak >= review_at]})
 
     rows = stream.select("hotel_id", F.to_date("ts").alias("day"), "status")
-    return rows.groupBy("hotel_id").applyInPandasWithState(step, _STREAK, "streak int, last date", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("hotel_id").applyInPandasWithState(step, _STREAK, "streak int, last date, reset date", "update", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:

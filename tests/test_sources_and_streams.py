@@ -84,6 +84,22 @@ def test_streak_state_over_batches(spark, tmp_path):
         assert (last.streak_days, last.needs_review) == [(2, False), (3, True), (1, False), (0, False), (1, False)][n]
 
 
+@pytest.mark.parametrize("batches", [[["purchase", "click"]], [["purchase"], ["click"]], [["click"], ["purchase"]], [["click"], ["purchase", "view"], ["click"]]])
+def test_streak_of_a_day_does_not_depend_on_batches(spark, tmp_path, batches):
+    """A day with a success leaves no streak, and the next dead day starts one."""
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    src, last = tmp_path / "in", None
+    for n, kinds in enumerate([*batches, ["click"]]):
+        day = 3 if n < len(batches) else 4
+        spark.createDataFrame([(n * 10 + k, dt.datetime(2026, 1, day), 1, kind, 1.0, "{}") for k, kind in enumerate(kinds)], schema).coalesce(1).write.mode("append").parquet(str(src))
+        out = jobs.run_to_table(jobs.dead_link_streaks(_stream(spark, src, schema)), str(tmp_path / "out"), "update")
+        rows = spark.read.parquet(f"{tmp_path}/out/out/batch={n}").collect()
+        last = rows[-1]
+        if n == len(batches) - 1:
+            assert (last.streak_days, last.last_day.day) == (0, 3)
+    assert out.count() == len(batches) + 1 and (last.streak_days, last.last_day.day) == (1, 4)
+
+
 def _stream(spark, folder, schema):
     raw = spark.readStream.schema(schema).parquet(str(folder))
     return raw.select(F.col("user_id").alias("hotel_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "purchase", "success").otherwise("error").alias("status"))
