@@ -10,6 +10,7 @@ postings of the rarest term, subtracts the term's offset, and intersects with th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, lists, raw_texts, write_shared
+from .common import drop_shared, field, lists, raw_texts, write_shared
 
 #: Bytes to words: A-Z lower-cased; 0-9, a-z and all bytes from 0x80 belong to words; the rest separates.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -46,23 +47,35 @@ class TestSet:
                     self.items.append(name)
                     self.windows.append(key[1])
 
-    def plan(self, frequency: dict[int, int]) -> None:
-        """Order each window's terms from the rarest; arrays by step."""
+    def plan(self, frequency: dict[int, int]) -> Plan:
+        """What matching needs: each window's terms from the rarest, by step."""
         names = sorted(set(self.items))
         code = {x: i for i, x in enumerate(names)}
-        self.names, self.item_of = names, np.array([code[x] for x in self.items], np.int64)
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        most = int(self.length.max(initial=1))
-        self.term = np.full((len(self.windows), most), -1, np.int64)
-        self.offset = np.zeros((len(self.windows), most), np.int64)
+        length = np.array([len(w) for w in self.windows], np.int32)
+        most = int(length.max(initial=1))
+        term = np.full((len(self.windows), most), -1, np.int32)
+        offset = np.zeros((len(self.windows), most), np.int16)
         for i, w in enumerate(self.windows):
             order = sorted(range(len(w)), key=lambda k: (frequency.get(w[k], 0), k))
-            self.term[i, : len(w)] = [w[k] for k in order]
-            self.offset[i, : len(w)] = order
+            term[i, : len(w)] = [w[k] for k in order]
+            offset[i, : len(w)] = order
+        return Plan(names, np.array([code[x] for x in self.items], np.int64), length, term, offset, len(self.vocabulary))
+
+
+@dataclass
+class Plan:
+    """Item names; of each window its item, its length, and term and offset by step, rarest first. Arrays alone, 60 bytes a window of ten words."""
+
+    names: list[str]
+    item_of: np.ndarray
+    length: np.ndarray
+    term: np.ndarray
+    offset: np.ndarray
+    n_terms: int
 
 
 def _index(held: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    vocabulary = held.value.vocabulary
+    vocabulary = held.value
     for batch in batches:
         n, terms, counts, places, per = [], [], [], [], []
         for text in raw_texts(batch.column(1)):
@@ -97,22 +110,22 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["term", "n"])
 
 
-def _intersect(tests: TestSet, key: np.ndarray, base: int, n_terms: int, slop: int) -> tuple[np.ndarray, np.ndarray]:
+def _intersect(tests: Plan, key: np.ndarray, base: int, slop: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows and start places where all terms stand at their offsets, give or take slop. key: term * base + place, sorted."""
-    first = np.searchsorted(key, np.arange(n_terms + 1, dtype=np.int64) * base)
+    first = np.searchsorted(key, np.arange(tests.n_terms + 1, dtype=np.int64) * base)
     windows, starts = [], []
-    lead = tests.term[:, 0] if len(tests.windows) else np.zeros(0, np.int64)
+    lead = tests.term[:, 0].astype(np.int64)
     many = first[lead + 1] - first[lead]
     live = np.flatnonzero(many)
     bound = np.cumsum(many[live])
     for cut in np.split(live, np.searchsorted(bound, np.arange(4 << 20, bound[-1] if len(bound) else 0, 4 << 20))):
         w = np.repeat(cut, many[cut])
-        at = np.arange(len(w)) - np.repeat(np.cumsum(many[cut]) - many[cut], many[cut]) + first[tests.term[w, 0]]
-        start = key[at] - tests.term[w, 0] * base - tests.offset[w, 0]
+        at = np.arange(len(w)) - np.repeat(np.cumsum(many[cut]) - many[cut], many[cut]) + first[lead[w]]
+        start = key[at] - lead[w] * base - tests.offset[w, 0]
         for k in range(1, tests.term.shape[1]):
             if not len(w):
                 break
-            term = tests.term[w, k]
+            term = tests.term[w, k].astype(np.int64)
             want = term * base + start + tests.offset[w, k]
             near = np.searchsorted(key, want - slop)
             ok = (term < 0) | ((near < len(key)) & (key[np.minimum(near, len(key) - 1)] <= want + slop))
@@ -123,8 +136,7 @@ def _intersect(tests: TestSet, key: np.ndarray, base: int, n_terms: int, slop: i
 
 
 def _match(held: Broadcast, slop: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tests: TestSet = held.value
-    n_terms = len(tests.vocabulary)
+    tests: Plan = held.value
     for whole in batches:
         for i in range(0, whole.num_rows, 2000):
             batch = whole.slice(i, 2000)
@@ -135,7 +147,7 @@ def _match(held: Broadcast, slop: int, batches: Iterator[pa.RecordBatch]) -> Ite
             per_doc = np.diff(batch.column("positions").offsets.to_numpy())
             key = np.repeat(terms, counts) * end + places + np.repeat(start, per_doc)
             key.sort()
-            w, at = _intersect(tests, key, end, n_terms, slop)
+            w, at = _intersect(tests, key, end, slop)
             doc = np.searchsorted(start, at + slop, "right") - 1
             ok = (doc >= 0) & (at + tests.length[w] <= (start + size)[doc] + slop)
             w, at, doc = w[ok], at[ok], doc[ok]
@@ -159,27 +171,30 @@ def _match(held: Broadcast, slop: int, batches: Iterator[pa.RecordBatch]) -> Ite
             )
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """Test items in blocks of at most so many bytes, one item at least."""
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Test items in blocks of at most so many bytes, one item at least; a block at a time is on the driver."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
-    out, held = [[]], 0
+    block, held = [], 0
     for r in rows.toLocalIterator():
-        if held and held + len(r.t) > block_bytes:
-            out.append([])
-            held = 0
-        out[-1].append((r.i, bytes(r.t)))
+        if block and held + len(r.t) > block_bytes:
+            yield block
+            block, held = [], 0
+        block.append((r.i, bytes(r.t)))
         held += len(r.t)
-    return out
+    yield block
 
 
-def find_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, block_bytes: int = 16 << 20) -> DataFrame:
+def find_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, item_ids (sorted as strings), spans (hit word ranges).
 
     docs has doc_id and text, items has item_id and text; further columns of either are left alone. A window is `size`
     consecutive words of an item; an item of fewer, but not none, is one window. slop 0 finds exact phrases; a larger
     one finds proximity matches, in which each term may stand up to slop words from its place relative to the rarest.
     Null and empty texts have no words and no hits; null ids stay null; repeated rows each give a row; an empty table
-    of items gives no hits. Items beyond block_bytes are taken in blocks, each against all documents.
+    of items gives no hits. Items beyond block_bytes are taken in blocks, each against all documents, and each block's
+    matches are written before the next block is read: some 700,000 windows a block are what the driver and the tasks
+    hold. Documents are read and posted anew for each block, since only terms that a block has are posted; a benchmark
+    of many blocks costs as many reads.
     """
     spark = docs.sparkSession
     if not 0 <= slop < _GAP // 4 or not 0 < size < _GAP // 4:
@@ -188,20 +203,25 @@ def find_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     schema = T.StructType([field(docs, "doc_id"), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     indexed = T.StructType([field(docs, "doc_id"), T.StructField("n_words", T.LongType()), *(T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("terms", "counts", "positions"))])
     blocks = _blocks(items, block_bytes)
-    if len(blocks) > 1:
+    block, following = next(blocks), next(blocks, None)
+    if following is not None:
         docs = write_shared(docs.withColumn("doc_id", F.struct("doc_id", F.monotonically_increasing_id().alias("row"))))
         indexed, schema = (T.StructType([field(docs, "doc_id"), *s.fields[1:]]) for s in (indexed, schema))
     parts = []
-    for block in blocks:
+    while block is not None:
         tests = TestSet(block, size)
-        held = spark.sparkContext.broadcast(tests)
+        held = spark.sparkContext.broadcast(tests.vocabulary)
         index = write_shared(docs.mapInArrow(lambda it, held=held: _index(held, it), indexed))
+        held.destroy()
         counts = index.select("terms", "counts").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        tests.plan({r.term: r.n for r in counts.collect()})  # at most a row for each term of the block
-        planned = spark.sparkContext.broadcast(tests)
-        parts.append(index.select("doc_id", "n_words", "terms", "counts", "positions").mapInArrow(lambda it, held=planned: _match(held, slop, it), schema))
-    if len(parts) == 1:
-        return parts[0]
+        planned = spark.sparkContext.broadcast(tests.plan({r.term: r.n for r in counts.collect()}))  # at most a row for each term of the block
+        matched = index.select("doc_id", "n_words", "terms", "counts", "positions").mapInArrow(lambda it, held=planned: _match(held, slop, it), schema)
+        if following is None and not parts:
+            return matched
+        parts.append(write_shared(matched))
+        planned.destroy()
+        drop_shared(index)
+        block, following = following, next(blocks, None)
     return _merged(parts)
 
 
