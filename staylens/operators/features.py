@@ -83,14 +83,27 @@ def set_features(prices: DataFrame, sets: DataFrame, day: str) -> DataFrame:
     return out.withColumn("own_to_set", _r4(F.try_divide(F.col("price"), F.col("set_mean")))).withColumn("position", r6(F.col("_below") / F.col("n_competitors"))).drop("_below")
 
 
+def set_history(compared: DataFrame, day: str, days: int = 7) -> DataFrame:
+    """Adds the set's mean of exactly so many days before, and its velocity a day since; null where the hotel has no row of that day."""
+    before = compared.select("hotel_id", F.date_add(day, days).alias(day), F.col("set_mean").alias(f"set_mean_lag_{days}"))
+    out = compared.join(before, ["hotel_id", day], "left")
+    return out.withColumn(f"set_velocity_{days}", r6((F.col("set_mean") - F.col(f"set_mean_lag_{days}")) / days))
+
+
+def by_horizon(labelled: DataFrame, keep: list[str], horizons: tuple[int, ...] = (1, 3, 7, 14)) -> DataFrame:
+    """A row for each horizon of each labelled row: horizon, actual, direction and the columns to keep. Without a label there is none."""
+    each = F.array(*[F.struct(F.lit(k).alias("horizon"), F.col(f"label_h{k}").cast("double").alias("actual"), F.col(f"direction_h{k}").alias("direction")) for k in horizons])
+    return labelled.select(*keep, F.explode(each).alias("_h")).select(*keep, "_h.*").filter("actual is not null")
+
+
 def labels(snapshot: DataFrame, series: list[str], day: str, price: str, record: str, horizons: tuple[int, ...] = (1, 3, 7, 14), flat: float = 0.02) -> DataFrame:
-    """For each horizon the price that many days later, its record, change, and direction (up, down, flat within 2 %)."""
+    """For each horizon the price that many days later, its record, change in money and as a share, and direction (up, down, flat within 2 %)."""
     out = snapshot
     for k in horizons:
         later = snapshot.select(*series, F.date_sub(day, k).alias(day), F.col(price).alias(f"label_h{k}"), F.col(record).alias(f"label_record_h{k}"))
         out = out.join(later, [*series, day], "left").withColumn(f"has_label_h{k}", F.col(f"label_h{k}").isNotNull())
         change = F.try_divide(F.col(f"label_h{k}") - F.col(price), F.col(price))
-        out = out.withColumn(f"pct_h{k}", r6(change)).withColumn(f"direction_h{k}", F.when(change > flat, "up").when(change < -flat, "down").when(change.isNotNull(), "flat"))
+        out = out.withColumn(f"delta_h{k}", r6(F.col(f"label_h{k}") - F.col(price))).withColumn(f"pct_h{k}", r6(change)).withColumn(f"direction_h{k}", F.when(change > flat, "up").when(change < -flat, "down").when(change.isNotNull(), "flat"))
     return out
 
 
@@ -122,9 +135,29 @@ def metrics(df: DataFrame, actual: str, forecast: str, *by: str) -> DataFrame:
     return wide.select(*keys, "n", r6("_acc").alias("accuracy_20"), r6("_mae").alias("mae"), r6(F.sqrt("_mse")).alias("rmse"), r6("_mape").alias("mape"), r6("_smape").alias("smape"), r6(1 - F.try_divide(F.col("_mse"), F.col("_var"))).alias("r2"))
 
 
-def direction_confusion(df: DataFrame, actual: str, forecast: str) -> DataFrame:
-    out = df.filter(F.col(actual).isNotNull() & F.col(forecast).isNotNull()).groupBy(F.col(actual).alias("actual")).pivot(forecast, ["up", "flat", "down"]).agg(n_rows()).fillna(0)
-    return out.select("actual", *[F.col(c).alias(f"said_{c}") for c in ("up", "flat", "down")])
+def metrics_by(df: DataFrame, actual: str, forecast: str, over: str, dimensions: dict[str, Column]) -> DataFrame:
+    """metrics() for each value of `over` and, within it, for all rows and for each value of each dimension: over, dimension, value.
+
+    Rows are told once a dimension before they are summed, so that one aggregate serves all; a null value is (unknown).
+    """
+    told = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("(all)").alias("value")), *[F.struct(F.lit(n).alias("dimension"), F.coalesce(c.cast("string"), F.lit("(unknown)")).alias("value")) for n, c in dimensions.items()])
+    rows = df.withColumn("_d", F.explode(told)).select("*", "_d.dimension", "_d.value")
+    y, f = F.col(actual).cast("double"), F.col(forecast).cast("double")
+    err = F.abs(y - f)
+    wide = rows.filter(y.isNotNull() & f.isNotNull()).groupBy(over, "dimension", "value").agg(n_rows().alias("n"), r6(F.avg((err <= 0.2 * F.abs(y)).cast("double"))).alias("accuracy_20"), r6(F.avg(err)).alias("mae"), r6(F.sqrt(F.avg(err * err))).alias("rmse"), r6(F.avg(F.try_divide(err, F.abs(y)))).alias("mape"))
+    return wide
+
+
+def direction_confusion(df: DataFrame, actual: str, forecast: str, *by: str) -> DataFrame:
+    """What was said against what came, by the columns given; rows without either direction are left out."""
+    out = df.filter(F.col(actual).isNotNull() & F.col(forecast).isNotNull()).groupBy(*by, F.col(actual).alias("actual")).pivot(forecast, ["up", "flat", "down"]).agg(n_rows()).fillna(0)
+    return out.select(*by, "actual", *[F.col(c).alias(f"said_{c}") for c in ("up", "flat", "down")])
+
+
+def direction_accuracy(df: DataFrame, actual: str, forecast: str, *by: str) -> DataFrame:
+    """Rows with both directions, and the share of them that agree; by the columns given."""
+    both = df.filter(F.col(actual).isNotNull() & F.col(forecast).isNotNull())
+    return both.groupBy(*by).agg(n_rows().alias("n"), r6(F.avg((F.col(actual) == F.col(forecast)).cast("double"))).alias("direction_accuracy"))
 
 
 def direction(now: str, then: str, flat: float = 0.02) -> Column:

@@ -391,14 +391,14 @@ def checkin_anchor_dates(spark, sf_dir):
     return derived.anchor_dates(catalog.scope(w.items, "MAIN"), _calendar(w))
 
 
-@query(events_sql(f"{_CAL} SELECT i.item_id, n.is_tet AS checkin_is_tet, s.is_public_holiday AS seen_is_public_holiday FROM items i JOIN hotels h USING (hotel_id) LEFT JOIN cal n ON n.day = i.checkin_date AND n.city = h.city LEFT JOIN cal s ON s.day = i.crawl_date AND s.city = h.city WHERE include_main"))
+@query(events_sql(f"{_CAL} SELECT i.item_id, n.is_tet AS checkin_is_tet, n.is_festival_period AS checkin_is_festival_period, s.is_public_holiday AS seen_is_public_holiday FROM items i JOIN hotels h USING (hotel_id) LEFT JOIN cal n ON n.day = i.checkin_date AND n.city = h.city LEFT JOIN cal s ON s.day = i.crawl_date AND s.city = h.city WHERE include_main"))
 def calendar_roles_of_items(spark, sf_dir):
     """Flags of the night and of the day it was seen, side by side."""
     w = events_warehouse(spark, sf_dir)
     rows = catalog.scope(w.items, "MAIN").join(w.hotels.select("hotel_id", "city"), "hotel_id")
     night, seen = (derived.in_role(_calendar(w), r) for r in ("checkin", "seen"))
     out = rows.join(night, ["checkin_date", "city"], "left").join(seen.withColumnRenamed("seen_date", "crawl_date"), ["crawl_date", "city"], "left")
-    return out.select("item_id", "checkin_is_tet", "seen_is_public_holiday")
+    return out.select("item_id", "checkin_is_tet", "checkin_is_festival_period", "seen_is_public_holiday")
 
 
 def _flagged(spark, sf_dir) -> DataFrame:

@@ -317,13 +317,13 @@ def price_history_features(spark, sf_dir):
 
 
 def _label(k: int) -> str:
-    return f"l{k}.price AS label_h{k}, l{k}.record_id AS label_record_h{k}, l{k}.price IS NOT NULL AS has_label_h{k}, round((l{k}.price - sn.price) / nullif(sn.price, 0), 6) AS pct_h{k}, CASE WHEN (l{k}.price - sn.price) / nullif(sn.price, 0) > 0.02 THEN 'up' WHEN (l{k}.price - sn.price) / nullif(sn.price, 0) < -0.02 THEN 'down' WHEN l{k}.price IS NOT NULL THEN 'flat' END AS direction_h{k}"
+    return f"l{k}.price AS label_h{k}, l{k}.record_id AS label_record_h{k}, l{k}.price IS NOT NULL AS has_label_h{k}, round(l{k}.price - sn.price, 6) AS delta_h{k}, round((l{k}.price - sn.price) / nullif(sn.price, 0), 6) AS pct_h{k}, CASE WHEN (l{k}.price - sn.price) / nullif(sn.price, 0) > 0.02 THEN 'up' WHEN (l{k}.price - sn.price) / nullif(sn.price, 0) < -0.02 THEN 'down' WHEN l{k}.price IS NOT NULL THEN 'flat' END AS direction_h{k}"
 
 
 @query(events_sql(f"{_SNAP} SELECT sn.record_id, {', '.join(_label(k) for k in (1, 3, 7, 14))} FROM sn " + " ".join(f"LEFT JOIN sn l{k} ON l{k}.hotel_id = sn.hotel_id AND l{k}.crawl_date = sn.crawl_date + {k}" for k in (1, 3, 7, 14))))
 def horizon_labels(spark, sf_dir):
     out = features.labels(_snapshot(spark, sf_dir), SERIES, "crawl_date", "price", "record_id")
-    return out.select("record_id", *[f"{c}_h{k}" for k in (1, 3, 7, 14) for c in ("label", "label_record", "has_label", "pct", "direction")])
+    return out.select("record_id", *[f"{c}_h{k}" for k in (1, 3, 7, 14) for c in ("label", "label_record", "has_label", "delta", "pct", "direction")])
 
 
 _SPLIT = f"{_SNAP}, dd AS (SELECT DISTINCT datediff('day', DATE '1970-01-01', crawl_date) AS n FROM sn), cu AS (SELECT floor(quantile_cont(n::double, 0.7)) AS a, floor(quantile_cont(n::double, 0.85)) AS b FROM dd), sp AS (SELECT sn.*, CASE WHEN n <= a - 3 THEN 'train' WHEN n <= a THEN 'purge' WHEN n <= b - 3 THEN 'valid' WHEN n <= b THEN 'purge' ELSE 'test' END AS split FROM (SELECT *, datediff('day', DATE '1970-01-01', crawl_date) AS n FROM sn) sn, cu)"
@@ -366,6 +366,34 @@ def direction_confusion(spark, sf_dir):
     return features.direction_confusion(_baselines(spark, sf_dir).withColumn("said", features.direction("price", "historical_median")), "direction_h1", "said")
 
 
+_ALL_HORIZONS = f"{_BASE}, hz AS (" + " UNION ALL ".join(f"SELECT {k} AS horizon, ba.*, l.price AS actual, h.city, CASE WHEN review_score >= 8 THEN 'high' ELSE 'low' END AS tier FROM ba JOIN sn l ON l.hotel_id = ba.hotel_id AND l.crawl_date = ba.crawl_date + {k} JOIN hotels h ON h.hotel_id = ba.hotel_id" for k in (1, 3, 7, 14)) + ")"
+_SHORT = "count(*) AS n, round(avg((abs(actual - historical_median) <= 0.2 * abs(actual))::int), 6) AS accuracy_20, round(avg(abs(actual - historical_median)), 6) AS mae, round(sqrt(avg((actual - historical_median) * (actual - historical_median))), 6) AS rmse, round(avg(abs(actual - historical_median) / nullif(abs(actual), 0)), 6) AS mape"
+
+
+def _by_horizon(spark, sf_dir) -> DataFrame:
+    snap = features.labels(_snapshot(spark, sf_dir), SERIES, "crawl_date", "price", "record_id")
+    rows = features.baselines(snap, SERIES, "crawl_date", "price").join(events_warehouse(spark, sf_dir).hotels.select("hotel_id", "city", "review_score"), "hotel_id")
+    return features.by_horizon(rows, ["hotel_id", "price", "historical_median", "lead_time", "city", "review_score"])
+
+
+@query(events_sql(f"{_ALL_HORIZONS} SELECT horizon, 'all' AS dimension, '(all)' AS value, {_SHORT} FROM hz GROUP BY 1 UNION ALL SELECT horizon, 'lead_bucket', coalesce({BUCKET}, '(unknown)'), {_SHORT} FROM hz GROUP BY 1, 3 UNION ALL SELECT horizon, 'city', coalesce(city, '(unknown)'), {_SHORT} FROM hz GROUP BY 1, 3 UNION ALL SELECT horizon, 'score_tier', tier, {_SHORT} FROM hz GROUP BY 1, 3"))
+def forecast_metrics_by_horizon(spark, sf_dir):
+    tier = F.when(F.col("review_score") >= 8, "high").otherwise("low")
+    return features.metrics_by(_by_horizon(spark, sf_dir), "actual", "historical_median", "horizon", {"lead_bucket": bucket("lead_time"), "city": F.col("city"), "score_tier": tier})
+
+
+@query(events_sql(f"{_ALL_HORIZONS}, c AS (SELECT horizon, {_dir('price', 'actual')} AS actual, {_dir('price', 'historical_median')} AS said FROM hz) SELECT horizon, actual, count(*) FILTER (said = 'up') AS said_up, count(*) FILTER (said = 'flat') AS said_flat, count(*) FILTER (said = 'down') AS said_down FROM c WHERE actual IS NOT NULL AND said IS NOT NULL GROUP BY 1, 2"))
+def direction_confusion_by_horizon(spark, sf_dir):
+    rows = _by_horizon(spark, sf_dir).withColumn("said", features.direction("price", "historical_median"))
+    return features.direction_confusion(rows, "direction", "said", "horizon")
+
+
+@query(events_sql(f"{_ALL_HORIZONS}, c AS (SELECT horizon, {_dir('price', 'actual')} AS actual, {_dir('price', 'historical_median')} AS said FROM hz) SELECT horizon, count(*) AS n, round(avg((actual = said)::int), 6) AS direction_accuracy FROM c WHERE actual IS NOT NULL AND said IS NOT NULL GROUP BY 1"))
+def direction_accuracy_by_horizon(spark, sf_dir):
+    rows = _by_horizon(spark, sf_dir).withColumn("said", features.direction("price", "historical_median"))
+    return features.direction_accuracy(rows, "direction", "said", "horizon")
+
+
 _SETS = """cs AS (SELECT hotel_id, competitor_id, rank FROM (SELECT a.hotel_id, b.hotel_id AS competitor_id, row_number() OVER (PARTITION BY a.hotel_id ORDER BY round(abs(a.review_score - b.review_score), 6), b.hotel_id) AS rank, count(*) OVER (PARTITION BY a.hotel_id) AS n FROM hotels a JOIN hotels b ON a.city = b.city AND a.hotel_id <> b.hotel_id AND b.review_count >= 50 AND round(abs(a.review_score - b.review_score), 6) <= 0.5) WHERE n >= 5 AND rank <= 15)"""
 
 
@@ -388,6 +416,11 @@ def competitor_set_features(spark, sf_dir):
     return _compared(spark, sf_dir)
 
 
+@query(events_sql(f"{_DAYP} SELECT a.hotel_id, a.crawl_date, b.set_mean AS set_mean_lag_7, round((a.set_mean - b.set_mean) / 7, 6) AS set_velocity_7 FROM sf a LEFT JOIN sf b ON b.hotel_id = a.hotel_id AND b.crawl_date = a.crawl_date - 7"))
+def competitor_set_history(spark, sf_dir):
+    return features.set_history(_compared(spark, sf_dir), "crawl_date").select("hotel_id", "crawl_date", "set_mean_lag_7", "set_velocity_7")
+
+
 @query(events_sql(f"{_DAYP} SELECT hotel_id, crawl_date, own_to_set, CASE WHEN own_to_set > 1 THEN 'above_set' ELSE 'below_set' END AS alert FROM sf WHERE abs(own_to_set - 1) >= 0.2"))
 def price_position_alerts(spark, sf_dir):
     return features.position_alerts(_compared(spark, sf_dir)).select("hotel_id", "crawl_date", "own_to_set", "alert")

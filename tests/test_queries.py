@@ -31,7 +31,8 @@ def _cell(v):
         return pd.Timestamp(v).isoformat()
     if isinstance(v, (bool, str)) or "bool" in type(v).__name__:
         return str(v)
-    return f"{float(v):.6g}"
+    v = float(v)
+    return str(int(v)) if v.is_integer() and abs(v) < 2**53 else f"{v:.6g}"
 
 
 def _rows(df):
