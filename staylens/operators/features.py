@@ -1,4 +1,4 @@
-"""Leakage-safe features, labels, splits, baselines, models and their evaluation, and decision simulations.
+"""Leakage-safe features, labels, splits, baselines, the evaluation of forecasts, and decision simulations.
 
 Everything that looks back holds the series fixed and moves only the day of observation; windows end before or at the
 row's own day, labels are equi-joins on a later day, and splits keep a gap as long as the longest horizon.
@@ -6,8 +6,6 @@ row's own day, labels are equi-joins on a later day, and splits keep a gap as lo
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +13,6 @@ from ..functions.stats import n_rows, quantile, r6
 from ..functions.timeaxis import bucket
 
 
-
 def daily_snapshot(obs: DataFrame, series: list[str], day: str, at: str, tie: str) -> DataFrame:
     """One record for each series and day: the latest, with why it was chosen."""
     w = Window.partitionBy(*series, day)
@@ -128,11 +125,10 @@ def metrics(df: DataFrame, actual: str, forecast: str, *by: str) -> DataFrame:
     """Accuracy within 20 %, MAE, RMSE, MAPE, sMAPE and R² for each group and for all."""
     y, f = F.col(actual).cast("double"), F.col(forecast).cast("double")
     rows = df.filter(y.isNotNull() & f.isNotNull())
-    err = F.abs(y - f)
     out = rows.rollup(*by) if by else rows.groupBy()
-    wide = out.agg(n_rows().alias("n"), F.avg((err <= 0.2 * F.abs(y)).cast("double")).alias("_acc"), F.avg(err).alias("_mae"), F.avg(err * err).alias("_mse"), F.avg(F.try_divide(err, F.abs(y))).alias("_mape"), F.avg(F.try_divide(2 * err, F.abs(y) + F.abs(f))).alias("_smape"), F.var_pop(y).alias("_var"), *[F.grouping(c).alias(f"_g_{c}") for c in by])
+    wide = out.agg(n_rows().alias("n"), *_errors(y, f), *[F.grouping(c).alias(f"_g_{c}") for c in by])
     keys = [F.when(F.col(f"_g_{c}") == 1, "(all)").otherwise(F.col(c).cast("string")).alias(c) for c in by]
-    return wide.select(*keys, "n", r6("_acc").alias("accuracy_20"), r6("_mae").alias("mae"), r6(F.sqrt("_mse")).alias("rmse"), r6("_mape").alias("mape"), r6("_smape").alias("smape"), r6(1 - F.try_divide(F.col("_mse"), F.col("_var"))).alias("r2"))
+    return wide.select(*keys, "n", "accuracy_20", "mae", "rmse", "mape", "smape", "r2")
 
 
 def metrics_by(df: DataFrame, actual: str, forecast: str, over: str, dimensions: dict[str, Column]) -> DataFrame:
@@ -143,9 +139,14 @@ def metrics_by(df: DataFrame, actual: str, forecast: str, over: str, dimensions:
     told = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("(all)").alias("value")), *[F.struct(F.lit(n).alias("dimension"), F.coalesce(c.cast("string"), F.lit("(unknown)")).alias("value")) for n, c in dimensions.items()])
     rows = df.withColumn("_d", F.explode(told)).select("*", "_d.dimension", "_d.value")
     y, f = F.col(actual).cast("double"), F.col(forecast).cast("double")
+    known = rows.filter(y.isNotNull() & f.isNotNull())
+    return known.groupBy(over, "dimension", "value").agg(n_rows().alias("n"), *_errors(y, f))
+
+
+def _errors(y: Column, f: Column) -> list[Column]:
     err = F.abs(y - f)
-    wide = rows.filter(y.isNotNull() & f.isNotNull()).groupBy(over, "dimension", "value").agg(n_rows().alias("n"), r6(F.avg((err <= 0.2 * F.abs(y)).cast("double"))).alias("accuracy_20"), r6(F.avg(err)).alias("mae"), r6(F.sqrt(F.avg(err * err))).alias("rmse"), r6(F.avg(F.try_divide(err, F.abs(y)))).alias("mape"))
-    return wide
+    mse = F.avg(err * err)
+    return [r6(F.avg((err <= 0.2 * F.abs(y)).cast("double"))).alias("accuracy_20"), r6(F.avg(err)).alias("mae"), r6(F.sqrt(mse)).alias("rmse"), r6(F.avg(F.try_divide(err, F.abs(y)))).alias("mape"), r6(F.avg(F.try_divide(2 * err, F.abs(y) + F.abs(f)))).alias("smape"), r6(1 - F.try_divide(mse, F.var_pop(y))).alias("r2")]
 
 
 def direction_confusion(df: DataFrame, actual: str, forecast: str, *by: str) -> DataFrame:
@@ -165,53 +166,6 @@ def direction(now: str, then: str, flat: float = 0.02) -> Column:
     return F.when(change > flat, "up").when(change < -flat, "down").when(change.isNotNull(), "flat")
 
 
-def fit(train: DataFrame, inputs: list[str], label: str, model: str = "random_forest", seed: int = 7):
-    """A fitted Spark ML pipeline: linear, random_forest or boosted_trees; rows with a missing input are left out by the assembler."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-
-    kinds = {
-        "linear": lambda: LinearRegression(labelCol=label, featuresCol="features"),
-        "random_forest": lambda: RandomForestRegressor(labelCol=label, featuresCol="features", numTrees=20, maxDepth=6, seed=seed),
-        "boosted_trees": lambda: GBTRegressor(labelCol=label, featuresCol="features", maxIter=10, maxDepth=4, seed=seed),
-    }
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip"), kinds[model]()]).fit(train.filter(F.col(label).isNotNull()))
-
-
-def forward_folds(df: DataFrame, day: str, folds: int = 3, gap: int = 14) -> DataFrame:
-    """Adds fold and fold_gap: later days have higher folds, so that a search can hold out what comes after; rows of the
-    last `gap` days of a fold have labels that lie in the next one and train nothing."""
-    cuts = df.select(day).distinct().agg(F.percentile(F.unix_date(day), F.array(*[F.lit((i + 1) / folds) for i in range(folds - 1)])).alias("_q"))
-    fold = reduce(lambda a, b: a + b, [(F.unix_date(day) > F.col("_q")[i]).cast("int") for i in range(folds - 1)], F.lit(0))
-    near = reduce(lambda a, b: a | b, [(F.unix_date(day) <= F.col("_q")[i]) & (F.unix_date(day) > F.col("_q")[i] - gap) for i in range(folds - 1)], F.lit(False))
-    return df.crossJoin(F.broadcast(cuts)).withColumn("fold", fold).withColumn("fold_gap", near).drop("_q")
-
-
-def forward_search(df: DataFrame, inputs: list[str], label: str, models: list[str], folds: int = 3) -> list[tuple[str, float]]:
-    """Mean RMSE of each model over forward folds: fitted on earlier folds, held against the next one."""
-    out = []
-    for m in models:
-        errors = []
-        for k in range(1, folds):
-            said = fit(df.filter((F.col("fold") < k) & ~F.col("fold_gap")), inputs, label, m).transform(df.filter((F.col("fold") == k) & F.col(label).isNotNull()))
-            errors.append(said.agg(F.sqrt(F.avg((F.col("prediction") - F.col(label)) ** 2))).first()[0])
-        known = [e for e in errors if e is not None]
-        out.append((m, sum(known) / len(known) if known else float("nan")))
-    return sorted(out, key=lambda x: x[1])
-
-
-def ablation(train: DataFrame, test: DataFrame, groups: dict[str, list[str]], label: str, model: str = "random_forest") -> dict[str, float]:
-    """RMSE with all inputs, and without each group of them."""
-    every = [x for g in groups.values() for x in g]
-    out = {}
-    for name, without in {"all": [], **groups}.items():
-        inputs = [x for x in every if x not in without]
-        said = fit(train, inputs, label, model).transform(test.filter(F.col(label).isNotNull()))
-        out[name] = said.agg(F.sqrt(F.avg((F.col("prediction") - F.col(label)) ** 2))).first()[0]
-    return out
-
-
 def pricing_opportunity(rows: DataFrame, own: str, own_next: str, set_now: str, set_next: str, least_gap: float = 0.05) -> DataFrame:
     """Where a hotel's next move differs from its set's predicted one: the gap and what to do about it."""
     move = lambda a, b: F.try_divide(F.col(b) - F.col(a), F.col(a))

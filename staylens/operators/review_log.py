@@ -59,7 +59,11 @@ def projection_mismatches(stored: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def violations(log: DataFrame, sources: list[str]) -> DataFrame:
-    """sequence and violation for each broken rule. An empty result is a sound log."""
+    """sequence and violation for each broken rule. An empty result is a sound log.
+
+    A target that no earlier event opened is unknown, and nothing further is said of it; one that was opened and closed
+    before is not active.
+    """
     told = lambda df, name: df.select("sequence", F.lit(name).alias("violation"))
     prior = log.select((F.col("sequence") + 1).alias("sequence"), F.col("decided_at").alias("_before")).dropDuplicates(["sequence"])
     linked = log.join(prior, "sequence", "left")
@@ -68,7 +72,7 @@ def violations(log: DataFrame, sources: list[str]) -> DataFrame:
     closed = log.filter(F.col("action").isin("supersede", "retract")).select(F.col("target_review_id").alias("_review"), F.col("sequence").alias("_closed"))
     closing = log.filter(F.col("action").isin("supersede", "retract"))
     known = closing.join(opened, (F.col("target_review_id") == F.col("_review")) & (F.col("_opened") < F.col("sequence")), "left")
-    stale = closing.join(closed, (F.col("target_review_id") == F.col("_review")) & (F.col("_closed") < F.col("sequence")))
+    stale = known.filter("_review is not null").drop("_review", "_opened", "_members").join(closed, (F.col("target_review_id") == F.col("_review")) & (F.col("_closed") < F.col("sequence")))
     keys = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["source_code"], x["record_id"], x["fingerprint"])))
     before = Window.partitionBy(*MEMBER).orderBy("sequence")
     each = member_events(log).dropDuplicates(["sequence", *MEMBER]).withColumn("_last", F.lag("action").over(before))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import r6
 from ..functions.timeaxis import bucket
-from ..operators import catalog, features, monitor, review_log
+from ..operators import catalog, features, models, monitor, review_log
 from ..sources.bindings import events_warehouse, orders_warehouse
 from .derived_queries import holidays
 from .preludes import BUCKET, events_sql, orders_sql
@@ -367,7 +367,7 @@ def direction_confusion(spark, sf_dir):
 
 
 _ALL_HORIZONS = f"{_BASE}, hz AS (" + " UNION ALL ".join(f"SELECT {k} AS horizon, ba.*, l.price AS actual, h.city, CASE WHEN review_score >= 8 THEN 'high' ELSE 'low' END AS tier FROM ba JOIN sn l ON l.hotel_id = ba.hotel_id AND l.crawl_date = ba.crawl_date + {k} JOIN hotels h ON h.hotel_id = ba.hotel_id" for k in (1, 3, 7, 14)) + ")"
-_SHORT = "count(*) AS n, round(avg((abs(actual - historical_median) <= 0.2 * abs(actual))::int), 6) AS accuracy_20, round(avg(abs(actual - historical_median)), 6) AS mae, round(sqrt(avg((actual - historical_median) * (actual - historical_median))), 6) AS rmse, round(avg(abs(actual - historical_median) / nullif(abs(actual), 0)), 6) AS mape"
+_SHORT = "count(*) AS n, round(avg((abs(actual - historical_median) <= 0.2 * abs(actual))::int), 6) AS accuracy_20, round(avg(abs(actual - historical_median)), 6) AS mae, round(sqrt(avg((actual - historical_median) * (actual - historical_median))), 6) AS rmse, round(avg(abs(actual - historical_median) / nullif(abs(actual), 0)), 6) AS mape, round(avg(2 * abs(actual - historical_median) / nullif(abs(actual) + abs(historical_median), 0)), 6) AS smape, round(1 - avg((actual - historical_median) * (actual - historical_median)) / nullif(var_pop(actual), 0), 6) AS r2"
 
 
 def _by_horizon(spark, sf_dir) -> DataFrame:
@@ -448,7 +448,7 @@ def _training(spark, sf_dir) -> DataFrame:
 def _model(kind: str):
     def run(spark, sf_dir) -> DataFrame:
         rows = _training(spark, sf_dir)
-        fitted = features.fit(rows.filter("split = 'train'"), ["price", "mean_7", "lead_time", "dow", "month"], "label_h1", kind)
+        fitted = models.fit(rows.filter("split = 'train'"), ["price", "mean_7", "lead_time", "dow", "month"], "label_h1", kind)
         return features.metrics(fitted.transform(rows.filter("split = 'test'")), "label_h1", "prediction").withColumn("model", F.lit(kind))
 
     return run
@@ -469,17 +469,71 @@ def forecast_boosted_trees(spark, sf_dir):
     return _model("boosted_trees")(spark, sf_dir)
 
 
-@query()
+_NEXT = "(SELECT max(b.price) FROM sn b WHERE b.hotel_id = sp.hotel_id AND b.crawl_date = sp.crawl_date + 1)"
+
+
+@query(events_sql(f"{_SPLIT}, ro AS (SELECT sp.split, price AS x, {_NEXT} AS y FROM sp), li AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM ro WHERE split = 'train' AND y IS NOT NULL), te AS (SELECT y, a + b * x AS f FROM ro, li WHERE split = 'test' AND y IS NOT NULL) SELECT {_M} FROM te"))
+def forecast_linear_on_price(spark, sf_dir):
+    """The linear model of the price alone, whose closed form SQL has too."""
+    rows = features.chronological_split(features.labels(_snapshot(spark, sf_dir), SERIES, "crawl_date", "price", "record_id", horizons=(1,)), "crawl_date", gap=3)
+    fitted = models.fit(rows.filter("split = 'train'"), ["price"], "label_h1", "linear")
+    return features.metrics(fitted.transform(rows.filter("split = 'test'")), "label_h1", "prediction")
+
+
+# Ridge in closed form: Spark scales the penalty by the label's deviation, so the slope shrinks by 1 + penalty / deviation.
+_FOLDS = f"""{_SNAP}, se AS (SELECT s.crawl_date, datediff('day', DATE '1970-01-01', s.crawl_date) AS d, s.price AS x, l.price AS y FROM sn s JOIN sn l ON l.hotel_id = s.hotel_id AND l.crawl_date = s.crawl_date + 1),
+    dd AS (SELECT DISTINCT d FROM se), cu AS (SELECT quantile_cont(d::double, 1.0 / 3) AS a, quantile_cont(d::double, 2.0 / 3) AS b FROM dd), fo AS (SELECT 1 AS fold, a AS cut, b AS upto FROM cu UNION ALL SELECT 2, b, 1e9 FROM cu),
+    gr(pen, params) AS (VALUES (0.0, '{{"regParam": 0.0}}'), (5.0, '{{"regParam": 5.0}}'), (50.0, '{{"regParam": 50.0}}')),
+    tr AS (SELECT fold, count(*) AS n_train, regr_slope(y, x) AS slope, stddev_pop(y) AS dev, avg(x) AS mx, avg(y) AS my FROM se, fo WHERE d <= cut - 1 GROUP BY 1),
+    fs AS (SELECT 'linear' AS model, params, fold::int AS fold, any_value(n_train) AS n_train, count(*) AS n_valid, sqrt(avg((y - my - slope / (1 + pen / dev) * (x - mx)) ** 2)) AS rmse FROM se JOIN fo ON d > cut AND d <= upto JOIN tr USING (fold), gr GROUP BY params, fold)"""
+
+
+def _search(spark, sf_dir) -> DataFrame:
+    rows = features.labels(_snapshot(spark, sf_dir), SERIES, "crawl_date", "price", "record_id", horizons=(1,))
+    return models.forward_search(rows, "crawl_date", ["price"], "label_h1", {"linear": {"regParam": [0.0, 5.0, 50.0]}})
+
+
+@query(events_sql(f"{_FOLDS} SELECT * REPLACE (round(rmse, 6) AS rmse) FROM fs"))
 def forward_fold_search(spark, sf_dir):
-    rows = features.forward_folds(_training(spark, sf_dir), "crawl_date")
-    return spark.createDataFrame(features.forward_search(rows, ["price", "mean_7", "lead_time", "dow"], "label_h1", ["linear", "random_forest"]), "model string, rmse double")
+    """Three penalties of the linear model of the price, over forward folds with a gap of the label's one day."""
+    return _search(spark, sf_dir).withColumn("rmse", r6("rmse"))
+
+
+@query(events_sql(f"{_FOLDS} SELECT model, params, round(avg(rmse), 6) AS mean_rmse, row_number() OVER (ORDER BY avg(rmse), model, params)::int AS rank FROM fs GROUP BY 1, 2"))
+def forward_fold_choice(spark, sf_dir):
+    return models.choice(_search(spark, sf_dir)).withColumn("mean_rmse", r6("mean_rmse"))
+
+
+@query()
+def forward_fold_search_of_forests(spark, sf_dir):
+    grid = {"random_forest": {"maxDepth": [2, 5], "numTrees": [5, 20]}, "boosted_trees": {"maxDepth": [2, 4]}}
+    return models.forward_search(_training(spark, sf_dir), "crawl_date", ["price", "mean_7", "lead_time", "dow"], "label_h1", grid)
+
+
+#: The five groups of inputs.
+GROUPS = {"history": ["price", "mean_7"], "lead": ["lead_time"], "calendar": ["dow", "month"], "competitors": ["set_mean", "set_sold_out_share"], "hotel": ["review_score", "review_count"]}
+
+
+def _grouped(spark, sf_dir) -> DataFrame:
+    rows = _training(spark, sf_dir).join(events_warehouse(spark, sf_dir).hotels.select("hotel_id", "review_score", "review_count"), "hotel_id")
+    # a hotel without a set is held against its own price
+    rows = rows.join(_compared(spark, sf_dir).select("hotel_id", "crawl_date", "set_mean", "set_sold_out_share"), ["hotel_id", "crawl_date"], "left")
+    return rows.withColumn("set_mean", F.coalesce("set_mean", "price")).withColumn("set_sold_out_share", F.coalesce("set_sold_out_share", F.lit(0.0)))
 
 
 @query()
 def feature_group_ablation(spark, sf_dir):
-    rows = _training(spark, sf_dir)
-    out = features.ablation(rows.filter("split = 'train'"), rows.filter("split = 'test'"), {"history": ["price", "mean_7"], "lead": ["lead_time"], "calendar": ["dow", "month"]}, "label_h1", "linear")
-    return spark.createDataFrame(list(out.items()), "without string, rmse double")
+    rows = _grouped(spark, sf_dir)
+    return models.ablation(rows.filter("split = 'train'"), rows.filter("split = 'test'"), GROUPS, "label_h1", "linear")
+
+
+@query()
+def input_importance(spark, sf_dir):
+    """How much each input of the five groups matters to a forest, by shuffling it over the test rows."""
+    rows, inputs = _grouped(spark, sf_dir), [x for g in GROUPS.values() for x in g]
+    fitted = models.fit(rows.filter("split = 'train'").dropna(subset=inputs), inputs, "label_h1", "random_forest")
+    group = F.element_at(F.create_map(*[F.lit(x) for g, xs in GROUPS.items() for i in xs for x in (i, g)]), F.col("input"))
+    return models.importance(fitted, rows.filter("split = 'test'"), ["record_id"], inputs, "label_h1").withColumn("input_group", group)
 
 
 @query(events_sql("SELECT i.item_id, o.price_per_night IS NULL AS no_price, coalesce(h.city, '(unknown)') AS city FROM items i JOIN observations o USING (item_id) LEFT JOIN hotels h ON h.hotel_id = i.hotel_id WHERE include_main"))

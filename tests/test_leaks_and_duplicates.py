@@ -40,14 +40,6 @@ def test_context_is_as_known_on_the_day_seen(spark):
     assert got == {1: (2.0, 2), 2: (3.0, 3), 3: (None, 1), 4: (None, None)}
 
 
-def test_no_label_of_the_next_fold_trains(spark):
-    rows = spark.createDataFrame([(DAY + dt.timedelta(n),) for n in range(30)], "day date")
-    got = features.forward_folds(rows, "day", 3, gap=4).collect()
-    for fold in (0, 1):
-        last = max(r.day for r in got if r.fold == fold)
-        assert {r.day for r in got if r.fold == fold and r.fold_gap} == {last - dt.timedelta(n) for n in range(4)}
-
-
 @pytest.mark.parametrize("form", ["NFC", "NFD", "NFKD"])
 def test_composed_and_decomposed_texts_read_alike(spark, form):
     told = "Phòng 30m² hướng biển, Miễn phí hủy, bao gồm bữa sáng ở Hồ Chí Minh ệ ǖ"
