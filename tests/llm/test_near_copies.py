@@ -67,3 +67,33 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     rows = [(1, prose(50, 1)), (1, prose(50, 2)), (1, prose(50, 2)), (None, prose(50, 3)), (None, prose(50, 4)), (2, prose(50, 4)), (None, prose(50, 3))]
     got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([rows[0], rows[1], rows[3], rows[5]], "doc_id long, text string").collect()))
+
+
+def test_band_of_many_sets_equals_brute_force(spark):
+    """Groups of over 200 sets that share bands, with members that link to few of their group and to no lead, in blocks of few sets."""
+    r = random.Random(11)
+    base = prose(400, 500)
+    texts = [_edited(base, r.randint(0, 9), r) for _ in range(330)]
+    texts += [_edited(t, r.randint(1, 8), r) for t in r.sample(texts, 60)]
+    other = prose(60, 501)
+    texts += [_edited(other, r.randint(1, 3), r) for _ in range(240)]
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(x.doc_id for x in near_copies.keep_one(docs).collect())
+    assert got == _kept(rows) and 20 < len(got) < len(rows) / 2
+
+
+def test_blocks_give_the_links_of_all_pairs():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(2)
+    sets = [sorted(r.sample(range(30), r.randint(1, 25))) for _ in range(80)]
+    table = lambda ids: pa.table({"key": pa.array(ids, pa.int64()), "label": pa.array([i % 7 for i in ids], pa.int64()), "hashes": pa.array([sets[i] for i in ids], pa.list_(pa.int64()))})
+    asked, held = range(30), range(20, 80)
+    got = set(zip(*near_copies.block_links((4, 5), table(asked), table(held)).to_pydict().values(), strict=True))
+    true = {(min(i, j), max(i, j)) for i in asked for j in held if i % 7 != j % 7 and len(set(sets[i]) & set(sets[j])) * 5 >= len(set(sets[i]) | set(sets[j])) * 4}
+    assert got <= true and {(i, sets_of % 7) for i, sets_of in true} | {(j, i % 7) for i, j in true} >= {(i, j % 7) for i, j in got}
+    linked = lambda pairs: {(i, j % 7) for i, j in pairs if i in asked} | {(j, i % 7) for i, j in pairs if j in asked and i in held}
+    assert {x for x in linked(true)} == {x for x in linked(got)} and true and np.array(list(true)).shape[1] == 2
