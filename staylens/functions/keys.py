@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +29,35 @@ def series_key(hotel: str | Column, checkin: str | Column, room: str | Column, r
     return json_hash(hotel_id=col(hotel), checkin_date=F.date_format(col(checkin), "yyyy-MM-dd"), room_key=col(room), rate_key=col(rate))
 
 
-def curated_keys(obs: DataFrame) -> DataFrame:
-    """The canonical keys of each observation. A sold-out one has those of an empty room and rate, whatever it says."""
-    empty = lambda kind: F.lit(None).cast(kind)
-    sold = F.coalesce(F.col("is_sold_out"), F.lit(False))
-    room = F.when(sold, room_key(empty("string"), empty("int"), empty("string"), empty("string"))).otherwise(room_key("room_name", "max_occupancy", "bed_config", "room_area"))
-    rate = F.when(sold, rate_key(empty("boolean"), empty("boolean"), empty("string"))).otherwise(rate_key("breakfast_included", "free_cancellation", "cancellation_policy"))
-    out = obs.withColumn("canonical_room_key", room).withColumn("canonical_rate_key", rate)
-    return out.withColumn("canonical_series_id", series_key("hotel_id", "checkin_date", "canonical_room_key", "canonical_rate_key"))
+#: Key of a room and of a rate of which nothing is known: what room_key() and rate_key() give for nulls.
+EMPTY_ROOM = hashlib.sha256(b'{"area":null,"bed":"","name":"","occupancy":null}').hexdigest()
+EMPTY_RATE = hashlib.sha256(b'{"breakfast":null,"cancellation_policy":"","free_cancellation":null}').hexdigest()
+
+
+def by_dictionary(df: DataFrame, columns: list[str], name: str, made: Column, only: Column, parts: int = 8) -> DataFrame:
+    """Adds `made`, an expression over the columns, worked out once for each distinct set of their values; null where `only` is not true.
 
+    The values are joined back by a digest. A common set of values would draw all its rows into one task, so rows are
+    dealt over `parts` parts of each value, and a dictionary's row goes to each part; Spark sends a small dictionary whole.
+    """
+    told = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    rows = df.withColumn("_told", F.when(only, F.unhex(F.md5(told))))
+    distinct = rows.filter("_told is not null").select("_told", *columns).distinct()
+    words = distinct.select("_told", made.alias(name)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).join(words, ["_told", "_part"], "left").drop("_told", "_part")
+
+
+def curated_keys(obs: DataFrame) -> DataFrame:
+    """The canonical keys of each observation. A sold-out one has those of an empty room and rate, whatever it says.
 
-def empty_room() -> Column:
-    return room_key(F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    Texts are canonicalised once for each distinct room and rate. Nulls count as missing parts of a room or rate; repeated
+    rows stay; an empty table stays empty.
+    """
+    open_ = ~F.coalesce(F.col("is_sold_out"), F.lit(False))
+    out = by_dictionary(obs, ["room_name", "max_occupancy", "bed_config", "room_area"], "canonical_room_key", room_key("room_name", "max_occupancy", "bed_config", "room_area"), open_)
+    out = by_dictionary(out, ["breakfast_included", "free_cancellation", "cancellation_policy"], "canonical_rate_key", rate_key("breakfast_included", "free_cancellation", "cancellation_policy"), open_)
+    out = out.select(*obs.columns, F.coalesce("canonical_room_key", F.lit(EMPTY_ROOM)).alias("canonical_room_key"), F.coalesce("canonical_rate_key", F.lit(EMPTY_RATE)).alias("canonical_rate_key"))
+    return out.withColumn("canonical_series_id", series_key("hotel_id", "checkin_date", "canonical_room_key", "canonical_rate_key"))
 
 
 def curated_violations(curated: DataFrame, samples: int = 10) -> DataFrame:
@@ -48,7 +67,7 @@ def curated_violations(curated: DataFrame, samples: int = 10) -> DataFrame:
     as a missing key; an empty table gives no rows; repeated rows count each.
     """
     sold = F.coalesce(F.col("is_sold_out"), F.lit(False))
-    is_empty = F.col("canonical_room_key") == empty_room()
+    is_empty = F.col("canonical_room_key") == EMPTY_ROOM
     checks = {"empty_key_iff_sold_out": is_empty != sold, "price_null_iff_sold_out": F.col("price_per_night").isNull() != sold, "key_missing": F.col("canonical_series_id").isNull()}
     rows = curated.select("item_id", F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())).alias("violation"))
     per_item = rows.groupBy("violation", "item_id").agg(F.count(F.lit(1)).alias("n"))

@@ -138,9 +138,12 @@ def plain_words(text: str | Column) -> Column:
 
 def canonical_text(text: str | Column) -> Column:
     """plain_words() with the aliases put in, in their order; a text without any of them is left as it is."""
-    plain = plain_words(text)
-    replaced = reduce(lambda t, a: F.regexp_replace(t, rf"\b{a[0]}\b", a[1]), ALIASES.items(), plain)
-    return F.when(plain.rlike(rf"\b(?:{'|'.join(ALIASES)})\b"), F.trim(F.regexp_replace(replaced, " +", " "))).otherwise(plain)
+
+    def named(plain: Column) -> Column:
+        replaced = reduce(lambda t, a: F.regexp_replace(t, rf"\b{a[0]}\b", a[1]), ALIASES.items(), plain)
+        return F.when(plain.rlike(rf"\b(?:{'|'.join(ALIASES)})\b"), F.trim(F.regexp_replace(replaced, " +", " "))).otherwise(plain)
+
+    return F.transform(F.array(plain_words(text)), named)[0]  # names the plain words once
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:

@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import running_median
 from ..functions.stats import quantile
 
 #: Fixed thresholds of the signals.
@@ -44,11 +45,13 @@ def context_high(obs: DataFrame, ratio: float = CONFIG["context_ratio"], least_r
 def temporal_shift(reps: DataFrame, key: list[str], order: list[str], date: str, ratio: float = CONFIG["temporal_ratio"], least_items: int = CONFIG["temporal_items"], least_dates: int = CONFIG["temporal_dates"]) -> DataFrame:
     """Representatives at `ratio` times or more the median of the strictly earlier ones of their series, of which there are enough items and dates.
 
-    The running count of dates adds one where a date first stands, so no set is kept for each row.
+    The running count of dates adds one where a date first stands, so no set is kept for each row; running_median() splits
+    long series. order should tell the rows of a series apart; an empty table stays empty.
     """
     before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     fresh = (F.row_number().over(Window.partitionBy(*key, date).orderBy(*order)) == 1).cast("int")
-    rows = reps.withColumn("_new", fresh).withColumn("prior_items", F.count(F.lit(1)).over(before)).withColumn("prior_dates", F.coalesce(F.sum("_new").over(before), F.lit(0))).withColumn("prior_median", F.percentile("rep_price", F.lit(0.5)).over(before)).drop("_new")
+    rows = reps.withColumn("_new", fresh).withColumn("prior_items", F.count(F.lit(1)).over(before)).withColumn("prior_dates", F.coalesce(F.sum("_new").over(before), F.lit(0))).drop("_new")
+    rows = running_median(rows, key, order, "rep_price", "prior_median", inclusive=False)
     return rows.filter((F.col("prior_items") >= least_items) & (F.col("prior_dates") >= least_dates) & (F.col("rep_price") >= ratio * F.col("prior_median")))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import running_median
 from ..functions.stats import n_rows, quantile, r6
 from ..functions.timeaxis import bucket
 
@@ -26,12 +27,38 @@ def calendar_features(df: DataFrame, day: str) -> DataFrame:
     return df.select("*", F.weekday(d).alias("dow"), F.dayofweek(d).isin(6, 7).alias("is_weekend"), F.month(d).alias("month"), F.weekofyear(d).alias("week"), F.quarter(d).alias("quarter"), season.alias("season"))
 
 
-def nearest_holiday(df: DataFrame, day: str, holidays: DataFrame) -> DataFrame:
-    """Days to the nearest holiday on either side, and whether the next day is one. The calendar is a small dimension and goes to the days, not the rows."""
-    h = holidays.select(F.col("holiday_date").alias("_h")).distinct()
-    days = df.select(day).distinct().join(F.broadcast(h))
-    near = days.groupBy(day).agg(F.min(F.abs(F.date_diff("_h", day))).alias("days_to_holiday"), F.max(F.date_diff("_h", day) == 0).alias("is_holiday"), F.max(F.date_diff("_h", day) == 1).alias("is_eve"))
-    return df.join(near, day, "left")
+def nearest_holidays(df: DataFrame, day: str, city: str, holidays: DataFrame) -> DataFrame:
+    """Days since the last and to the next holiday, Tet and festival of a row's city: a two-sided as-of match over sorted dates.
+
+    holidays: holiday_date, city (null: everywhere), is_tet, is_festival. Adds for each of holiday, tet and festival
+    days_since_ and days_to_ (0 on the day itself; null beyond the calendar or without a city's entry), days_to_nearest_,
+    and is_holiday and is_eve. Dates of holidays and the distinct (city, day) of the rows are put in one order of days per
+    city, in which the last one seen from either side is carried along, so no row meets a range of dates. A row without a
+    city has the holidays of everywhere; a null day has nulls; repeated rows stay; extra columns of holidays are left out.
+    """
+    place = F.coalesce(F.col(city).cast("string"), F.lit(""))
+    wanted = df.select(place.alias("_city"), F.col(day).alias("_day")).filter("_day is not null").distinct()
+    kinds = {"holiday": F.lit(True), "tet": F.coalesce("is_tet", F.lit(False)), "festival": F.coalesce("is_festival", F.lit(False))}
+    marked = holidays.filter("holiday_date is not null").select(F.col("city").alias("_c"), F.col("holiday_date").alias("_day"), *[c.alias(f"_{k}") for k, c in kinds.items()])
+    own = marked.filter("_c is not null").withColumnRenamed("_c", "_city")
+    general = marked.filter("_c is null").drop("_c")
+    everywhere = wanted.select("_city").distinct().crossJoin(F.broadcast(general))  # a calendar's dates for each city
+    flags = [f"_{k}" for k in kinds]
+    days = wanted.select("*", F.lit(True).alias("_row"), *[F.lit(False).alias(f) for f in flags]).unionByName(own.unionByName(everywhere).withColumn("_row", F.lit(False)))
+    one = days.groupBy("_city", "_day").agg(F.bool_or("_row").alias("_row"), *[F.bool_or(f).alias(f) for f in flags])
+    w = Window.partitionBy("_city").orderBy("_day")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    told = []
+    for k in kinds:
+        at = F.when(F.col(f"_{k}"), F.col("_day"))
+        told += [F.date_diff("_day", F.last(at, ignorenulls=True).over(back)).alias(f"days_since_{k}"), F.date_diff(F.first(at, ignorenulls=True).over(ahead), "_day").alias(f"days_to_{k}")]
+    near = one.select("_city", "_day", "_row", *told).filter("_row").drop("_row")
+    near = near.select("*", *[F.least(f"days_since_{k}", f"days_to_{k}").alias(f"days_to_nearest_{k}") for k in kinds])
+    out = df.withColumn("_city", place).withColumn("_day", F.col(day)).join(near, ["_city", "_day"], "left").drop("_city", "_day")
+    tomorrow = F.date_add(day, 1)
+    eve = days.filter("_holiday").select(F.col("_city").alias("_ec"), F.col("_day").alias("_ed")).distinct()
+    out = out.join(eve, (place == F.col("_ec")) & (tomorrow == F.col("_ed")), "left").withColumn("is_eve", F.col("_ed").isNotNull()).drop("_ec", "_ed")
+    return out.withColumn("is_holiday", F.coalesce(F.col("days_since_holiday") == 0, F.lit(False)))
 
 
 def lead_features(df: DataFrame, lead: str) -> DataFrame:
@@ -55,16 +82,39 @@ def price_history(snapshot: DataFrame, series: list[str], day: str, price: str,
 
 
 def competitor_set(hotels: DataFrame, score_gap: float = 0.5, least_reviews: int = 50, least: int = 5, most: int = 15) -> DataFrame:
-    """Hotels of the same city with a near review score: at most `most` for each, none where fewer than `least` qualify.
+    """Hotels of the same city with a near review score: at most `most` for each, none where fewer than `least` qualify. Nearest first, ties by hotel_id.
 
-    Scores are binned by the gap, so a hotel meets those of its bin and the two beside it only.
+    Hotels of one score of a city are folded: their number and the least most + 1 of their ids. The nearest hotels then
+    lie within so many scores on either side, and how many qualify is a sum over a range of scores; both are windows over a
+    city's scores, dealt out in bins of the gap to which the scores of the bins beside are carried. So no hotel meets
+    another one before it is of the set. Hotels without a city or score have no set; an empty table stays empty.
     """
-    h = hotels.filter(F.col("city").isNotNull()).select("hotel_id", "city", "review_score", "review_count", F.floor(F.col("review_score") / score_gap).alias("_bin"))
-    other = h.filter(F.col("review_count") >= least_reviews).select(F.col("hotel_id").alias("competitor_id"), "city", F.col("review_score").alias("_score"), F.explode(F.array(F.col("_bin") - 1, F.col("_bin"), F.col("_bin") + 1)).alias("_bin"))
-    pairs = h.join(other, ["city", "_bin"]).filter((F.col("hotel_id") != F.col("competitor_id")) & (F.round(F.abs(F.col("review_score") - F.col("_score")), 6) <= score_gap))
-    w = Window.partitionBy("hotel_id").orderBy(F.round(F.abs(F.col("review_score") - F.col("_score")), 6), "competitor_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("hotel_id")))
-    return ranked.filter((F.col("_n") >= least) & (F.col("rank") <= most)).select("hotel_id", "competitor_id", "rank")
+    unit = 1_000_000
+    at = F.round(F.col("review_score") * unit).cast("long")
+    known = hotels.filter(F.col("city").isNotNull() & F.col("review_score").isNotNull()).select("hotel_id", "city", at.alias("_at"), (F.col("review_count") >= least_reviews).alias("_may"))
+    gap = round(score_gap * unit)
+    first = known.filter("_may").withColumn("_part", F.pmod(F.xxhash64("hotel_id"), F.lit(32)))
+    for by in (["city", "_at", "_part"], ["city", "_at"]):  # a score that many hotels share is ranked in parts first
+        ranked = first.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("hotel_id")))
+        first = ranked.filter(F.col("_k") <= most + 1)
+    ids = first.groupBy("city", "_at").agg(F.array_sort(F.collect_list("hotel_id")).alias("_ids"))
+    points = known.groupBy("city", "_at").agg(F.count_if(F.coalesce("_may", F.lit(False))).alias("_n")).join(ids, ["city", "_at"], "left")
+    bin_of = F.floor(F.col("_at") / gap) if gap else F.col("_at")
+    carried = points.withColumn("_own", bin_of).withColumn("_bin", F.explode(F.array(F.col("_own") - 1, F.col("_own"), F.col("_own") + 1) if gap else F.array("_own")))
+    w = Window.partitionBy("city", "_bin").orderBy("_at")
+    near = F.struct("_at", "_ids")
+    beside = carried.filter("_n > 0")
+    # scores without a candidate take no place among the neighbours: they look at both sides of the candidates' order
+    seen = carried.withColumn("_c", F.sum((F.col("_n") > 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    counted = seen.withColumn("_within", F.sum("_n").over(w.rangeBetween(-gap, gap))).filter("_bin = _own")
+    order = beside.withColumn("_c", F.row_number().over(w)).withColumn("_around", F.collect_list(near).over(w.rowsBetween(-most - 1, most + 1)))
+    met = counted.filter("_within > 0").select("city", "_bin", "_at", "_within", F.greatest("_c", F.lit(1)).alias("_c")).join(order.select("city", "_bin", "_c", "_around"), ["city", "_bin", "_c"])
+    away = lambda x: F.abs(x["_at"] - F.col("_at"))
+    others = F.flatten(F.transform(F.filter("_around", lambda x: away(x) <= gap), lambda x: F.transform(x["_ids"], lambda i: F.struct(away(x).alias("d"), i.alias("competitor_id")))))
+    listed = met.select("city", "_at", "_within", F.slice(F.array_sort(others), 1, most + 1).alias("_list"))
+    mine = known.join(listed, ["city", "_at"]).filter(F.col("_within") - F.coalesce("_may", F.lit(False)).cast("int") >= least)
+    out = mine.select("hotel_id", F.posexplode(F.slice(F.filter("_list", lambda x: x["competitor_id"] != F.col("hotel_id")), 1, most)).alias("_k", "_m"))
+    return out.select("hotel_id", F.col("_m.competitor_id").alias("competitor_id"), (F.col("_k") + 1).cast("int").alias("rank"))
 
 
 def _r4(x: Column) -> Column:
@@ -117,8 +167,8 @@ def baselines(snapshot: DataFrame, series: list[str], day: str, price: str) -> D
     """Forecasts by persistence, the median of the history, and the same weekday a week before."""
     w = Window.partitionBy(*series).orderBy("_n")
     rows = snapshot.withColumn("_n", F.unix_date(day).cast("long"))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("*", F.col(price).alias("persistence"), r6(F.percentile(price, F.lit(0.5)).over(upto)).alias("historical_median"), F.max(price).over(w.rangeBetween(-7, -7)).alias("week_before")).drop("_n")
+    out = rows.select("*", F.col(price).alias("persistence"), F.max(price).over(w.rangeBetween(-7, -7)).alias("week_before"))
+    return running_median(out, series, ["_n"], price, "historical_median", inclusive=True).withColumn("historical_median", r6("historical_median")).drop("_n")
 
 
 def metrics(df: DataFrame, actual: str, forecast: str, *by: str) -> DataFrame:

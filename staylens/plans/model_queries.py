@@ -11,7 +11,6 @@ from ..functions.stats import r6
 from ..functions.timeaxis import bucket
 from ..operators import catalog, features, models, monitor, review_log
 from ..sources.bindings import events_warehouse, orders_warehouse
-from .derived_queries import holidays
 from .preludes import BUCKET, events_sql, orders_sql
 from .registry import query
 
@@ -291,15 +290,23 @@ def daily_snapshot(spark, sf_dir):
     return _snapshot(spark, sf_dir)
 
 
-_HD = "(VALUES (DATE '2024-01-01'), (DATE '2024-02-10'), (DATE '2024-01-20'), (DATE '2024-02-11')) AS h(d)"
+_HD = "(VALUES (DATE '2024-01-01', NULL, false, false), (DATE '2024-02-10', NULL, true, false), (DATE '2024-01-20', 'Hoi An', false, true), (DATE '2024-02-11', NULL, true, false), (DATE '2024-01-25', 'Hanoi', false, true)) AS h(d, hc, tet, fest)"
 
 
-@query(events_sql(f"""{_SNAP}, nh AS (SELECT checkin_date, min(abs(d - checkin_date))::int AS days_to_holiday, bool_or(d = checkin_date) AS is_holiday, bool_or(d - checkin_date = 1) AS is_eve FROM (SELECT DISTINCT checkin_date FROM sn), {_HD} GROUP BY 1)
-    SELECT record_id, isodow(sn.checkin_date)::int - 1 AS dow, isodow(sn.checkin_date) IN (5, 6) AS is_weekend, month(sn.checkin_date)::int AS month, week(sn.checkin_date)::int AS week, quarter(sn.checkin_date)::int AS quarter, CASE WHEN month(sn.checkin_date) IN (12, 1, 2) THEN 'winter' WHEN month(sn.checkin_date) <= 5 THEN 'spring' WHEN month(sn.checkin_date) <= 8 THEN 'summer' ELSE 'autumn' END AS season,
-           days_to_holiday, is_holiday, is_eve, {BUCKET} AS lead_bucket, coalesce(lead_time <= 3, false) AS is_last_minute FROM sn JOIN nh USING (checkin_date)"""))
+def _near(kind: str, only: str) -> str:
+    return f"min(checkin_date - d) FILTER (d <= checkin_date{only})::int AS days_since_{kind}, min(d - checkin_date) FILTER (d >= checkin_date{only})::int AS days_to_{kind}, min(abs(d - checkin_date)) FILTER (true{only})::int AS days_to_nearest_{kind}"
+
+
+@query(events_sql(f"""{_SNAP}, pl AS (SELECT sn.*, h.city FROM sn JOIN hotels h USING (hotel_id)), nh AS (SELECT city, checkin_date, {_near('holiday', '')}, {_near('tet', ' AND tet')}, {_near('festival', ' AND fest')}, bool_or(d = checkin_date) AS is_holiday, bool_or(d - checkin_date = 1) AS is_eve FROM (SELECT DISTINCT city, checkin_date FROM pl), {_HD} WHERE hc IS NULL OR hc = city GROUP BY 1, 2)
+    SELECT record_id, isodow(pl.checkin_date)::int - 1 AS dow, isodow(pl.checkin_date) IN (5, 6) AS is_weekend, month(pl.checkin_date)::int AS month, week(pl.checkin_date)::int AS week, quarter(pl.checkin_date)::int AS quarter, CASE WHEN month(pl.checkin_date) IN (12, 1, 2) THEN 'winter' WHEN month(pl.checkin_date) <= 5 THEN 'spring' WHEN month(pl.checkin_date) <= 8 THEN 'summer' ELSE 'autumn' END AS season,
+           nh.* EXCLUDE (city, checkin_date), {BUCKET} AS lead_bucket, coalesce(lead_time <= 3, false) AS is_last_minute FROM pl JOIN nh ON nh.city IS NOT DISTINCT FROM pl.city AND nh.checkin_date = pl.checkin_date"""))
 def calendar_and_lead_features(spark, sf_dir):
-    rows = features.nearest_holiday(features.calendar_features(_snapshot(spark, sf_dir), "checkin_date"), "checkin_date", holidays(spark))
-    return features.lead_features(rows, "lead_time").select("record_id", "dow", "is_weekend", "month", "week", "quarter", "season", "days_to_holiday", "is_holiday", "is_eve", "lead_bucket", "is_last_minute")
+    """With two festivals of cities, and two days of Tet."""
+    rows = features.calendar_features(_snapshot(spark, sf_dir), "checkin_date").join(events_warehouse(spark, sf_dir).hotels.select("hotel_id", "city"), "hotel_id")
+    told = [("2024-01-01", None, False, False), ("2024-02-10", None, True, False), ("2024-01-20", "Hoi An", False, True), ("2024-02-11", None, True, False), ("2024-01-25", "Hanoi", False, True)]
+    days = spark.createDataFrame(told, "d string, city string, is_tet boolean, is_festival boolean").select(F.col("d").cast("date").alias("holiday_date"), "city", "is_tet", "is_festival")
+    out = features.lead_features(features.nearest_holidays(rows, "checkin_date", "city", days), "lead_time")
+    return out.select("record_id", "dow", "is_weekend", "month", "week", "quarter", "season", *[f"{p}_{k}" for k in ("holiday", "tet", "festival") for p in ("days_since", "days_to", "days_to_nearest")], "is_holiday", "is_eve", "lead_bucket", "is_last_minute")
 
 
 def _rng(agg: str, a: int, b: int) -> str:

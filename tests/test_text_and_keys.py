@@ -108,3 +108,19 @@ def test_checksum_is_of_rows_not_order(spark):
     assert a == keys.table_checksum(df.orderBy(F.desc("id")).repartition(5), "t").first()
     assert a != keys.table_checksum(df.withColumn("x", F.col("x") + (F.col("id") == 7).cast("int")), "t").first()
     assert keys.table_checksum(df, "t", ["x"]).first().n_rows == 100
+
+
+def test_keys_by_dictionary_equal_keys_by_row(spark):
+    from staylens.functions import keys
+
+    rows = [(i, i % 3 == 0, ["Phòng Đôi", "phong doi", None, "DELUXE Sea  View"][i % 4], [2, None, 3][i % 3], ["1 double", None][i % 2], "20 m²" if i % 5 else None, bool(i % 2), None, ["free", "Free", None][i % 3], "x", 7) for i in range(60)] + [(99, None, "a", 1, None, None, None, None, None, "x", 7)] * 3
+    df = spark.createDataFrame(rows, "hotel_id int, is_sold_out boolean, room_name string, max_occupancy int, bed_config string, room_area string, breakfast_included boolean, free_cancellation boolean, cancellation_policy string, checkin_date string, n int").withColumn("checkin_date", F.lit("2026-01-02").cast("date"))
+    sold = F.coalesce("is_sold_out", F.lit(False))
+    none = lambda kind: F.lit(None).cast(kind)
+    want = df.withColumn("canonical_room_key", F.when(sold, keys.room_key(none("string"), none("int"), none("string"), none("string"))).otherwise(keys.room_key("room_name", "max_occupancy", "bed_config", "room_area")))
+    want = want.withColumn("canonical_rate_key", F.when(sold, keys.rate_key(none("boolean"), none("boolean"), none("string"))).otherwise(keys.rate_key("breakfast_included", "free_cancellation", "cancellation_policy")))
+    want = want.withColumn("canonical_series_id", keys.series_key("hotel_id", "checkin_date", "canonical_room_key", "canonical_rate_key"))
+    got = keys.curated_keys(df)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert keys.curated_keys(df.filter("n < 0")).collect() == []
