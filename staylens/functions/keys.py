@@ -34,17 +34,16 @@ EMPTY_ROOM = hashlib.sha256(b'{"area":null,"bed":"","name":"","occupancy":null}'
 EMPTY_RATE = hashlib.sha256(b'{"breakfast":null,"cancellation_policy":"","free_cancellation":null}').hexdigest()
 
 
-def by_dictionary(df: DataFrame, columns: list[str], name: str, made: Column, only: Column, parts: int = 8) -> DataFrame:
+def by_dictionary(df: DataFrame, columns: list[str], name: str, made: Column, only: Column) -> DataFrame:
     """Adds `made`, an expression over the columns, worked out once for each distinct set of their values; null where `only` is not true.
 
-    The values are joined back by a digest. A common set of values would draw all its rows into one task, so rows are
-    dealt over `parts` parts of each value, and a dictionary's row goes to each part; Spark sends a small dictionary whole.
+    The values are joined back by a digest. Spark sends a dictionary whole where its size at run time allows it; else rows
+    of a common set of values make a large partition of a left join, which the adaptive skew join splits.
     """
     told = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     rows = df.withColumn("_told", F.when(only, F.unhex(F.md5(told))))
     distinct = rows.filter("_told is not null").select("_told", *columns).distinct()
-    words = distinct.select("_told", made.alias(name)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).join(words, ["_told", "_part"], "left").drop("_told", "_part")
+    return rows.join(distinct.select("_told", made.alias(name)), "_told", "left").drop("_told")
 
 
 def curated_keys(obs: DataFrame) -> DataFrame:

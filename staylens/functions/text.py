@@ -125,10 +125,10 @@ _COMPOSED = _compositions()
 
 
 def strip_accents(text: str | Column) -> Column:
-    """ASCII letters and digits for what they are written with: accents, superscripts, full width, ligatures."""
+    """ASCII letters and digits for what they are written with: accents, superscripts, full width, ligatures. ASCII texts are left as they are."""
     t = F.coalesce(col(text), F.lit(""))
     letters = F.transform(F.split(t, ""), lambda c: F.coalesce(F.element_at(_told(_MORE), c), c))
-    return F.translate(F.when(t.rlike(_ANY_MORE), F.array_join(letters, "")).otherwise(t), _FROM, _TO)
+    return F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(F.when(t.rlike(_ANY_MORE), F.array_join(letters, "")).otherwise(t), _FROM, _TO)).otherwise(t)
 
 
 def plain_words(text: str | Column) -> Column:

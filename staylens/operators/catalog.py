@@ -539,17 +539,20 @@ def run_duration_and_throughput(w):
     )
 
 
-def multi_source(items: DataFrame, key: list[str]) -> DataFrame:
-    """Items whose key more than one source has; a window prunes the rest before any pairing."""
-    w = Window.partitionBy(*key)
-    return items.withColumn("_lo", F.min("source_code").over(w)).withColumn("_hi", F.max("source_code").over(w)).filter("_lo < _hi").drop("_lo", "_hi")
+def collision_pairs(items: DataFrame, key: list[str], most: int = 1000) -> DataFrame:
+    """Pairs of items of two sources with the same key, the source of the first before that of the second.
 
-
-def collision_pairs(items: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs of items of two sources with the same key, the source of the first before that of the second."""
-    both = multi_source(items.dropna(subset=key), key)
-    side = lambda s: both.select(*key, *[F.col(c).alias(f"{n}_{s}") for c, n in (("source_code", "source"), ("item_id", "item_id"), ("status", "status"), ("ownership_status", "ownership_status"), ("finished_at", "observed_finish"))])
-    return side("a").join(side("b"), key).filter("source_a < source_b")
+    Keys of one source go before any pairing, told by counts that are summed before they are shuffled. A key of more than
+    `most` items is cut into slices of about so many by a hash of the item, and each two slices meet in a task of their
+    own, to which an item goes once for each slice of the other side: no task pairs more than most x most items. Items
+    with a null in the key have no pairs; repeated items pair each; an empty table gives none.
+    """
+    known = items.dropna(subset=key)
+    sizes = known.groupBy(*key).agg(F.min("source_code").alias("_lo"), F.max("source_code").alias("_hi"), F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_cuts")).filter("_lo < _hi").drop("_lo", "_hi")
+    both = known.join(sizes, key).withColumn("_own", F.pmod(F.xxhash64("item_id"), F.col("_cuts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
+    told = (("source_code", "source"), ("item_id", "item_id"), ("status", "status"), ("ownership_status", "ownership_status"), ("finished_at", "observed_finish"))
+    side = lambda s, mine, theirs: both.select(*key, F.col("_own").alias(mine), F.col("_other").alias(theirs), *[F.col(c).alias(f"{n}_{s}") for c, n in told])
+    return side("a", "_cut_a", "_cut_b").join(side("b", "_cut_b", "_cut_a"), [*key, "_cut_a", "_cut_b"]).filter("source_a < source_b").drop("_cut_a", "_cut_b")
 
 
 @metric("RAW", "source_a source_b item_id_a item_id_b vn_crawl_date hotel_id checkin_date status_a status_b ownership_status_a ownership_status_b observed_finish_a observed_finish_b")

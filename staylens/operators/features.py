@@ -223,6 +223,18 @@ def pricing_opportunity(rows: DataFrame, own: str, own_next: str, set_now: str,
     return out.withColumn("advice", F.when(F.col("gap") >= least_gap, "raise").when(F.col("gap") <= -least_gap, "lower").otherwise("hold"))
 
 
+def alert_leads(rows: DataFrame, series: list[str], day: str, state: str, event: str) -> DataFrame:
+    """For each row whose `event` is true: since when its state has held on every day up to it, and how many days that is ahead.
+
+    Gaps and islands: days of one state in a row share their day less their rank among the series' days of that state. rows
+    has one row a series and day; a null state is a state of its own; a null event is none; an empty table stays empty.
+    """
+    same = Window.partitionBy(*series, state).orderBy(day)
+    island = rows.withColumn("_island", F.date_sub(day, F.row_number().over(same)))
+    since = island.withColumn("alert_since", F.min(day).over(Window.partitionBy(*series, state, "_island")))
+    return since.filter(event).withColumn("lead_days", F.date_diff(day, "alert_since")).drop("_island")
+
+
 def booking_timing(rows: DataFrame, series: list[str], day: str, price: str, forecast: str) -> DataFrame:
     """For each series the price at the first forecast that says prices won't fall (else the last price), against the first price and the least in hindsight."""
     said = F.coalesce(F.col(forecast) >= F.col(price), F.lit(False))

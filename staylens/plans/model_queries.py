@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.running import running_median
 from ..functions.stats import r6
 from ..functions.timeaxis import bucket
 from ..operators import catalog, features, models, monitor, review_log
+from ..sources import files
 from ..sources.bindings import events_warehouse, orders_warehouse
+from ..sources.files import shared_path
 from .preludes import BUCKET, events_sql, orders_sql
 from .registry import query
 
@@ -139,12 +142,15 @@ def issue_sheet(spark, sf_dir):
     return events_warehouse(spark, sf_dir).items.filter(F.col("status").isin("error", "partial", "not_bookable")).select("run_id", "item_id", "status", "error_code")
 
 
-@query(orders_sql("SELECT o.item_id, option_index, h.name, o.city, round(price_total, 6) AS price_total, item_status FROM observations o JOIN hotels h USING (hotel_id) LEFT JOIN items i USING (item_id) WHERE date_part('year', o.crawl_date) = 1997"))
+@query(orders_sql("SELECT o.item_id, option_index, h.name, o.city, round(price_total, 6) AS price_total, i.status AS item_status, row_number() OVER (ORDER BY o.item_id, option_index, h.name, round(price_total, 6)) AS place FROM observations o JOIN hotels h USING (hotel_id) LEFT JOIN (SELECT * FROM items WHERE include_reference) i USING (item_id) WHERE date_part('year', o.crawl_date) = 1997"))
 def run_export(spark, sf_dir):
-    """A run is a year here."""
+    """A run is a year here, items are those of the reference scope; written in order, and read back with each row's place."""
     w = orders_warehouse(spark, sf_dir)
-    rows = w.observations.filter(F.year("crawl_date") == 1997).join(w.hotels.select("hotel_id", "name"), "hotel_id").join(w.items.select("item_id"), "item_id", "left")
-    return rows.select("item_id", "option_index", "name", "city", r6("price_total").alias("price_total"), "item_status")
+    items = w.items.filter("include_reference").select("item_id", F.col("status").alias("_status"))
+    rows = w.observations.filter(F.year("crawl_date") == 1997).join(w.hotels.select("hotel_id", "name"), "hotel_id").join(items, "item_id", "left")
+    rows = rows.select("item_id", "option_index", "name", "city", r6("price_total").alias("price_total"), F.col("_status").alias("item_status"))
+    path = shared_path(spark, "export")
+    return files.read_ordered(spark, path, files.export_ordered(rows, path, ["item_id", "option_index", "name", "price_total"])).drop("file")
 
 
 # --- review log: a review for each hotel with low prices; some are superseded, some retracted
@@ -433,12 +439,31 @@ def price_position_alerts(spark, sf_dir):
     return features.position_alerts(_compared(spark, sf_dir)).select("hotel_id", "crawl_date", "own_to_set", "alert")
 
 
-@query(events_sql(f"{_DAYP}, nx AS (SELECT a.hotel_id, a.crawl_date, round((b.price - a.price) / nullif(a.price, 0), 6) AS own_move, round((b.set_mean - a.set_mean) / nullif(a.set_mean, 0), 6) AS set_move FROM sf a JOIN sf b ON a.hotel_id = b.hotel_id AND b.crawl_date = a.crawl_date + 1) SELECT *, round(set_move - own_move, 6) AS gap, CASE WHEN round(set_move - own_move, 6) >= 0.05 THEN 'raise' WHEN round(set_move - own_move, 6) <= -0.05 THEN 'lower' ELSE 'hold' END AS advice FROM nx"))
+# The set's next mean is forecast by the median of its means so far.
+_ADVICE = f"""{_DAYP}, fc AS (SELECT sf.*, round((SELECT quantile_cont(b.set_mean, 0.5) FROM sf b WHERE b.hotel_id = sf.hotel_id AND b.crawl_date <= sf.crawl_date), 6) AS set_next FROM sf),
+    nx AS (SELECT a.hotel_id, a.crawl_date, round((b.price - a.price) / nullif(a.price, 0), 6) AS own_move, round((a.set_next - a.set_mean) / nullif(a.set_mean, 0), 6) AS set_move FROM fc a JOIN fc b ON a.hotel_id = b.hotel_id AND b.crawl_date = a.crawl_date + 1),
+    ad AS (SELECT *, round(set_move - own_move, 6) AS gap, CASE WHEN round(set_move - own_move, 6) >= 0.05 THEN 'raise' WHEN round(set_move - own_move, 6) <= -0.05 THEN 'lower' ELSE 'hold' END AS advice FROM nx)"""
+
+
+def _advice(spark, sf_dir) -> DataFrame:
+    now = running_median(_compared(spark, sf_dir).select("hotel_id", "crawl_date", "price", "set_mean"), ["hotel_id"], ["crawl_date"], "set_mean", "set_next", inclusive=True)
+    now = now.withColumn("set_next", r6("set_next"))
+    later = now.select("hotel_id", F.date_sub("crawl_date", 1).alias("crawl_date"), F.col("price").alias("price_next"))
+    return features.pricing_opportunity(now.join(later, ["hotel_id", "crawl_date"]), "price", "price_next", "set_mean", "set_next")
+
+
+@query(events_sql(f"{_ADVICE} SELECT * FROM ad"))
 def pricing_opportunities(spark, sf_dir):
-    now = _compared(spark, sf_dir).select("hotel_id", "crawl_date", "price", "set_mean")
-    later = now.select("hotel_id", F.date_sub("crawl_date", 1).alias("crawl_date"), F.col("price").alias("price_next"), F.col("set_mean").alias("set_next"))
-    out = features.pricing_opportunity(now.join(later, ["hotel_id", "crawl_date"]), "price", "price_next", "set_mean", "set_next")
-    return out.select("hotel_id", "crawl_date", "own_move", "set_move", "gap", "advice")
+    """A hotel's next move against the forecast move of its set."""
+    return _advice(spark, sf_dir).select("hotel_id", "crawl_date", "own_move", "set_move", "gap", "advice")
+
+
+@query(events_sql(f"{_ADVICE}, il AS (SELECT *, crawl_date - row_number() OVER (PARTITION BY hotel_id, advice ORDER BY crawl_date)::int AS island FROM ad), si AS (SELECT *, min(crawl_date) OVER (PARTITION BY hotel_id, advice, island) AS alert_since FROM il) SELECT hotel_id, crawl_date, advice, alert_since, (crawl_date - alert_since)::int AS lead_days FROM si WHERE advice <> 'hold' AND abs(own_move) >= 0.1"))
+def alert_lead_days(spark, sf_dir):
+    """How long an advice had held when a hotel's price moved by a tenth or more."""
+    event = (F.col("advice") != "hold") & (F.abs("own_move") >= 0.1)
+    out = features.alert_leads(_advice(spark, sf_dir), ["hotel_id"], "crawl_date", "advice", event)
+    return out.select("hotel_id", "crawl_date", "advice", "alert_since", "lead_days")
 
 
 @query(events_sql(f"{_BASE}, t AS (SELECT hotel_id, arg_min(price, crawl_date) AS first_price, min(price) AS best_price, coalesce(arg_min(price, crawl_date) FILTER (historical_median >= price), arg_max(price, crawl_date)) AS booked_price, arg_min(crawl_date, (price, crawl_date)) AS best_day FROM ba GROUP BY 1) SELECT *, round((first_price - booked_price) / nullif(first_price, 0), 6) AS saving, round((booked_price - best_price) / nullif(best_price, 0), 6) AS regret FROM t"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.stats import quantile, r6
 from ..sources.bindings import read
+from ..sources.files import shared_path
 from ..streaming import jobs
 from .registry import query
 
@@ -17,13 +15,7 @@ _S = ("success", "partial", "sold_out", "not_bookable", "error")
 
 
 def _folder(spark) -> str:
-    """A new folder that the driver and the executors share; a machine's own folder serves only where all is one process, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-        base = f"file://{tempfile.mkdtemp(prefix='staylens-stream-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_path(spark, "stream")
 
 
 @query(f"""WITH {_E}, g AS (SELECT date_trunc('day', ts)::timestamp AS window_start, source_code, {", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in _S)}, count(*) AS n_items FROM e GROUP BY 1, 2)

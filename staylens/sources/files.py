@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +17,21 @@ class LoadError(ValueError):
     """A file or table breaks its contract; nothing of it is used."""
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that the driver and the executors share; a machine's own folder serves only where all is one process, as in tests. What is written there is deleted when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        base = f"file://{tempfile.mkdtemp(prefix='staylens-')}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def faults(df: DataFrame, rules: dict[str, Column]) -> dict[str, int]:
     """Rows that break each rule, in one pass; rules that hold are left out."""
     row = df.agg(*[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in rules.items()]).first()
@@ -104,15 +120,27 @@ def publish(df: DataFrame, path: str, name: str, scope: str, grain: str, denomin
     return df.sparkSession.createDataFrame(meta, "name string, scope string, grain string, denominator string, n_rows long, columns string")
 
 
-def load_core(spark: SparkSession, path: str, schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
-    """Tables with pinned types; a file that has others is an error when it is read."""
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}.parquet") for name, schema in schemas.items()}
+def export_ordered(df: DataFrame, path: str, order: list[str], files: int = 8) -> DataFrame:
+    """Write df as Parquet files whose rows, read in the order of the files' names, are in the order of the columns given; return their manifest.
 
+    Rows are dealt out by ranges of `order` and sorted within them, so no task holds more than a range. The manifest has
+    file, n_rows, first and last (structs of the order columns) and the rows before the file, read from what was written.
+    Nulls come first; ties lie in any order; an empty table gives an empty manifest.
+    """
+    df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("file"))
+    ends = F.struct(*order)
+    told = out.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"), F.min(ends).alias("first"), F.max(ends).alias("last"))
+    before = F.coalesce(F.sum("n_rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a file
+    return told.withColumn("rows_before", before)
 
-def load_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
-    """A table over JDBC, read in key ranges at once."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts, **options).load()
 
+def read_ordered(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """The rows of export_ordered() with their place from 1 in the whole export."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("_k"))
+    return rows.join(manifest.select("file", "rows_before"), "file").withColumn("place", F.col("rows_before") + F.col("_k") + 1).drop("_k", "rows_before")
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+def load_core(spark: SparkSession, path: str, schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
+    """Tables with pinned types; a file that has others is an error when it is read."""
+    return {name: spark.read.schema(schema).parquet(f"{path}/{name}.parquet") for name, schema in schemas.items()}
