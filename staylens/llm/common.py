@@ -141,6 +141,14 @@ def keep_first(docs: DataFrame, found: DataFrame, labels: DataFrame) -> DataFram
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["_staylens_row"])).drop("_staylens_row")
 
 
+#: Row keys of 16 bytes in a table that is sent to all tasks, some 20 MB.
+MOST_KEYS = 200_000
+
+
 def without_rows(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """docs with _staylens_row (see row_key), less the rows whose key is in the column `name` of gone."""
-    return docs.withColumn("_staylens_row", row_key()).join(gone, F.col("_staylens_row") == F.col(name), "left_anti")
+    """docs with _staylens_row (see row_key), less the rows whose key is in the column `name` of gone, a table of write_shared().
+
+    So many keys as MOST_KEYS are sent to all tasks, so that the texts stay where they are; more are joined by a shuffle.
+    """
+    sent = F.broadcast(gone) if gone.count() <= MOST_KEYS else gone
+    return docs.withColumn("_staylens_row", row_key()).join(sent, F.col("_staylens_row") == F.col(name), "left_anti")

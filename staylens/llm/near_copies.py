@@ -31,6 +31,7 @@ from .simhash import components, majority, packed
 from .simhash import links as ring_links
 
 BANDS, ROWS, SEED, BLOCK = 20, 5, 42, 200_000
+MOST_SENT = 500_000  # digests of eight bytes in a table that is sent to all tasks
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _TURNS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _SETS = "key long, size long, fp long, bands array<long>"
@@ -99,7 +100,8 @@ def _could(a: Column, b: Column, similarity: tuple[int, int]) -> Column:
 def _fetched(keys: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """key and hashes of the sets of keys, read from one text of each."""
     wanted = write_shared(classes.select("key", "digest").join(keys.distinct(), "key").select("digest").distinct())
-    texts = docs.select("text", F.xxhash64("text").alias("digest")).join(wanted, "digest", "left_semi").select("text")
+    few = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted  # else all texts would be shuffled
+    texts = docs.select("text", F.xxhash64("text").alias("digest")).join(few, "digest", "left_semi").select("text")
     return write_shared(texts.mapInArrow(lambda it: _sets(width, it), "key long, hashes array<long>").dropDuplicates(["key"]))
 
 
