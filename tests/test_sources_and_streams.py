@@ -117,3 +117,13 @@ def test_operational_flags_need_days_and_spread(spark):
     assert [(r.source_code, r.d) for r in got if r.flagged] == [("a", 9)]
     assert all(r.z_m is None for r in got if r.source_code in "bc")
     assert pd.Series([r.z_m for r in got if r.source_code == "a"]).notna().all()
+
+
+@pytest.mark.parametrize("days", [["2026-02-01", "2026-01-01"], ["2026-01-01", "2026-01-01"], ["2026-01-01", None]])
+def test_cohort_versions_begin_later_in_file_order(spark, tmp_path, days):
+    told = lambda ds: json.dumps([{"label": f"v{i}", "effective_from": d, "members": {"h1": "x"}} for i, d in enumerate(ds)])
+    (tmp_path / "c.json").write_text(told(days))
+    with pytest.raises(files.LoadError, match="later days"):
+        files.load_cohorts(spark, str(tmp_path / "c.json"))
+    (tmp_path / "d.json").write_text(told(["2026-01-01", "2026-02-01", "2026-03-01"]))
+    assert files.load_cohorts(spark, str(tmp_path / "d.json")).count() == 3
