@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,24 +38,45 @@ def n_rows() -> Column:
     return F.count(F.lit(1))
 
 
-def overall_quantiles(df: DataFrame, x: str, points: list[float], bins: int = 10_000) -> DataFrame:
-    """One row with the quantiles of a column over all rows, exact and interpolated as by quantile(), as p1, p5 and so on.
+#: Groups of more distinct values than this are cut into ranges, so many of them at most.
+FEW, RANGES = 50_000, 256
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], x: str, points: list[float], weight: str | None = None, few: int = FEW, ranges: int = RANGES) -> DataFrame:
+    """Exact quantiles of x by group, interpolated as by quantile(), as p1, p5 and so on, with n_values, how many there are.
+
+    Equal values are counted first (a row stands for `weight` of them, if given). Groups of more than `few` distinct values
+    are cut into ranges of about as many distinct values each, at quantiles that a bounded sketch finds; counts of the
+    ranges tell where the ranks lie, and only ranges that hold one are ordered. So no task holds a group's values,
+    however many they are, how they are spread, or how often one is repeated.
 
-    Equal values are counted first; equal-width bins of values tell in which bins the ranks lie, and only values of those
-    are ordered. No task holds all values, but for one bin's. Nulls are left out; no values give nulls.
+    Null values are left out, and a group of none of them has no row; a null in the key is a group of its own; NaN is the
+    greatest value. Without a group there is always one row, of nulls and 0 where there are no values.
     """
-    counts = df.filter(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("_v")).agg(n_rows().alias("_c"))
-    ends = counts.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.coalesce(F.sum("_c"), F.lit(0)).alias("_n"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    bin_of = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width)).otherwise(F.lit(0))
-    binned = counts.crossJoin(F.broadcast(ends)).withColumn("_bin", bin_of.cast("long"))
-    upto = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = binned.groupBy("_bin").agg(F.sum("_c").alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(upto), F.lit(0)))  # a row a bin
-    ranks = ends.select("_n", F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), (F.lit(q) * (F.col("_n") - 1)).alias("_at")) for i, q in enumerate(points)])).alias("_r")).select("_r.*").withColumn("_rank", F.explode(F.array(F.floor("_at"), F.ceil("_at"))))
-    wanted = ranks.distinct().join(sizes, (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_in")))
-    inside = binned.join(F.broadcast(sizes.join(wanted.select("_bin").distinct(), "_bin", "left_semi").select("_bin", "_before")), "_bin")
-    placed = inside.withColumn("_to", F.col("_before") + F.sum("_c").over(Window.partitionBy("_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    found = placed.join(F.broadcast(ranks.distinct()), (F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c")))
-    at = lambda i, pick: pick(F.when(F.col("_i") == i, F.col("_v")))
-    part = lambda i: F.max(F.when(F.col("_i") == i, F.col("_at") - F.floor("_at")))
-    return found.agg(*[(at(i, F.min) + part(i) * (at(i, F.max) - at(i, F.min))).alias(f"p{round(q * 100)}") for i, q in enumerate(points)])
+    keys = [f"_k{i}" for i in range(len(by))]
+    same = lambda a, b, more=(): [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys] + [F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in more]
+    meet = lambda left, right, on: left.join(right, reduce(lambda a, b: a & b, on)) if on else left.crossJoin(right)
+    told = df.filter(F.col(x).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(x).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+    counts = told.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"))
+    at = F.percentile_approx("_v", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(4 * ranges))
+    cuts = counts.groupBy(*keys).agg(F.when(n_rows() > few, at).alias("_cuts"))
+    joined = meet(counts.alias("a"), cuts.alias("b"), same("a", "b")).select("a.*", "b._cuts")  # without a group the cuts are one row
+    ranged = joined.select(*keys, "_v", "_c", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda cut: cut < F.col("_v")))).alias("_range"))
+    whole = Window.partitionBy(*keys)  # a row a range
+    sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_in").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_in").over(whole))
+    spots = [F.lit(q) * (F.col("_n") - 1) for q in points]
+    within = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in"))
+    wanted = sizes.filter(reduce(lambda a, b: a | b, [within(edge(s)) for s in spots for edge in (F.floor, F.ceil)]))
+    inside = meet(ranged.alias("a"), wanted.alias("b"), same("a", "b", ["_range"])).select("a.*", "b._before", "b._n")
+    placed = inside.withColumn("_to", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    value = lambda rank: F.max(F.when((rank < F.col("_to")) & (rank >= F.col("_to") - F.col("_c")), F.col("_v")))
+    ends = [c for i, s in enumerate(spots) for c in (value(F.floor(s)).alias(f"_l{i}"), value(F.ceil(s)).alias(f"_h{i}"))]
+    found = placed.groupBy(*keys).agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n_values"), *ends)
+    share = lambda q: F.lit(q) * (F.col("n_values") - 1) - F.floor(F.lit(q) * (F.col("n_values") - 1))
+    return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "n_values", *[(F.col(f"_l{i}") + F.when(F.col(f"_l{i}") == F.col(f"_h{i}"), 0.0).otherwise(share(q) * (F.col(f"_h{i}") - F.col(f"_l{i}")))).alias(f"p{round(q * 100)}") for i, q in enumerate(points)])
+
+
+def overall_quantiles(df: DataFrame, x: str, points: list[float], few: int = FEW, ranges: int = RANGES) -> DataFrame:
+    """One row with the quantiles of a column over all rows, as grouped_quantiles() gives them."""
+    return grouped_quantiles(df, [], x, points, few=few, ranges=ranges).drop("n_values")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeaxis as ta
-from ..functions.stats import count_if, overall_quantiles, quantile, r6, rate
+from ..functions.stats import count_if, grouped_quantiles, overall_quantiles, quantile, r6, rate
 from ..sources.bindings import CITIES, STATUSES, Warehouse
 
 Metric = Callable[[Warehouse], DataFrame]
@@ -266,25 +266,38 @@ def price_histogram_log10_main(w, per_decade: int = 20):
     return rows.select("bin_index", r6(lo).alias("log10_lo"), r6(hi).alias("log10_hi"), F.round(F.pow(F.lit(10.0), lo), 4).alias("price_lo"), F.round(F.pow(F.lit(10.0), hi), 4).alias("price_hi"), "n_obs")
 
 
-def robust_z(df: DataFrame, by: str = "hotel_id", price: str = "price_per_night", least: int = 5) -> DataFrame:
-    """Distance to the group's median in scaled median absolute deviations, for groups of `least` prices or more; a MAD of 0 gives none."""
-    p = F.col(price).cast("double")
-    medians = df.groupBy(by).agg(F.count(p).alias("group_obs"), quantile(p, 0.5).alias("median_price")).filter(F.col("group_obs") >= least)
-    near = df.join(medians, by)
-    mad = near.groupBy(by).agg(quantile(F.abs(p - F.col("median_price")), 0.5).alias("price_mad"))
-    return near.join(mad, by).withColumn("robust_z", F.when(F.col("price_mad") > 0, F.abs(p - F.col("median_price")) / (1.4826 * F.col("price_mad"))))
+def robust_levels(df: DataFrame, by: str = "hotel_id", price: str = "price_per_night", least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Median and median absolute deviation (MAD) of groups of `least` prices or more, and their distinct prices with how often they occur.
+
+    Prices are counted once, and both quantiles are picked from the counts, so a hot group is never in one task. Null prices
+    are left out, and so are rows without a group.
+    """
+    counted = df.filter(F.col(price).isNotNull() & F.col(by).isNotNull()).groupBy(by, F.col(price).cast("double").alias("price")).agg(F.count(F.lit(1)).alias("n"))
+    medians = grouped_quantiles(counted, [by], "price", [0.5], "n").filter(F.col("n_values") >= least).select(by, F.col("n_values").alias("group_obs"), F.col("p50").alias("median_price"))
+    near = counted.join(medians, by).withColumn("distance", F.abs(F.col("price") - F.col("median_price")))
+    mad = grouped_quantiles(near, [by], "distance", [0.5], "n").select(by, F.col("p50").alias("price_mad"))
+    return medians.join(mad, by), near
+
+
+def distance_in_mads(distance: Column) -> Column:
+    """Scaled median absolute deviations; a MAD of 0 gives none."""
+    return F.when(F.col("price_mad") > 0, distance / (1.4826 * F.col("price_mad")))
 
 
 @metric("MAIN", "hotel_id city n_obs hotel_median_price price_mad n_outliers max_robust_z")
 def price_outlier_summary_by_hotel_main(w, z: float = 5.0):
-    out = robust_z(priced(w)).groupBy("hotel_id", F.col("group_obs").alias("n_obs"), r6("median_price").alias("hotel_median_price"), r6("price_mad").alias("price_mad")).agg(count_if(F.col("robust_z") >= z).alias("n_outliers"), r6(F.max("robust_z")).alias("max_robust_z"))
+    levels, near = robust_levels(priced(w))
+    out = near.select("hotel_id", "distance", "n").join(levels, "hotel_id").withColumn("robust_z", distance_in_mads(F.col("distance")))
+    out = out.groupBy("hotel_id", F.col("group_obs").alias("n_obs"), r6("median_price").alias("hotel_median_price"), r6("price_mad").alias("price_mad")).agg(F.coalesce(F.sum(F.when(F.col("robust_z") >= z, F.col("n"))), F.lit(0)).alias("n_outliers"), r6(F.max("robust_z")).alias("max_robust_z"))
     return with_city(out, w)
 
 
 @metric("MAIN", "record_id hotel_id checkin_date vn_observation_date price_per_night hotel_median_price price_mad price_robust_z")
 def price_outlier_sample_main(w, z: float = 5.0, most: int = 200):
     """The feature is a top list: the largest distances, ties by record."""
-    out = robust_z(priced(w)).filter(F.col("robust_z") >= z).withColumn("z", r6("robust_z")).orderBy(F.desc("z"), "record_id").limit(most)
+    rows = priced(w)
+    told = rows.join(robust_levels(rows)[0], "hotel_id").withColumn("robust_z", distance_in_mads(F.abs(F.col("price_per_night").cast("double") - F.col("median_price"))))
+    out = told.filter(F.col("robust_z") >= z).withColumn("z", r6("robust_z")).orderBy(F.desc("z"), "record_id").limit(most)
     return out.select("record_id", "hotel_id", "checkin_date", F.col("crawl_date").alias("vn_observation_date"), r6("price_per_night").alias("price_per_night"), r6("median_price").alias("hotel_median_price"), r6("price_mad").alias("price_mad"), F.col("z").alias("price_robust_z"))
 
 

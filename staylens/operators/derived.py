@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import count_if, n_rows, quantile, r6, rate
+from ..functions.stats import count_if, grouped_quantiles, n_rows, quantile, r6, rate
 from ..functions.text import hotel_slug
 from ..functions.timeaxis import MINUTE_BUCKETS, UNKNOWN, minute_bucket
 from ..sources.bindings import STATUSES
@@ -206,7 +206,11 @@ def option_coverage(pairs: DataFrame, options: DataFrame, option_key: list[str])
 
 
 def option_summary(detail: DataFrame, fields: list[str]) -> DataFrame:
-    return detail.agg(n_rows().alias("n_options"), F.count_if(F.col("abs_diff") == 0).alias("n_equal_price"), r6(quantile("abs_diff", 0.5)).alias("median_abs_diff"), r6(F.avg("abs_diff")).alias("mean_abs_diff"), r6(F.max("abs_diff")).alias("max_abs_diff"), r6(quantile("rel_diff", 0.5)).alias("median_rel_diff"), *[r6(F.avg(F.col(f"same_{c}").cast("double"))).alias(f"same_{c}_rate") for c in fields])
+    """One row over all paired options; no options give counts of 0 and nulls. Medians are picked from counted values."""
+    told = detail.agg(n_rows().alias("n_options"), F.count_if(F.col("abs_diff") == 0).alias("n_equal_price"), r6(F.avg("abs_diff")).alias("mean_abs_diff"), r6(F.max("abs_diff")).alias("max_abs_diff"), *[r6(F.avg(F.col(f"same_{c}").cast("double"))).alias(f"same_{c}_rate") for c in fields])
+    both = detail.select(F.col("abs_diff").cast("double"), F.col("rel_diff").cast("double")).unpivot([], ["abs_diff", "rel_diff"], "of", "x")
+    at = lambda c: r6(F.max(F.when(F.col("of") == c, F.col("p50")))).alias(f"median_{c}")
+    return told.crossJoin(grouped_quantiles(both, ["of"], "x", [0.5]).agg(at("abs_diff"), at("rel_diff")))
 
 
 # --- duplicates
@@ -281,7 +285,13 @@ def in_role(flags: DataFrame, role: str) -> DataFrame:
     return flags.select(F.col("day").alias(f"{role}_date"), "city", *[F.col(c).alias(f"{role}_{c}") for c in flags.columns if c not in ("day", "city")])
 
 
-# --- findings
+# --- summaries and findings
+
+
+def variant_summary(rows: DataFrame, variant: str, price: str) -> DataFrame:
+    """Rows, median and mean of each variant of a price; a variant without a price has no median. The median is picked from counted prices."""
+    told = rows.groupBy(variant).agg(n_rows().alias("n_series_days"), r6(F.avg(price)).alias("mean_price"))
+    return told.join(grouped_quantiles(rows, [variant], price, [0.5]).select(variant, r6("p50").alias("median_price")), variant, "left")
 
 
 def findings(parts: dict[str, tuple[str, str, DataFrame, str, DataFrame]]) -> DataFrame:

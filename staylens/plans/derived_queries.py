@@ -430,7 +430,7 @@ def observation_counts_by_calendar_flags(spark, sf_dir):
 @query(_over("price_sensitivity_by_series_main", "SELECT v.variant, count(*) AS n_series_days, round(quantile_cont(v.price, 0.5), 6) AS median_price, round(avg(v.price), 6) AS mean_price FROM t, LATERAL (VALUES ('min_price', min_price), ('median_price', median_price)) AS v(variant, price) GROUP BY 1"))
 def sensitivity_summary(spark, sf_dir):
     rows = _run("price_sensitivity_by_series_main", spark, sf_dir).unpivot(["hotel_id"], ["min_price", "median_price"], "variant", "price")
-    return rows.groupBy("variant").agg(F.count(F.lit(1)).alias("n_series_days"), r6(quantile("price", 0.5)).alias("median_price"), r6(F.avg("price")).alias("mean_price"))
+    return derived.variant_summary(rows, "variant", "price")
 
 
 @query(events_sql("SELECT strftime(checkin_date, '%Y-%m') AS checkin_month, isodow(checkin_date)::int - 1 AS weekday_number, coalesce(city, '(unknown)') AS city, source_code, count(*) AS n_items FROM items LEFT JOIN hotels USING (hotel_id) WHERE include_main GROUP BY ALL"))
