@@ -134,6 +134,22 @@ def observation_fingerprint(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*told), {"ignoreNullFields": "false"}), 256)
 
 
+def _whole(price: str) -> Column:
+    x = F.col(price)
+    return F.when(x.isNotNull() & (x != F.floor(x)), F.raise_error(F.lit(f"{price} is not whole")).cast("bigint")).otherwise(x.cast("bigint"))
+
+
+def immutable_fingerprint(run: str, item: str, record: str, hotel: str, observed_at: str, checkin: str, checkout: str, option: str, room: str, rate: str, total: str, per_night: str) -> Column:
+    """Hash of the twelve columns of an observation that never change, by their names in the contract, taken before ids change.
+
+    Nulls are told as null; days and times are told as ISO, with six places of a second only where there are any; prices are
+    whole, and one that is not is an error.
+    """
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    at = F.when(F.date_format(observed_at, "SSSSSS") == "000000", F.date_format(observed_at, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(observed_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return json_hash(source_run_id=F.col(run), source_item_id=F.col(item), source_record_id=F.col(record), hotel_id=F.col(hotel), observed_at=at, checkin_date=day(checkin), checkout_date=day(checkout), room_option_index=F.col(option), room_identity_key=F.col(room), rate_plan_key=F.col(rate), price_total=_whole(total), price_per_night=_whole(per_night))
+
+
 def plan_row_key(source: str, crawl: str, slot: str, checkin: str) -> Column:
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return json_hash(owner_source=F.col(source), crawl_date=day(crawl), schedule_slot=F.col(slot), checkin_date=day(checkin))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +36,32 @@ def pivoted_status(items: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("n_items", sum((F.col(f"n_{s}") for s in STATUSES), F.lit(0)))
 
 
+#: What items are told apart by in the tables of availability.
+AVAILABILITY = {"overall": [], "by_city": ["city"], "by_hotel": ["hotel_id", "city"], "by_checkin_month": ["checkin_month"], "by_lead_time_bucket": ["lead_time_bucket"], "by_crawl_date_hotel": ["crawl_date", "hotel_id"]}
+
+
+def availability(items: DataFrame, by: list[str]) -> DataFrame:
+    """Items by status, with rates, by what is asked. items: of resolved hotels. Nulls are a group of their own; a rate over
+    nothing is null; no items give no rows, but one of zeros where nothing tells them apart."""
+    counted = items.groupBy(*by).agg(*[count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES], n_rows().alias("n_items"))
+    return status_rates(counted)
+
+
+def availability_reconciled(overall: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Totals of resolved items beside those of the catalogue, a row for each status and all, and whether they agree."""
+    names = [*(f"n_{s}" for s in STATUSES), "n_items"]
+    long = lambda df: df.select(*[F.col(c).cast("long") for c in names]).unpivot([], names, "figure", "n")
+    return counts_agree(long(overall), long(catalogue), "figure")
+
+
+def calendar_coverage(items: DataFrame, flags: DataFrame, names: list[str]) -> DataFrame:
+    """Items, distinct nights and distinct (night, city) cells by the flags of their night. items: checkin_date, city; flags:
+    as calendar_flags() gives them. A night without flags, or an item without a city, has none set."""
+    night = flags.select(F.col("day").alias("checkin_date"), "city", *names)
+    cells = items.groupBy("checkin_date", "city").agg(n_rows().alias("_n")).join(night, ["checkin_date", "city"], "left").fillna(False, names)
+    return cells.groupBy(*names).agg(F.sum("_n").alias("n_items"), F.countDistinct("checkin_date").alias("n_distinct_checkin_dates"), n_rows().alias("n_checkin_date_city_cells"))
+
+
 def anchored_coverage(items: DataFrame, *by: str, day: str = "crawl_date") -> DataFrame:
     """Items, distinct days, and the list of days."""
     return items.groupBy(*by).agg(n_rows().alias("n_items"), F.countDistinct(day).alias("n_anchor_dates"), F.array_join(F.array_sort(F.collect_set(F.col(day).cast("string"))), ",").alias("anchor_dates"))
@@ -222,6 +249,40 @@ def duplicate_summary(groups: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("_s") == 1, "(all)").otherwise(F.col("source_code")).alias("source_code"), F.when(F.col("_c") == 1, "(all)").otherwise(F.col("city")).alias("city"), "n_groups", "n_extra", "largest_group")
 
 
+def duplicate_scopes(groups: DataFrame, totals: DataFrame) -> DataFrame:
+    """Duplicate groups by scope (RAW, MAIN), source and city, with (all) rows for either and both, and their rates.
+
+    groups: the groups of more than one row, with source_code, city, is_main, n_rows, min_price, max_price. totals: a row
+    for each source and city with n_observations_raw and n_observations_main; one without duplicates is listed with 0.
+    A group has one price where its least and largest are equal, without a price neither more nor less than one; a rate
+    over nothing is null. No totals give no rows but an all-over row of each scope.
+    """
+    cells = None
+    for scope in ("RAW", "MAIN"):
+        got = (groups if scope == "RAW" else groups.filter("is_main")).groupBy("source_code", "city").agg(n_rows().alias("_groups"), F.sum(F.col("n_rows") - 1).alias("_extra"), count_if(F.col("min_price") == F.col("max_price")).alias("_same"), F.max("n_rows").alias("_largest"))
+        part = totals.select("source_code", "city", F.lit(scope).alias("scope"), F.col(f"n_observations_{scope.lower()}").alias("n_observations")).join(got, ["source_code", "city"], "left").fillna(0, ["_groups", "_extra", "_same", "_largest"])
+        empty = totals.sparkSession.createDataFrame([(scope,)], "scope string")
+        told = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("n_observations", "n_observations"), ("_groups", "n_duplicate_groups"), ("_extra", "n_extra"), ("_same", "n_same_price_groups"))]
+        by = part.groupingSets([["source_code", "city"], ["source_code"], ["city"]], "source_code", "city").agg(*told, F.coalesce(F.max("_largest"), F.lit(0)).alias("largest_group"), F.grouping("source_code").alias("_s"), F.grouping("city").alias("_c"))
+        all_over = part.agg(*told, F.coalesce(F.max("_largest"), F.lit(0)).alias("largest_group")).select(F.lit(None).cast("string").alias("source_code"), F.lit(None).cast("string").alias("city"), "*", F.lit(1).cast("byte").alias("_s"), F.lit(1).cast("byte").alias("_c"))
+        rows = by.unionByName(all_over).crossJoin(empty)
+        cells = rows if cells is None else cells.unionByName(rows)
+    out = cells.withColumn("n_groups", F.col("n_observations") - F.col("n_extra")).withColumn("n_divergent_groups", F.col("n_duplicate_groups") - F.col("n_same_price_groups"))
+    named = lambda flag, c: F.when(F.col(flag) == 1, "(all)").otherwise(F.col(c)).alias(c)
+    return out.select("scope", named("_s", "source_code"), named("_c", "city"), "n_observations", "n_groups", "n_duplicate_groups", "n_extra", "n_same_price_groups", "n_divergent_groups", "largest_group", r6(rate("n_duplicate_groups", "n_groups")).alias("duplicate_rate"), r6(rate("n_divergent_groups", "n_duplicate_groups")).alias("divergent_share"))
+
+
+def duplicates_reconciled(summary: DataFrame, counted: DataFrame) -> DataFrame:
+    """The all-over RAW row of duplicate_scopes() beside a count made apart, a row for each figure, and whether they agree.
+
+    counted: one row of n_duplicate_groups, n_extra_observations, n_total_groups.
+    """
+    of = {"n_duplicate_groups": "n_duplicate_groups", "n_extra": "n_extra_observations", "n_groups": "n_total_groups"}
+    a = summary.filter("scope = 'RAW' and source_code = '(all)' and city = '(all)'").select(*[F.col(c).cast("long") for c in of]).unpivot([], list(of), "figure", "n")
+    b = counted.select(*[F.col(x).cast("long").alias(c) for c, x in of.items()]).unpivot([], list(of), "figure", "n")
+    return counts_agree(a, b, "figure")
+
+
 def spread_quantiles(groups: DataFrame, points: tuple[float, ...] = (0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """Quantiles of the price spread in duplicate groups, by source and for all."""
     spread = groups.filter("min_price is not null").withColumn("abs_spread", F.col("max_price") - F.col("min_price")).withColumn("rel_spread", F.try_divide(2 * (F.col("max_price") - F.col("min_price")), F.col("max_price") + F.col("min_price")))
@@ -305,6 +366,59 @@ def findings(parts: dict[str, tuple[str, str, DataFrame, str, DataFrame]]) -> Da
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
+@dataclass(frozen=True)
+class Check:
+    """A check of the data: where it was made, how many it found of how many, which rows, what may cause it, what to do.
+
+    counted: one row of n_found and denominator, which may be made apart from violations, the rows whose keys are sampled.
+    """
+
+    name: str
+    severity: str
+    scope: str
+    grain: str
+    counted: DataFrame
+    violations: DataFrame | None
+    key: str
+    cause: str
+    action: str
+
+
+def _finding(name: Column, severity: Column, scope: Column, grain: Column, found: DataFrame, cause: Column, action: Column) -> DataFrame:
+    n, of = F.coalesce(F.col("n_found"), F.lit(0)).cast("long"), F.col("denominator").cast("long")
+    return found.select(name.alias("check_name"), F.when(n > 0, severity).otherwise("info").alias("severity"), scope.alias("scope"), grain.alias("grain"), n.alias("n_found"), of.alias("denominator"), r6(rate(n, of)).alias("rate"), F.when(n > 0, F.col("sample_keys")).otherwise("").alias("sample_keys"), cause.alias("likely_cause"), action.alias("recommended_action"))
+
+
+def finding_rows(checks: list[Check], most: int = 5) -> DataFrame:
+    """One row for each check, also where nothing was found, when it is told as info. The keys are a sample of the first few
+    as text; a null key is not among them; nothing counted is 0, and a rate over nothing is null."""
+    rows = []
+    for c in checks:
+        found = c.counted.withColumn("sample_keys", F.lit(""))
+        if c.violations is not None:
+            few = c.violations.select(F.col(c.key).cast("string").alias("k")).filter("k is not null").orderBy("k").limit(most)
+            found = c.counted.crossJoin(few.agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("sample_keys")))
+        rows.append(_finding(*map(F.lit, (c.name, c.severity, c.scope, c.grain)), found, F.lit(c.cause), F.lit(c.action)))
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+def null_findings(stats: DataFrame, classes: DataFrame, violations: DataFrame, required: dict[str, str], descriptive: list[str], most: int = 5) -> DataFrame:
+    """Findings about nulls: a row for each required field, whatever was found, and one for each class of nulls that are none.
+
+    stats: as required_nulls() gives them; a required field without a row is told with 0 of 0. classes: as class_summary()
+    gives them. violations: field, key, the rows where a required field is null, of which the first keys are sampled.
+    required: field to the role it has in a key, or none.
+    """
+    every = stats.sparkSession.createDataFrame(list(required.items()), "field string, role string")
+    k = F.row_number().over(Window.partitionBy("field").orderBy(F.col("key").cast("string")))
+    few = violations.filter("key is not null").withColumn("_k", k).filter(F.col("_k") <= most).groupBy("field").agg(F.array_join(F.array_sort(F.collect_list(F.col("key").cast("string"))), ",").alias("sample_keys"))
+    told = every.join(stats, "field", "left").join(few, "field", "left").select("field", "role", F.coalesce("n_null", F.lit(0)).alias("n_found"), F.coalesce("n_total", F.lit(0)).alias("denominator"), F.coalesce("exempt_sources", F.lit("")).alias("exempt"), F.coalesce("sample_keys", F.lit("")).alias("sample_keys"))
+    cause = F.concat(F.when(F.col("role") == "none", "a required field is null").otherwise(F.concat(F.lit("a part of the "), "role", F.lit(" is null, which splits or merges keys"))), F.when(F.col("exempt") == "", "").otherwise(F.concat(F.lit("; exempt: "), "exempt")))
+    own = _finding(F.concat(F.lit("required_null_"), "field"), F.lit("medium"), F.lit("MAIN"), F.lit("observation"), told, cause, F.lit("look up the pages of the sampled keys; fill nothing in"))
+    rest = classes.filter(F.col("null_class").isin(descriptive)).select("null_class", F.col("n_null").alias("n_found"), F.col("n_total").alias("denominator"), F.lit("").alias("sample_keys"))
+    return own.unionByName(_finding(F.concat("null_class", F.lit("_null_cells")), F.lit("info"), F.lit("MAIN"), F.lit("cell"), rest, F.lit("the class tells what may be missing"), F.lit("none")))
+
+
 def against_history(now: DataFrame, history: DataFrame, key: str, value: str, tolerance: float = 0.5) -> DataFrame:
     """A metric in percent against an older table of it, with the difference in points and whether that is within tolerance."""
     out = now.join(F.broadcast(history.select(key, F.col(value).alias("historical"))), key, "full_outer")

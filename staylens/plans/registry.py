@@ -28,4 +28,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import catalog_queries, derived_queries, extra_queries, merge_queries, model_queries, parse_queries, stream_queries, text_queries  # noqa: F401
+    from . import catalog_queries, derived_queries, extra_queries, merge_queries, model_queries, parse_queries, stream_queries, table_queries, text_queries  # noqa: F401
