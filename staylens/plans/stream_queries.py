@@ -54,7 +54,7 @@ def stream_low_prices(spark, sf_dir):
     SELECT hotel_id, arg_max(day, k) AS last_day, arg_max(streak, k)::int AS streak_days, arg_max(streak, k) >= 3 AS needs_review FROM s GROUP BY 1""")
 def stream_dead_link_streaks(spark, sf_dir):
     out = jobs.run_to_table(jobs.dead_link_streaks(jobs.items(spark, sf_dir)), _folder(spark), "update")
-    return out.groupBy("hotel_id").agg(F.max_by(F.struct("last_day", "streak_days", "needs_review"), "last_day").alias("r")).select("hotel_id", "r.*")
+    return out.groupBy("hotel_id").agg(F.max_by(F.struct("last_day", "streak_days", "needs_review"), "revision").alias("r")).select("hotel_id", "r.*")
 
 
 @query(f"WITH {_E} SELECT hotel_id, max(ts) AS ts, arg_max(item_id, (ts, item_id)) AS item_id FROM e GROUP BY 1")

@@ -234,7 +234,7 @@ _TEXT = "coalesce('\"' || {0} || '\"', 'null')"
 _WHOLE = "coalesce(cast(cast(floor({0}) AS bigint) AS varchar), 'null')"
 
 
-@query(events_sql(f"""SELECT record_id, sha256('{{"checkin_date":"' || o.checkin_date || '","checkout_date":"' || i.checkout_date || '","hotel_id":' || coalesce(cast(o.hotel_id AS varchar), 'null') || ',"observed_at":"' || strftime(observed_at, CASE WHEN microsecond(observed_at) % 1000000 = 0 THEN '%Y-%m-%dT%H:%M:%S' ELSE '%Y-%m-%dT%H:%M:%S.%f' END)
+@query(events_sql(f"""SELECT record_id, sha256('{{"checkin_date":"' || o.checkin_date || '","checkout_date":"' || i.checkout_date || '","hotel_id":' || coalesce(cast(o.hotel_id AS varchar), 'null') || ',"observed_at":"' || strftime(observed_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(observed_at) % 1000000 = 0 THEN '' ELSE strftime(observed_at, '.%f') END
     || '","price_per_night":' || {_WHOLE.format('price_per_night')} || ',"price_total":' || {_WHOLE.format('price_total')} || ',"rate_plan_key":' || {_TEXT.format('rate_key')} || ',"room_identity_key":' || {_TEXT.format('room_key')} || ',"room_option_index":' || option_index || ',"source_item_id":' || o.item_id || ',"source_record_id":' || record_id || ',"source_run_id":"' || run_id || '"}}') AS fingerprint FROM observations o JOIN items i USING (item_id)"""))
 def observation_fingerprints_whole(spark, sf_dir):
     """Over all twelve columns that never change; the prices of the given tables are cut to whole ones first."""

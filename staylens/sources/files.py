@@ -70,11 +70,35 @@ def import_holidays(old: DataFrame, new: DataFrame, replace: bool = False) -> Da
     return old.join(new.select("holiday_date", "event_code"), ["holiday_date", "event_code"], "left_anti").unionByName(new)
 
 
-def load_plan(spark: SparkSession, path: str) -> DataFrame:
-    """Plan rows from a JSON envelope: {row_count, sources, rows: [{owner_source, crawl_date, schedule_slot, checkin_date}]}. The envelope has to agree with its rows."""
+PLAN_ROW = ("owner_source", "crawl_date", "schedule_slot", "checkin_date")
+
+
+def plan_sha256(rows: Column) -> Column:
+    """Hash of an array of plan rows, whatever their order: sha256 of their sorted JSON, one a line, with ISO days."""
+    told = F.transform(rows, lambda r: F.to_json(F.struct(*[(F.date_format(r[c], "yyyy-MM-dd") if c.endswith("date") else r[c]).alias(c) for c in sorted(PLAN_ROW)]), {"ignoreNullFields": "false"}))
+    return F.sha2(F.array_join(F.array_sort(told), "\n"), 256)
+
+
+def load_plan(spark: SparkSession, path: str, hashed: bool = False) -> DataFrame:
+    """Plan rows from a JSON envelope: {plan_version, row_count, sources, rows_sha256, rows: [{owner_source, crawl_date, schedule_slot, checkin_date}]}.
+
+    The envelope has to agree with its rows: their number, the sorted list of their sources, and the hash by plan_sha256(),
+    which may be missing unless `hashed`. A version other than 1, no rows, a row with a null, and a repeated row are errors.
+    """
     row = "struct<owner_source:string,crawl_date:date,schedule_slot:string,checkin_date:date>"
-    envelope = spark.read.schema(f"row_count bigint, sources array<string>, rows array<{row}>").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    checked(envelope, {"row_count differs": F.col("row_count") != F.size("rows"), "sources differ": F.array_sort("sources") != F.array_sort(F.array_distinct(F.transform("rows", lambda r: r["owner_source"])))}, path)
+    envelope = spark.read.schema(f"plan_version int, row_count bigint, sources array<string>, rows_sha256 string, rows array<{row}>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rules = {
+        "plan_version unknown": F.coalesce(F.col("plan_version"), F.lit(1)) != 1,
+        "no rows": F.coalesce(F.size("rows"), F.lit(0)) <= 0,
+        "row_count differs": ~F.col("row_count").eqNullSafe(F.size("rows").cast("bigint")),
+        "sources differ": ~F.col("sources").eqNullSafe(F.array_sort(F.array_distinct(F.transform("rows", lambda r: r["owner_source"])))),
+        "a row is not whole": F.exists("rows", lambda r: r["owner_source"].isNull() | r["crawl_date"].isNull() | r["schedule_slot"].isNull() | r["checkin_date"].isNull()),
+        "a row is repeated": F.size("rows") != F.size(F.array_distinct("rows")),
+        "rows_sha256 differs": F.col("rows_sha256").isNotNull() & (F.col("rows_sha256") != plan_sha256(F.col("rows"))),
+    }
+    if hashed:
+        rules["rows_sha256 missing"] = F.col("rows_sha256").isNull()
+    checked(envelope, rules, path)
     return envelope.select(F.inline("rows"))
 
 

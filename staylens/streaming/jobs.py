@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.bindings import STATUSES
@@ -57,32 +59,43 @@ def low_prices(stream: DataFrame, references: DataFrame, share: float = 0.1) ->
     return near.filter((F.col("price") > 0) & (F.col("price") < share * F.col("reference_price"))).select("item_id", "hotel_id", "price", "reference_price")
 
 
-_STREAK = "hotel_id long, last_day date, streak_days int, needs_review boolean"
+_STREAK = "hotel_id long, last_day date, streak_days int, needs_review boolean, revision int"
 
 
-def dead_link_streaks(stream: DataFrame, review_at: int = 3) -> DataFrame:
+def streak_after(streak: int, last: date | None, days: list[tuple[date, bool]]) -> tuple[int, date | None]:
+    """The streak of dead days after more days in order, each with whether anything succeeded on it."""
+    for day, ok in days:
+        streak = 0 if ok else streak + 1 if streak and (day - last).days == 1 else 1
+        last = day
+    return streak, last
+
+
+def dead_link_streaks(stream: DataFrame, review_at: int = 3, keep: int = 30) -> DataFrame:
     """Consecutive dead days of each hotel, kept as state: the same day changes nothing, the next adds one, a gap starts anew, a success resets.
 
-    A day with a success is no dead day, whatever else comes on it and in whatever batch, so the state holds the day of
-    the last reset too. Days are taken in order; one older than the state is passed over, as its streak is over. The
-    state of a hotel is three values and stays for good, as a streak has no end of its own.
+    A day with a success is no dead day, whatever else comes on it and in whatever batch. The state of a hotel holds its last
+    `keep` days, each with whether it was dead, and the streak up to them, so that days may come in any order within these:
+    a late one is put in its place and the streak is told anew. Only a day older than these is passed over. Of the rows of a
+    hotel the one with the greatest revision, which numbers them, is the last word; rows without a time are left out.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, last, reset = state.get if state.exists else (0, None, None)
+        streak, last, days, oks, revision = state.get if state.exists else (0, None, [], [], 0)
+        known = dict(zip(days, oks))
         rows = pd.concat([p[["day", "status"]].drop_duplicates() for p in parts]).drop_duplicates()  # no more than the days and states of one hotel
-        for day, group in rows.groupby("day"):
-            if last is not None and day < last or day == reset:
-                continue
-            if "success" in set(group["status"]):
-                streak, last, reset = 0, day, day
-            elif day != last:
-                streak, last = streak + 1 if last is not None and streak and (day - last).days == 1 else 1, day
-        state.update((streak, last, reset))
-        yield pd.DataFrame({"hotel_id": [key[0]], "last_day": [last], "streak_days": [streak], "needs_review": [streak >= review_at]})
+        for day, status in rows.itertuples(index=False):
+            if last is None or day > last:
+                known[day] = known.get(day, False) or status == "success"
+        told = sorted(known.items())
+        newest = told[-1][0] if told else last
+        old = [x for x in told if (newest - x[0]).days >= keep]
+        base = streak_after(streak, last, old)
+        streak, last = streak_after(*base, told[len(old) :])
+        state.update((*base, [d for d, _ in told[len(old) :]], [ok for _, ok in told[len(old) :]], revision + 1))
+        yield pd.DataFrame({"hotel_id": [key[0]], "last_day": [last], "streak_days": [streak], "needs_review": [streak >= review_at], "revision": [revision + 1]})
 
-    rows = stream.select("hotel_id", F.to_date("ts").alias("day"), "status")
-    return rows.groupBy("hotel_id").applyInPandasWithState(step, _STREAK, "streak int, last date, reset date", "update", GroupStateTimeout.NoTimeout)
+    rows = stream.filter("ts is not null").select("hotel_id", F.to_date("ts").alias("day"), "status")
+    return rows.groupBy("hotel_id").applyInPandasWithState(step, _STREAK, "streak int, last date, days array<date>, oks array<boolean>, revision int", "update", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
@@ -97,7 +110,61 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFr
     return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(stream.columns)
 
 
-def upserted(stream: DataFrame, folder: str, key: str, at: str) -> DataFrame:
-    """The latest row of each key after running a stream into an idempotent sink."""
-    rows = run_to_table(stream, folder)
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(at, *[c for c in rows.columns if c not in (key, at)])).alias("r")).select("r.*")
+class KeyedTable:
+    """A table of the latest row of each key, kept as Parquet in buckets of keys, to which numbered batches are merged.
+
+    A batch writes new versions of the buckets that it touches alone, each from the version before its number, so that a
+    batch that is run again, after a crash or otherwise, writes the same once more. The version before the last is kept
+    for that; older ones are deleted. Of rows of one key the greatest by (at, other columns) stays, in whatever order they
+    come; a null key is a key. A reader while a batch commits may see some buckets before it and some after.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, key: str, at: str, buckets: int = 64) -> None:
+        self.spark, self.folder, self.schema, self.key, self.at, self.buckets = spark, folder.rstrip("/"), schema, key, at, buckets
+
+    def versions(self, below: int | None = None) -> dict[int, list[int]]:
+        """The numbers of the batches that wrote each bucket, ascending, of those below a number; no more than two or three a bucket."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/bucket=*/batch=*")
+        found: dict[int, list[int]] = {}
+        for status in pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []:
+            bucket, batch = (int(part.split("=")[1]) for part in status.getPath().toString().split("/")[-2:])
+            if below is None or batch < below:
+                found.setdefault(bucket, []).append(batch)
+        return {b: sorted(n) for b, n in found.items()}
+
+    def _read(self, last: dict[int, int]) -> DataFrame:
+        paths = [f"{self.folder}/bucket={b}/batch={n}" for b, n in sorted(last.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        rest = [c for c in self.schema.names if c not in (self.key, self.at)]
+        return rows.groupBy(self.key).agg(F.max_by(F.struct(*self.schema.names), F.struct(self.at, *rest)).alias("r")).select("r.*")
+
+    def merge(self, batch: DataFrame, number: int) -> None:
+        of = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        new = self._latest(batch.select(*self.schema.names)).persist()
+        try:
+            touched = [r.b for r in new.select(of.alias("b")).distinct().collect()]  # a row a bucket
+            if not touched:
+                return
+            before = self.versions(below=number)
+            old = self._read({b: before[b][-1] for b in touched if b in before})
+            out = self._latest(old.unionByName(new)).withColumn("bucket", of).withColumn("batch", F.lit(number))
+            out.repartition(min(self.buckets, len(touched)), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(self.folder)
+        finally:
+            new.unpersist()
+        for b in touched:
+            for n in before.get(b, [])[:-1]:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/bucket={b}/batch={n}")
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def read(self) -> DataFrame:
+        return self._read({b: n[-1] for b, n in self.versions().items()})
+
+
+def upserted(stream: DataFrame, folder: str, key: str, at: str, buckets: int = 8) -> DataFrame:
+    """The latest row of each key after running a stream into a keyed table, over what is there now."""
+    table = KeyedTable(stream.sparkSession, f"{folder}/table", stream.schema, key, at, buckets)
+    run = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(table.merge).start()
+    run.awaitTermination()
+    return table.read()
