@@ -25,7 +25,7 @@ DEPTH = 4
 
 
 def _bytes(text, depth):
-    return bytes(depth) + bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()) + b"\0"
+    return (256,) * depth + tuple(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()) + (256,)
 
 
 def _trie(docs, depth=DEPTH):
@@ -45,7 +45,7 @@ def _score(nodes, text, depth=DEPTH):
         offered, left = set(), 1.0
         for k in range(depth, -1, -1):
             node = {b: n for b, n in nodes[data[i - k : i]].items() if b not in offered} if data[i - k : i] in nodes else {}
-            escapes = 0 if len(set(node) | offered) == 256 else len(node)
+            escapes = 0 if len(set(node) | offered) == 257 else len(node)
             size = sum(node.values()) + escapes
             if data[i] in node:
                 total += math.log10(left * node[data[i]] / size)
@@ -54,12 +54,14 @@ def _score(nodes, text, depth=DEPTH):
                 left *= escapes / size
                 offered |= set(node)
         else:
-            total += math.log10(left / (256 - len(offered)))
+            total += math.log10(left / (257 - len(offered)))
     return total
 
 
-def _pruned(nodes, least):
-    return defaultdict(Counter, {c: Counter({b: n for b, n in k.items() if n >= least}) for c, k in nodes.items() if max(k.values()) >= least})
+def _model_scores(texts, asked, depth):
+    model = ppm.Model(list(ppm.levels(*ppm.grams([t.encode() for t in texts], depth), depth)))
+    codes = np.unique(ppm.positions([t.encode() for t in asked], depth)[0])
+    return ppm.summed(codes, model.log_probs(codes), [t.encode() for t in asked], depth)
 
 
 def test_rows_equal_brute_force(docs):
@@ -86,8 +88,8 @@ def test_held_out_prose_is_likelier_than_noise(spark):
 
 def test_empty(docs):
     assert ppm.score(docs.limit(0)).count() == 0
-    (told,) = ppm.Model(list(ppm.levels(*ppm.grams([], 4), 4))).score([b"abc"])
-    assert told == __import__("pytest").approx(-4 * math.log10(256), rel=1e-9)
+    (told,) = _model_scores([], ["abc"], 4)
+    assert math.isclose(told, -4 * math.log10(257), rel_tol=1e-9)
 
 
 def test_any_depth_and_all_bytes_equal_brute_force():
@@ -95,26 +97,32 @@ def test_any_depth_and_all_bytes_equal_brute_force():
     for depth in (0, 1, 2, 5):
         docs = [(None, t) for t in texts]
         nodes = _trie(docs, depth)
-        model = ppm.Model(list(ppm.levels(*ppm.grams([t.encode() for t in texts], depth), depth)))
         asked = [*texts, "something else altogether", "\u00ff\u00fe", "zzzz"]
-        for t, got in zip(asked, model.score([t.encode() for t in asked]), strict=True):
+        for t, got in zip(asked, _model_scores(texts, asked, depth), strict=True):
             assert math.isclose(got, _score(nodes, t, depth), rel_tol=1e-9, abs_tol=1e-9)
 
 
-def test_a_pruned_trie_equals_brute_force(spark):
-    docs = [(None, "the cat sat on the mat and the dog ran to the house " * 9), (None, "a rare word here"), (1, "the cat ran")]
-    nodes = _trie(docs)
-    n = sorted((m for k in nodes.values() for m in k.values()), reverse=True)
-    rows = ppm.score(spark.createDataFrame([(d, t) for d, t in docs], "doc_id long, text string"), most_nodes=len(n) // 2).collect()
-    least = next(x for x in sorted(set(n)) if sum(m >= x for m in n) <= len(n) // 2)
-    told = _score(_pruned(nodes, least), "the cat ran")
-    assert any(math.isclose(r.score, told, rel_tol=1e-9) for r in rows if r.doc_id == 1)
+def test_no_partition_depth_or_size_changes_scores(spark):
+    docs = [(None, "the cat sat on the mat and the dog ran to the house " * 9), (None, "a rare word here \0 and \0\0"), (1, "the cat ran"), (2, "a zebra\0"), (None, None)]
+    told = next(i for i in range(3, 99) if _held(i))
+    docs.append((told, "zebras sat \0\0 rarely"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for depth in (0, 1, 3, 4, 5):
+        nodes = _trie(docs, depth)
+        want = sorted(round(_score(nodes, t, depth), 9) for _, t in docs)
+        for n in (1, 5):
+            assert sorted(round(r.score, 9) for r in ppm.score(df.repartition(n), depth).collect()) == want
+
+
+def test_probabilities_of_texts_with_zero_bytes_sum_to_less_than_one():
+    told = _model_scores(["", "", ""], ["", "\0", "\0\0", "a"], 4)
+    assert sum(10.0**x for x in told) < 1 and max(told) == told[0]
 
 
 def test_longer_contexts_and_probabilities_of_all_texts(spark):
     """With two symbols seen, the probabilities of all texts of a length and of their beginnings sum to one or less."""
     texts = ["ab" * 20, "abba", "b"]
     model = ppm.Model(list(ppm.levels(*ppm.grams([t.encode() for t in texts], 3), 3)))
-    each = np.arange(256)
-    for context in (0, ord("a"), ord("a") << 16 | ord("b") << 8 | ord("a"), ord("q")):
-        assert math.isclose(sum(10.0 ** model.log_probs(context << 8 | each)), 1.0, rel_tol=1e-9)
+    each = np.arange(257)
+    for context in (256, ord("a"), ord("a") << 18 | ord("b") << 9 | ord("a"), ord("q")):
+        assert math.isclose(sum(10.0 ** model.log_probs(context << 9 | each)), 1.0, rel_tol=1e-9)
