@@ -5,7 +5,9 @@ the shapes of its children over the host's pages give a presentation importance,
 content importance, both by entropy: what looks or reads alike on all pages is worth little, what differs is worth
 much. Pages of one main text count once, so that copies are not taken for boilerplate. A branch is worth as much as
 the best node with text in it, so removing branches of low importance from each page of the host is removing the texts
-of such nodes, wherever they stand. Two more things are evidence: elements and class words that declare menus, notices
+of such nodes, wherever they stand. A text that comes back on pages of a host in ever other surroundings is a branch of
+its own: its importance falls with the number of different texts before it and after it, so that a notice among an article's
+paragraphs goes while these stay, and what near copies of one page share is no notice. Two more things are evidence: elements and class words that declare menus, notices
 and the like, and landmarks (article or main), whose outside is worth nothing. What neither declares nor repeats stays:
 on a host of one distinct page every node has importance 1.
 """
@@ -37,14 +39,22 @@ _ENDS_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead
 #: Elements whose content is never main text.
 NEVER = frozenset("script style noscript template head title nav footer aside form menu button select option textarea input label iframe object svg math canvas audio video dialog noembed noframes xmp".split())
 LANDMARKS = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Of those, the ones that are kept if a page's landmarks are in them.
 _CONTAINERS = frozenset("form dialog".split())
 #: Words of a class, id or role that say the same.
 SAYS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert menu nav navbar navigation breadcrumb breadcrumbs sidebar aside widget widgets footer masthead header comment comments reply replies respond disqus discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay search complementary contentinfo".split())
 #: Beginnings of such a word, as in ad-slot or cookie-bar.
 SAYS_FIRST = ("ad-", "ads-", "advert-", "sponsored-", "cookie-", "gdpr-", "newsletter-")
+#: Parts of such a word, between hyphens or underscores, as in comment-list, user-comments or site-footer, and parts that deny them.
+PART_SAYS = frozenset("comment comments footer breadcrumb breadcrumbs newsletter disqus".split())
+_DENIES = frozenset("no has with without".split())
+#: Whole words with such parts that say header.
+SAYS_TOP = frozenset("site-header page-header global-header top-header".split())
+#: Words that may name what holds the text as well; they are passed over where nothing else is left of a landmark.
+AMBIGUOUS = frozenset("alert banner discussion login modal notice notices overlay promo promotion recommended related respond search share sharing signup social subscribe subscription widget widgets".split())
 #: Words that say header; one that holds the title (an h1) is kept.
-SAYS_HEADER = frozenset("header masthead banner".split())
+SAYS_HEADER = frozenset("header masthead banner".split()) | SAYS_TOP
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
@@ -62,12 +72,24 @@ class Node:
     header: bool  # declared by words for a header alone
     mark: bool  # a landmark
     parent: Node | None
+    perhaps: bool = False  # declared by ambiguous words alone
     children: list[Node | str] = own(default_factory=list)
     marks: int = 0  # landmarks in it that aren't declared themselves, itself included
     titles: int = 0
     buried: bool = False  # inside something declared
 
 
+_PARTS = re.compile(r"[-_]")
+
+
+def _says(word: str) -> bool:
+    """Whether a word of a class, id or role declares that its element is no main text."""
+    if word in SAYS or word in SAYS_TOP or word.startswith(SAYS_FIRST):
+        return True
+    parts = _PARTS.split(word)
+    return len(parts) > 1 and not PART_SAYS.isdisjoint(parts) and parts[0] not in _DENIES
+
+
 def _label(tag: str, attributes: str) -> tuple[str, set[str], str, bool]:
     """Tag with class and id (digits masked), the words that declare it, its role, and whether it is hidden."""
     said, words, role, hidden = tag, set(), "", False
@@ -75,7 +97,7 @@ def _label(tag: str, attributes: str) -> tuple[str, set[str], str, bool]:
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id", "role"):
             said += f".{value}"
-            words |= {w for w in value.split() if w in SAYS or w.startswith(SAYS_FIRST)}
+            words |= {w for w in value.split() if _says(w)}
             role = value if name == "role" else role
         else:
             hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
@@ -133,7 +155,7 @@ def parse(source: str) -> Node:
         declared = bool(words) and tag not in ("html", "body")
         soft = tag in _CONTAINERS
         gone = hidden or tag in NEVER and not soft or tag == "header" and not inside
-        node = Node(tag, path, gone, declared or soft, declared and words <= SAYS_HEADER and not soft, tag in LANDMARKS or role in LANDMARKS, here)
+        node = Node(tag, path, gone, declared or soft, declared and words <= SAYS_HEADER and not soft, tag in LANDMARKS or role in LANDMARKS, here, declared and not soft and words <= AMBIGUOUS)
         here.children.append(node)
         nodes.append(node)
         if tag in _RAW:
@@ -179,8 +201,9 @@ def _signed(x: int) -> int:
 _ROOT = _signed(xxhash.xxh64_intdigest(b""))
 
 
-def _blocks(root: Node, declared: bool = True) -> Iterator[tuple[Node, str]]:
-    """Each block of the landmarks, or of the page without one, in page order, and its text; what is declared is passed over."""
+def _blocks(root: Node, declared: bool = True, perhaps: bool = False) -> Iterator[tuple[Node, str]]:
+    """Each block of the landmarks, or of the page without one, in page order, and its text; what is declared is passed
+    over (not so what may be declared, if perhaps)."""
     scope, todo = [], [root]
     while todo:
         x = todo.pop()
@@ -200,7 +223,7 @@ def _blocks(root: Node, declared: bool = True) -> Iterator[tuple[Node, str]]:
                 yield block, "".join(held)
                 held, block = [], x[0]
                 continue
-            if x is not top and (x.gone or declared and x.says):
+            if x is not top and (x.gone or declared and x.says and not (perhaps and x.perhaps)):
                 continue
             if x.tag == "br":
                 held.append(" ")
@@ -218,8 +241,11 @@ def _clean(text: str) -> str:
 
 
 def _told(root: Node) -> list[tuple[Node, str]]:
-    """The blocks with text. Where declarations leave a page without a landmark nothing at all, they are passed over."""
+    """The blocks with text. Where declarations leave a page without a landmark nothing at all, they are passed over;
+    where they leave a landmark nothing but titles, those by ambiguous words are."""
     out = [(x, t) for x, raw in _blocks(root) if (t := _clean(raw))]
+    if root.marks and all(x.tag == "h1" for x, _ in out):
+        return [(x, t) for x, raw in _blocks(root, perhaps=True) if (t := _clean(raw))]
     if out or root.marks:
         return out
     return [(x, t) for x, raw in _blocks(root, False) if (t := _clean(raw))]
@@ -229,32 +255,47 @@ def _hashed(text: str) -> int:
     return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
 
 
-def features(root: Node) -> tuple[int, set[tuple[int, bool, int]]]:
-    """A digest of the page's declared main text; and for each block of it path, whether the feature is of content, and
-    the feature: the shape of its children, or a text in it. The root has the shape of the page."""
+#: Kinds of features: the shape of a node's children, a text in a node, the text before a text, the text after one.
+SHAPE, CONTENT, BEFORE, AFTER = range(4)
+
+
+def _text_key(x: Node, text: str) -> int:
+    """The branch of a text alone in a node."""
+    return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), x.path))
+
+
+def features(root: Node) -> tuple[int, set[tuple[int, int, int]]]:
+    """A digest of the page's declared main text; and for each block of it path (or the key of its text), kind and
+    feature. The root has the shape of the page. Headings have no surroundings."""
     told = _told(root)
-    out = {(_signed(x.path), True, _hashed(t)) for x, t in told}
+    hashed = [0, *(_hashed(t) for _, t in told), 0]
+    out = {(_signed(x.path), CONTENT, h) for (x, _), h in zip(told, hashed[1:], strict=False)}
+    for i, (x, t) in enumerate(told):
+        if x.tag not in HEADINGS:
+            key = _text_key(x, t)
+            out |= {(key, BEFORE, hashed[i]), (key, AFTER, hashed[i + 2])}
     seen: set[int] = set()
     for x, _ in told:
         while x is not None and id(x) not in seen:
             seen.add(id(x))
             if x is root or x.tag in BLOCKS:
                 shape = [c.path for c in x.children if isinstance(c, Node) and c.tag in BLOCKS]
-                out.add((_signed(x.path), False, _signed(xxhash.xxh64_intdigest(np.array(shape, np.uint64).tobytes()))))
+                out.add((_signed(x.path), SHAPE, _signed(xxhash.xxh64_intdigest(np.array(shape, np.uint64).tobytes()))))
             x = x.parent
     if id(root) not in seen:
-        out.add((_ROOT, False, 0))
+        out.add((_ROOT, SHAPE, 0))
     return _hashed("\n".join(t for _, t in told)), out
 
 
 def main_text(root: Node, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The text of the landmarks, or of the page without one, less branches of low importance. low: paths of those.
+    """The text of the landmarks, or of the page without one, less branches of low importance. low: paths of those,
+    and keys of texts.
 
     A title (h1) stays. Where nothing but titles would be left the host's pages are copies of each other, of which
     importance tells nothing, and all stays.
     """
     told = _told(root)
-    left = [(x, t) for x, t in told if x.tag == "h1" or _signed(x.path) not in low] if low else told
+    left = [(x, t) for x, t in told if x.tag == "h1" or _signed(x.path) not in low and (x.tag in HEADINGS or _text_key(x, t) not in low)] if low else told
     if not any(x.tag != "h1" for x, _ in left):
         left = told
     return "\n".join(t for _, t in left)
@@ -275,7 +316,18 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host = _host(url)
                 seen.update((host, told, *x) for x in found)
             rows = list(zip(*seen, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["host", "page", "path", "content", "feature"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["host", "page", "path", "kind", "feature"])
+
+
+def merged_nodes(pages: DataFrame) -> DataFrame:
+    """host, path, kind and, over the host's pages of distinct main text, m (features), kinds (distinct ones), nlogn and logn
+    (sums over these), written to the shared folder; and pages, how many of these the host has."""
+    seen = pages.select("url", "html").mapInArrow(_merged, "host string, page long, path long, kind int, feature long")
+    names = ("host", "path", "kind", "feature")
+    once = seen.distinct().groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    merged = write_shared(once.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum(F.log("n")).alias("logn")))
+    sizes = merged.filter((F.col("kind") == SHAPE) & (F.col("path") == _ROOT)).select("host", F.col("m").alias("pages"))
+    return merged.join(sizes, "host")
 
 
 def importance(pages: DataFrame) -> DataFrame:
@@ -286,15 +338,23 @@ def importance(pages: DataFrame) -> DataFrame:
     has the larger of the two. On a host of one page all nodes have 1. Pages without text count as one; null urls are
     of the host without a name; an empty table gives no rows. Repeated rows change nothing.
     """
-    seen = pages.select("url", "html").mapInArrow(_merged, "host string, page long, path long, content boolean, feature long")
-    names = ("host", "path", "content", "feature")
-    once = seen.distinct().groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    merged = write_shared(once.groupBy("host", "path", "content").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum(F.log("n")).alias("logn")))
-    sizes = merged.filter(~F.col("content") & (F.col("path") == _ROOT)).select("host", F.col("m").alias("pages"))
+    return _of_nodes(merged_nodes(pages))
+
+
+def _of_nodes(merged: DataFrame) -> DataFrame:
     spread = F.log("m") - F.col("nlogn") / F.col("m")
     likeness = F.col("logn") / F.col("kinds")
-    value = F.when(F.col("pages") <= 1, 1.0).otherwise(F.when(F.col("content"), 1 - likeness / F.log("pages")).otherwise(spread / F.log("pages")))
-    return merged.join(sizes, "host").groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max(value).alias("importance"), F.max("content").alias("has_text")).filter("has_text").drop("has_text")
+    content = F.col("kind") == CONTENT
+    value = F.when(F.col("pages") <= 1, 1.0).otherwise(F.when(content, 1 - likeness / F.log("pages")).otherwise(spread / F.log("pages")))
+    return merged.filter(F.col("kind") <= CONTENT).groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max(value).alias("importance"), F.max(content).alias("has_text")).filter("has_text").drop("has_text")
+
+
+def _of_texts(merged: DataFrame, least: int) -> DataFrame:
+    """host, path (the key of a text in its node) and importance: one less the entropy to the base m of the surroundings it
+    has, as if all were alike in number; the smaller number of texts before it and after it counts, so that what stands beside the
+    one place in which near copies differ stays, as does a text that always begins or ends the page. Hosts of under `least` pages
+    have none."""
+    return merged.filter((F.col("kind") >= BEFORE) & (F.col("pages") >= least)).groupBy("host", "path").agg((1 - F.min(F.log("kinds") / F.log("pages"))).alias("importance"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,10 +364,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame, threshold: float = 0.3, most_sent: int = 1_000_000) -> DataFrame:
+def extract(pages: DataFrame, threshold: float = 0.3, most_sent: int = 1_000_000, least: int = 4) -> DataFrame:
     """page_id, url and text of each row of pages (page_id, url, html; further columns are left alone).
 
-    Branches under `threshold` are removed on every host, inside landmarks as outside. Blocks are joined in page order
+    Branches under `threshold` are removed on every host, inside landmarks as outside, and on hosts of `least` distinct
+    pages or more also texts under it (headings left out) in ever other surroundings. Blocks are joined in page order
     by one line end, white space inside a block is one space, character references are decoded. A null or empty html
     gives an empty text; rows without a host in their url are merged as one host; repeated rows each give a row; an
     empty table gives none. The low branches are written to the shared folder and counted: up to most_sent of them are
@@ -315,7 +376,9 @@ def extract(pages: DataFrame, threshold: float = 0.3, most_sent: int = 1_000_000
     splitting of skewed joins.
     """
     pages = pages.select("page_id", "url", "html")
-    low = write_shared(importance(pages).filter(F.col("importance") < threshold).groupBy("host").agg(F.collect_list("path").alias("low")))
+    merged = merged_nodes(pages)
+    worth = _of_nodes(merged).select("host", "path", "importance").unionByName(_of_texts(merged, least))
+    low = write_shared(worth.filter(F.col("importance") < threshold).groupBy("host").agg(F.collect_list("path").alias("low")))
     n = low.agg(F.sum(F.size("low"))).first()[0] or 0
     host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     side = F.broadcast(low) if n <= most_sent else low.hint("merge")

@@ -120,3 +120,36 @@ def test_hostile_pages_take_time_in_proportion():
 def test_depth_does_not_change_what_is_kept():
     page = lambda n: "<div>" * n + "<p>outside</p><article><h1>T</h1><p>one</p></article>" + "</div>" * n
     assert html_extract.main_text(html_extract.parse(page(15))) == html_extract.main_text(html_extract.parse(page(10_000))) == "T\none"
+
+
+def _noted(i):
+    return _page("<article><h1>T</h1>" + "".join(f"<p>Part {k} of story {i}.</p>" for k in range(3)) + "<p>Subscribe to our newsletter now</p>" + f"<h2>Of {i}</h2><p>Last words {i}.</p><h2>Sources</h2><p>Book {i}.</p></article>")
+
+
+def test_a_text_in_ever_other_surroundings_goes_and_what_near_copies_share_stays(spark):
+    rows = [(i, f"http://h.example/{i}", _noted(chr(97 + i) * 3)) for i in range(6)]
+    rows += [(20 + i, f"http://few.example/{i}", _noted(chr(97 + i) * 3)) for i in range(3)]
+    same = "".join(f"<p>Shared {k}.</p>" for k in range(9))
+    rows += [(40 + i, f"http://near.example/{i}", _page(f"<article><h1>T</h1>{same}<p>By {chr(97 + i)}.</p>{same.replace('Shared', 'Further')}</article>")) for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        a = chr(97 + i) * 3
+        assert got[i].split("\n") == ["T", *(f"Part {k} of story {a}." for k in range(3)), f"Of {a}", f"Last words {a}.", "Sources", f"Book {a}."]
+    assert all("newsletter" in got[20 + i] for i in range(3))
+    for i in range(8):
+        assert [x for x in got[40 + i].split("\n") if x[:2] != "By"] == ["T", *(f"{w} {k}." for w in ("Shared", "Further") for k in range(9))]
+
+
+PARTS = [
+    ("<article><h1>T</h1><p>one</p><div class='comment-list'><p>nice!</p></div></article>", "T\none"),
+    ("<article><h1>T</h1><p>one</p><section id='user-comments'><p>nice!</p></section></article>", "T\none"),
+    ("<div class='site-header'><p>brand</p></div><p>one</p><div id=site_footer>imprint</div>", "one"),
+    ("<article><h1>T</h1><div class=search><p>one</p></div></article>", "T\none"),
+    ("<article><div class=search><p>one</p></div></article>", "one"),
+    ("<article><section class=comments><p>nice!</p></section></article>", ""),
+    ("<article><div class='has-comments'><p>one</p></div></article>", "one"),
+]
+
+
+def test_parts_of_words_and_words_that_may_name_the_text():
+    assert [html_extract.main_text(html_extract.parse(p)) for p, _ in PARTS] == [t for _, t in PARTS]
