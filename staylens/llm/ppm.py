@@ -136,9 +136,10 @@ class Model:
 
 
 def summed(codes: np.ndarray, told: np.ndarray, texts: list[bytes], depth: int) -> list[float]:
-    """log10 probability of each text and its end, by that of each number of positions(), in order, that they hold."""
+    """log10 probability of each text and its end, by that of each number of positions() that they hold."""
     code, size = positions(texts, depth)
-    return np.add.reduceat(told[np.searchsorted(codes, code)], np.cumsum(size) - size).tolist() if len(size) else []
+    at = pc.index_in(pa.array(code), value_set=pa.array(codes, pa.int64())).to_numpy(zero_copy_only=False)
+    return np.add.reduceat(told[at], np.cumsum(size) - size).tolist() if len(size) else []
 
 
 def words(text: bytes) -> list[bytes]:
@@ -151,7 +152,7 @@ def _gathered(depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     kinds = [pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
     block = TaskContext.get().partitionId() << 32
     for whole in batches:
-        for batch in pieces(whole, "text", 12 << 20):
+        for batch in pieces(whole, "text", 16 << 20):
             block, n = block + 1, batch.num_rows
             texts, held = raw_texts(batch.column("text")), batch.column("held_out").to_pylist()
             taught = [x for x, out in zip(texts, held, strict=True) if not out]
@@ -200,20 +201,20 @@ def probabilities(asked: DataFrame, depth: int) -> DataFrame:
 
 def _scored(n_tokens: int, n_kinds: int, n_docs: int, depth: int, rows: pa.Table, found: pa.Table) -> pa.Table:
     known, pairs = found.filter(pc.is_valid(found.column("word"))), found.filter(pc.is_valid(found.column("code")))
-    pairs = pairs.sort_by("code")
     codes, told = pairs.column("code").to_numpy(), pairs.column("told").to_numpy()
-    count = dict(zip(raw_texts(known.column("word").combine_chunks()), known.column("c").to_pylist(), strict=True))
+    names, counts = raw_texts(known.column("word").combine_chunks()), known.column("c").to_numpy()
     floor = n_tokens + 0.5 * (n_kinds + 1)
-    share = {w: float(np.log10((c + 0.5) / floor)) for w, c in count.items()}
+    share = dict(zip(names, np.log10((counts + 0.5) / floor).tolist(), strict=True))
+    new = {names[i] for i in np.flatnonzero(counts == 0)}  # in held-out texts alone
     end = float(np.log10((n_docs + 0.5) / floor))
     out = []
     for batch in rows.combine_chunks().to_batches():
         for part in pieces(batch, "text", 4 << 20):
             texts = raw_texts(part.column("text"))
-            for text, score in zip(texts, summed(codes, told, texts, depth), strict=True):
+            for text, out_of, score in zip(texts, part.column("held_out").to_pylist(), summed(codes, told, texts, depth), strict=True):
                 w = words(text)
-                base = sum(share[x] for x in w) + end
-                out.append((len(w) + 1, sum(count[x] > 0 for x in w) + (n_docs > 0), n_tokens, base, score))
+                unknown = sum(map(new.__contains__, w)) if out_of and new else 0
+                out.append((len(w) + 1, len(w) - unknown + (n_docs > 0), n_tokens, sum(map(share.__getitem__, w)) + end, score))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     made = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
     return pa.Table.from_arrays([rows.column("doc_id"), rows.column("held_out"), *made], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
