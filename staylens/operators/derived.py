@@ -173,16 +173,24 @@ def classify_schedule(expected: DataFrame, actual: DataFrame, runs: DataFrame) -
     return rows.select(*SCHEDULE_KEY, F.coalesce("_status", F.lit("missing")).alias("outcome"), why.alias("missing_reason"))
 
 
+#: How many ways items without a slug are dealt.
+SPREAD = 1000
+
+
 def effective_hotel(items: DataFrame, members: DataFrame, slugs: DataFrame, first: str = "hotel") -> DataFrame:
-    """Adds effective_hotel_id and its city: the item's own, else that of its link's slug if a member on the day, else none. slugs: slug, hotel_id, city."""
-    told = items.withColumn("_slug", F.when(F.col("hotel_id").isNull(), hotel_slug("link", first)))
-    by_slug = told.join(slugs.select(F.col("slug").alias("_slug"), F.col("hotel_id").alias("_hotel")), "_slug", "left")
-    held = (F.col("_hotel") == F.col("_member")) & (F.col("crawl_date") >= F.col("effective_from")) & (F.col("effective_until").isNull() | (F.col("crawl_date") < F.col("effective_until")))
-    joined = by_slug.join(members.select(F.col("hotel_id").alias("_member"), "effective_from", "effective_until"), held, "left")
-    out = joined.withColumn("effective_hotel_id", F.coalesce("hotel_id", "_member"))
-    cities = slugs.select(F.col("hotel_id").alias("effective_hotel_id"), F.col("city").alias("effective_city"))
-    how = F.when(F.col("hotel_id").isNotNull(), "own").when(F.col("_member").isNotNull(), "link").otherwise("unattributed")
-    return out.withColumn("identity", how).join(cities, "effective_hotel_id", "left").drop("_slug", "_hotel", "_member", "effective_from", "effective_until")
+    """Adds effective_hotel_id and its city: the item's own, else that of its link's slug if a member on the day, else none. slugs: slug, hotel_id, city.
+
+    Only items without a hotel meet the slugs; of these, the ones without a slug are dealt out by a hash of the item. In a
+    join by slug of all items, those with no slug to look up would meet in one task.
+    """
+    own = items.filter("hotel_id is not null").join(slugs.select("hotel_id", F.col("city").alias("effective_city")), "hotel_id", "left").select("*", F.col("hotel_id").alias("effective_hotel_id"), F.lit("own").alias("identity"))
+    held = slugs.filter("not contains(slug, '/')").join(members.select("hotel_id", "effective_from", "effective_until"), "hotel_id").select(F.col("slug").alias("_slug"), F.col("hotel_id").alias("effective_hotel_id"), F.col("city").alias("effective_city"), "effective_from", "effective_until")
+    none = F.concat(F.lit("/"), F.pmod(F.xxhash64("item_id"), F.lit(SPREAD)).cast("string"))  # a slug has no slash
+    told = items.filter("hotel_id is null").withColumn("_slug", F.coalesce(hotel_slug("link", first), none))
+    then = (F.col("crawl_date") >= F.col("effective_from")) & (F.col("effective_until").isNull() | (F.col("crawl_date") < F.col("effective_until")))
+    linked = told.alias("t").join(held.alias("h"), (F.col("t._slug") == F.col("h._slug")) & then, "left").drop("_slug", "effective_from", "effective_until")
+    how = F.when(F.col("effective_hotel_id").isNotNull(), "link").otherwise("unattributed")
+    return own.unionByName(linked.withColumn("identity", how))
 
 
 # --- collisions of two sources

@@ -216,8 +216,10 @@ def effective_hotel_identity(spark, sf_dir):
 @query(events_sql(f"{_IDENTITY}, u AS (SELECT source_code, link, row_number() OVER (PARTITION BY source_code ORDER BY link) AS k FROM (SELECT DISTINCT source_code, link FROM e WHERE identity = 'unattributed')) SELECT source_code, (SELECT count(*) FROM e WHERE identity = 'unattributed' AND e.source_code = u.source_code) AS n_items, string_agg(link, ',' ORDER BY link) FILTER (k <= 10) AS sample_links FROM u GROUP BY 1"))
 def unattributed_summary(spark, sf_dir):
     rows = _effective(spark, sf_dir).filter("identity = 'unattributed'")
-    links = rows.groupBy("source_code", "link").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.row_number().over(Window.partitionBy("source_code").orderBy("link")))
-    return links.groupBy("source_code").agg(F.sum("n").alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= 10, F.col("link")))), ",").alias("sample_links"))
+    links = rows.groupBy("source_code", "link").agg(F.count(F.lit(1)).alias("n"))
+    few = links.withColumn("k", F.row_number().over(Window.partitionBy("source_code").orderBy(F.asc_nulls_last("link")))).filter("k <= 10")
+    few = few.groupBy("source_code").agg(F.array_join(F.array_sort(F.collect_list("link")), ",").alias("sample_links"))
+    return links.groupBy("source_code").agg(F.sum("n").alias("n_items")).join(few, "source_code")
 
 
 @query(events_sql(f"{_IDENTITY} SELECT crawl_date, coalesce(city, '(unknown)') AS city, count(DISTINCT eff) AS n_active_hotels, count(*) FILTER (status = 'success') AS n_success, count(*) AS n_items FROM e LEFT JOIN hotels h ON h.hotel_id = eff WHERE include_main GROUP BY 1, 2"))
