@@ -61,7 +61,10 @@ def grouped_quantiles(df: DataFrame, by: list[str], x: str, points: list[float],
     at = F.percentile_approx("_v", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(4 * ranges))
     cuts = counts.groupBy(*keys).agg(F.when(n_rows() > few, at).alias("_cuts"))
     joined = meet(counts.alias("a"), cuts.alias("b"), same("a", "b")).select("a.*", "b._cuts")  # without a group the cuts are one row
-    ranged = joined.select(*keys, "_v", "_c", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda cut: cut < F.col("_v")))).alias("_range"))
+    ranged = joined.withColumn("_range", F.lit(0))
+    for k in reversed(range((ranges - 1).bit_length())):  # how many cuts are less, by halving; beyond the last cut there is null
+        ranged = ranged.withColumn("_range", F.col("_range") + F.when(F.get("_cuts", F.col("_range") + (2**k - 1)) < F.col("_v"), 2**k).otherwise(0))
+    ranged = ranged.drop("_cuts")
     whole = Window.partitionBy(*keys)  # a row a range
     sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in"))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_in").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_in").over(whole))

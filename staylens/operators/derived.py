@@ -12,6 +12,7 @@ from ..functions.stats import count_if, grouped_quantiles, n_rows, quantile, r6,
 from ..functions.text import hotel_slug
 from ..functions.timeaxis import MINUTE_BUCKETS, UNKNOWN, minute_bucket
 from ..sources.bindings import STATUSES
+from ..sources.files import written
 
 
 
@@ -358,9 +359,12 @@ def in_role(flags: DataFrame, role: str) -> DataFrame:
 
 
 def variant_summary(rows: DataFrame, variant: str, price: str) -> DataFrame:
-    """Rows, median and mean of each variant of a price; a variant without a price has no median. The median is picked from counted prices."""
-    told = rows.groupBy(variant).agg(n_rows().alias("n_series_days"), r6(F.avg(price)).alias("mean_price"))
-    return told.join(grouped_quantiles(rows, [variant], price, [0.5]).select(variant, r6("p50").alias("median_price")), variant, "left")
+    """Rows, median and mean of each variant of a price; a variant without a price has no median. Equal prices are counted and
+    the counts written once to the shared folder, so that the rows are made once; the median is picked from them."""
+    counted = written(rows.groupBy(variant, F.col(price).cast("double").alias(price)).agg(n_rows().alias("_rows")), "variants")
+    some = F.when(F.col(price).isNotNull(), F.col("_rows"))
+    told = counted.groupBy(variant).agg(F.sum("_rows").alias("n_series_days"), r6(F.try_divide(F.sum(F.col(price) * F.col("_rows")), F.sum(some))).alias("mean_price"))
+    return told.join(grouped_quantiles(counted, [variant], price, [0.5], "_rows").select(variant, r6("p50").alias("median_price")), variant, "left")
 
 
 def findings(parts: dict[str, tuple[str, str, DataFrame, str, DataFrame]]) -> DataFrame:

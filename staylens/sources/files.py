@@ -32,6 +32,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df from Parquet files in a new shared path, so that what reads it often makes it once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def faults(df: DataFrame, rules: dict[str, Column]) -> dict[str, int]:
     """Rows that break each rule, in one pass; rules that hold are left out."""
     row = df.agg(*[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in rules.items()]).first()
