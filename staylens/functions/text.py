@@ -107,7 +107,8 @@ def _compositions() -> dict[str, str]:
     return out
 
 
-_MARKED = "(?s).[\u0300-\u036f]*"
+# Letters with their marks, each by itself, and runs of what has none, which are bounded as a match calls itself for each.
+_MARKED = "(?s)(?:.(?![\u0300-\u036f])){1,64}|.[\u0300-\u036f]*"
 
 
 def _told(mapping: dict[str, str]) -> Column:
@@ -117,7 +118,7 @@ def _told(mapping: dict[str, str]) -> Column:
 def composed(text: str | Column) -> Column:
     """The text with letters and their combining marks in one; only texts with such marks are taken apart."""
     t = F.coalesce(col(text), F.lit(""))
-    letters = F.transform(F.regexp_extract_all(t, F.lit(_MARKED), 0), lambda c: F.coalesce(F.element_at(_told(_COMPOSED), c), c))
+    letters = F.transform(F.regexp_extract_all(t, F.lit(_MARKED), 0), lambda c: F.when(c.rlike("[\u0300-\u036f]"), F.coalesce(F.element_at(_told(_COMPOSED), c), c)).otherwise(c))
     return F.when(t.rlike("[\u0300-\u036f]"), F.array_join(letters, "")).otherwise(t)
 
 
@@ -127,7 +128,7 @@ _COMPOSED = _compositions()
 def strip_accents(text: str | Column) -> Column:
     """ASCII letters and digits for what they are written with: accents, superscripts, full width, ligatures. ASCII texts are left as they are."""
     t = F.coalesce(col(text), F.lit(""))
-    letters = F.transform(F.split(t, ""), lambda c: F.coalesce(F.element_at(_told(_MORE), c), c))
+    letters = F.transform(F.regexp_extract_all(t, F.lit(f"{_ANY_MORE}|[^{_ANY_MORE[1:]}+"), 0), lambda c: F.when(c.rlike(_ANY_MORE), F.coalesce(F.element_at(_told(_MORE), c), c)).otherwise(c))
     return F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(F.when(t.rlike(_ANY_MORE), F.array_join(letters, "")).otherwise(t), _FROM, _TO)).otherwise(t)
 
 
@@ -156,12 +157,19 @@ def normal_area(text: str | Column) -> Column:
     return F.nullif(F.translate(F.regexp_extract(canonical_text(text), AREA, 0), " ", ""), F.lit(""))
 
 
+def _named(x: Column, of) -> Column:
+    """of(x), with x worked out once however often it is named."""
+    return F.transform(F.array(x), of)[0]
+
+
 def _city(text: Column) -> Column:
-    padded = F.concat(F.lit(" "), plain_words(text), F.lit(" "))
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for city, names in CITY_NAMES.items():
-        out = out.when(reduce(lambda a, b: a | b, [padded.contains(f" {n} ") for n in names]), city)
-    return out
+    def told(padded: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for city, names in CITY_NAMES.items():
+            out = out.when(reduce(lambda a, b: a | b, [padded.contains(f" {n} ") for n in names]), city)
+        return out
+
+    return _named(F.concat(F.lit(" "), plain_words(text), F.lit(" ")), told)
 
 
 def canonical_city(address: str | Column, market: str | Column) -> Column:
@@ -175,16 +183,19 @@ def room_conditions(lines: str | Column) -> Column:
     No line about breakfast is false; no lines at all are null. A later line about cancellation or rooms left decides.
     """
     some = F.size(F.coalesce(col(lines), F.array().cast("array<string>"))) > 0
-    lines = F.filter(F.transform(col(lines), lambda x: F.trim(composed(x))), lambda x: x != "")
-    about = F.filter(lines, lambda x: x.rlike(FREE_CANCEL) | x.rlike(PAID_CANCEL))
-    policy = F.array_join(F.filter(lines, lambda x: x.rlike(CANCEL_WORD)), " | ")
-    left = F.filter(lines, lambda x: x.rlike(ROOMS_LEFT))
-    return F.struct(
-        F.when(some, F.exists(lines, lambda x: x.rlike(BREAKFAST))).alias("breakfast_included"),
-        F.when(F.size(about) > 0, F.element_at(about, -1).rlike(FREE_CANCEL)).alias("free_cancellation"),
-        F.nullif(policy, F.lit("")).alias("cancellation_policy"),
-        F.when(F.size(left) > 0, F.regexp_extract(F.element_at(left, -1), ROOMS_LEFT, 1).cast("int")).alias("rooms_left"),
-    )
+
+    def told(lines: Column) -> Column:
+        about = F.filter(lines, lambda x: x.rlike(FREE_CANCEL) | x.rlike(PAID_CANCEL))
+        policy = F.array_join(F.filter(lines, lambda x: x.rlike(CANCEL_WORD)), " | ")
+        left = F.filter(lines, lambda x: x.rlike(ROOMS_LEFT))
+        return F.struct(
+            F.when(some, F.exists(lines, lambda x: x.rlike(BREAKFAST))).alias("breakfast_included"),
+            F.when(F.size(about) > 0, F.element_at(about, -1).rlike(FREE_CANCEL)).alias("free_cancellation"),
+            F.nullif(policy, F.lit("")).alias("cancellation_policy"),
+            F.when(F.size(left) > 0, F.regexp_extract(F.element_at(left, -1), ROOMS_LEFT, 1).cast("int")).alias("rooms_left"),
+        )
+
+    return _named(F.filter(F.transform(col(lines), lambda x: F.trim(composed(x))), lambda x: x != ""), told)
 
 
 def room_class(name: str | Column, occupancy: str | Column, breakfast: str | Column) -> Column:
@@ -289,8 +300,12 @@ def item_outcome(not_bookable: str | Column, sold_out: str | Column, rejected: s
 def token_similarity(a: str | Column, b: str | Column) -> Column:
     """Jaccard similarity of the words of two canonical texts; 0 if either has none."""
     x, y = (F.filter(F.array_distinct(F.split(canonical_text(t), " ")), lambda w: w != "") for t in (a, b))
-    both = F.size(F.array_intersect(x, y))
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), both / F.size(F.array_union(x, y))).otherwise(0.0)
+
+    def told(w: Column) -> Column:
+        x, y = w["x"], w["y"]
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
+
+    return _named(F.struct(x.alias("x"), y.alias("y")), told)
 
 
 def tags_stripped(html: str | Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.stats import r6
-from ..sources.bindings import events_warehouse, pick, read
+from ..sources.bindings import dealt, events_warehouse, pick, read
 from .preludes import events_sql, names_sql
 from .registry import query
 
@@ -28,7 +28,7 @@ _AREAS = ["30m", "30m", None, None, None, "25ft", None, None]
 
 @query(f"SELECT p_partkey, {names_sql(_CANONICAL, 'p_partkey % 8')} AS canonical, {names_sql(_AREAS, 'p_partkey % 8')} AS area, sha256({names_sql(_CANONICAL, 'p_partkey % 8')} || ' ' || lower(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g'))) AS with_name FROM part")
 def canonical_room_names(spark, sf_dir):
-    p = read(spark, sf_dir, "part").withColumn("told", pick(F.col("p_partkey") % 8, _NAMES))
+    p = dealt(read(spark, sf_dir, "part").select("p_partkey", "p_name")).withColumn("told", pick(F.col("p_partkey") % 8, _NAMES))
     return p.select("p_partkey", text.canonical_text("told").alias("canonical"), text.normal_area("told").alias("area"), F.sha2(F.concat_ws(" ", text.canonical_text("told"), text.canonical_text("p_name")), 256).alias("with_name"))
 
 
@@ -43,7 +43,7 @@ def _city_sql(column: str) -> str:
 
 @query(f"WITH t AS (SELECT c_custkey, {names_sql(_PLACES, 'c_custkey % 8')} AS a, {names_sql(_MARKETS, 'c_custkey % 5')} AS m FROM customer), w AS (SELECT c_custkey, {_PADDED.format('a')} AS a, {_PADDED.format('m')} AS m FROM t) SELECT c_custkey, coalesce({_city_sql('m')}, {_city_sql('a')}) AS city FROM w")
 def canonical_city_of_addresses(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").select("c_custkey", pick(F.col("c_custkey") % 8, _PLACES).alias("address"), pick(F.col("c_custkey") % 5, _MARKETS).alias("market"))
+    c = dealt(read(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", pick(F.col("c_custkey") % 8, _PLACES).alias("address"), pick(F.col("c_custkey") % 5, _MARKETS).alias("market"))
     return c.select("c_custkey", text.canonical_city("address", "market").alias("city"))
 
 
@@ -60,7 +60,7 @@ _LINE_SQL = f"""WITH t AS (SELECT p_partkey, [{names_sql(_LINES, 'p_partkey % 11
 @query(_LINE_SQL)
 def room_conditions_of_lines(spark, sf_dir):
     two = F.array(pick(F.col("p_partkey") % 11, _LINES), pick(F.floor(F.col("p_partkey") / 11) % 11, _LINES))
-    p = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 13 == 0, F.array().cast("array<string>")).otherwise(two).alias("lines"))
+    p = dealt(read(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", F.when(F.col("p_partkey") % 13 == 0, F.array().cast("array<string>")).otherwise(two).alias("lines"))
     return p.select("p_partkey", text.room_conditions("lines").alias("c")).select("p_partkey", "c.*")
 
 
