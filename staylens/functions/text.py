@@ -92,8 +92,20 @@ def _accents() -> tuple[str, str, dict[str, str]]:
     return told + marks, plain, more
 
 
+def _ranges(chars: str) -> str:
+    """These characters as ranges of a class, whose parts are tried one after the other for each character of a text."""
+    out = []
+    for c in sorted(map(ord, chars)):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
 _FROM, _TO, _MORE = _accents()
-_ANY_MORE = "[" + "".join(_MORE) + "]"
+_MORE_RANGES = _ranges("".join(_MORE))
+_ANY_MORE = rf"(?![\x00-\x7F])[{_MORE_RANGES}]"
 
 
 def _compositions() -> dict[str, str]:
@@ -128,7 +140,7 @@ _COMPOSED = _compositions()
 def strip_accents(text: str | Column) -> Column:
     """ASCII letters and digits for what they are written with: accents, superscripts, full width, ligatures. ASCII texts are left as they are."""
     t = F.coalesce(col(text), F.lit(""))
-    letters = F.transform(F.regexp_extract_all(t, F.lit(f"{_ANY_MORE}|[^{_ANY_MORE[1:]}+"), 0), lambda c: F.when(c.rlike(_ANY_MORE), F.coalesce(F.element_at(_told(_MORE), c), c)).otherwise(c))
+    letters = F.transform(F.regexp_extract_all(t, F.lit(f"{_ANY_MORE}|[^{_MORE_RANGES}]+"), 0), lambda c: F.when(c.rlike(_ANY_MORE), F.coalesce(F.element_at(_told(_MORE), c), c)).otherwise(c))
     return F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(F.when(t.rlike(_ANY_MORE), F.array_join(letters, "")).otherwise(t), _FROM, _TO)).otherwise(t)
 
 

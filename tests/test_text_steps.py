@@ -28,3 +28,11 @@ def test_a_city_takes_its_words_once(spark):
 def test_a_small_file_is_dealt_over_the_cores(spark, name):
     out = registry.QUERIES[name](spark, SF)
     assert out.groupBy(F.spark_partition_id()).count().count() >= spark.sparkContext.defaultParallelism
+
+
+def test_characters_that_stand_for_more_are_told_by_few_ranges(spark):
+    """A class is tried part by part for each character of a text, so it has a part a range, not one a character."""
+    assert len(text._ANY_MORE) < len(text._MORE)
+    every = "".join(c for c in map(chr, range(1, 0x20000)) if not 0xD800 <= ord(c) < 0xE000)
+    got = spark.createDataFrame([(every,)], "t string").select(F.regexp_extract_all("t", F.lit(text._ANY_MORE), 0).alias("c")).first().c
+    assert set(got) == set(text._MORE)
