@@ -14,6 +14,9 @@ from ..sources.bindings import events_warehouse, orders_warehouse, pick, read
 from .preludes import BUCKET, BUCKET_ORDER, events_sql, names_sql, orders_sql
 from .registry import query
 
+#: Options that a task sorts at most, roughly, where windows go over items.
+PER_TASK = 500_000
+
 _ALIASED = "trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '[^a-z0-9]+', ' ', 'g'), '^ | $', '', 'g'))"
 
 
@@ -111,14 +114,14 @@ def room_class_of_options(spark, sf_dir):
 
 @query(orders_sql("""SELECT item_id, count(*) AS n_options, sum(k - 1)::bigint AS n_duplicates FROM (SELECT item_id, room_name, hotel_id, count(*) AS k FROM observations GROUP BY 1, 2, 3) GROUP BY 1"""))
 def exact_duplicate_options(spark, sf_dir):
-    o = orders_warehouse(spark, sf_dir).observations.select("item_id", "option_index", "room_name", "hotel_id")
+    o = orders_warehouse(spark, sf_dir, PER_TASK).observations.select("item_id", "option_index", "room_name", "hotel_id")
     left = options.without_duplicates(o, "item_id", "option_index", ["room_name", "hotel_id"])
     return left.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_options"), F.max("n_duplicates").alias("n_duplicates"))
 
 
 @query(orders_sql("""SELECT item_id, round(price_per_night, 6) AS price, max_occupancy FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY (max_occupancy <= 2) DESC, round(price_per_night, 6) ASC NULLS LAST, max_occupancy) AS k FROM observations) WHERE k = 1"""))
 def cheapest_option_for_two(spark, sf_dir):
-    o = orders_warehouse(spark, sf_dir).observations.withColumn("price", r6("price_per_night"))
+    o = orders_warehouse(spark, sf_dir, PER_TASK).observations.withColumn("price", r6("price_per_night"))
     return options.cheapest_for_two(o, "item_id", "max_occupancy", "price", "max_occupancy").select("item_id", "price", "max_occupancy")
 
 

@@ -40,6 +40,12 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame, rows: int, by: str, per_task: int) -> DataFrame:
+    """df of so many rows dealt out by a column, about per_task of them to a task; left as it is while shuffles make tasks enough."""
+    n = -(-rows // per_task)
+    return df.repartition(n, by) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def pick(of: Column, options: list) -> Column:
     """options[of], null beyond the last."""
     out = F.when(F.lit(False), F.lit(None))
@@ -90,7 +96,8 @@ def events_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     return Warehouse(spark, hotels, runs, _flags(items, "item_id"), observations, _sources(spark), rejections)
 
 
-def orders_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+def orders_warehouse(spark: SparkSession, sf_dir: str, per_task: int | None = None) -> Warehouse:
+    """per_task: how many observations a task gets at most, roughly, which then lie by item; else that is left to Spark."""
     line, order, part, supplier, nation, region = (read(spark, sf_dir, x) for x in ("lineitem", "orders", "part", "supplier", "nation", "region"))
     places = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
     hotels = places.select(F.col("s_suppkey").alias("hotel_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("slug"), F.col("s_name").alias("name"), F.col("n_name").alias("city"), F.col("r_name").alias("source_code"), F.round(F.col("s_acctbal").cast("double") % 10, 1).alias("review_score"), (F.col("s_suppkey") * 7 % 500).alias("review_count"))
@@ -98,7 +105,11 @@ def orders_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     lines = line.select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").cast("int").alias("option_index"), F.col("l_suppkey").alias("hotel_id"), "l_partkey", F.col("l_shipdate").cast("date").alias("checkin_date"), F.col("l_extendedprice").cast("double").alias("price_total"), (F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")).alias("price_per_night"), "l_returnflag", "l_linestatus", F.col("l_discount").cast("double").alias("l_discount"), F.col("l_tax").cast("double").alias("l_tax"))
     parts = part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_brand", F.col("p_size").cast("int").alias("p_size"))
     sold_out = F.col("l_returnflag") == "R"
-    seen = lines.join(parts, "l_partkey").join(o.withColumnRenamed("status", "item_status"), "item_id").join(hotels.select("hotel_id", "source_code", "city"), "hotel_id")
+    named, told, places = lines.join(parts, "l_partkey"), o.withColumnRenamed("status", "item_status"), hotels.select("hotel_id", "source_code", "city")
+    if per_task:  # items last, so that what goes by item stays where it is
+        seen = spread(named.join(places, "hotel_id"), line.count(), "item_id", per_task).join(told, "item_id")
+    else:
+        seen = named.join(told, "item_id").join(places, "hotel_id")
     observations = seen.select(
         "item_id", "option_index", "hotel_id", "source_code", "city", "item_status", F.concat_ws("|", "source_code", F.col("crawl_date").cast("string")).alias("run_id"), "crawl_date", F.col("crawl_date").cast("timestamp_ntz").alias("observed_at"), "checkin_date", F.date_diff("checkin_date", "crawl_date").alias("lead_time"), "price_total", F.when(~sold_out, F.col("price_per_night")).alias("price_per_night"), sold_out.alias("is_sold_out"),
         F.concat_ws("/", "p_type", "p_brand").alias("room_key"), F.concat_ws("/", "l_returnflag", "l_linestatus").alias("rate_key"), F.col("p_name").alias("room_name"), (F.col("p_size") % 5 + 1).alias("max_occupancy"), F.col("p_brand").alias("bed_config"), F.concat((F.col("p_size") + 10).cast("string"), F.lit(" m")).alias("room_area"), (F.col("l_tax") > 0.04).alias("breakfast_included"), (F.col("l_discount") > 0.05).alias("free_cancellation"), F.when(F.col("l_discount") > 0.02, F.concat(F.lit("policy "), F.col("l_linestatus"))).alias("cancellation_policy"),
