@@ -169,7 +169,7 @@ def normal_area(text: str | Column) -> Column:
     return F.nullif(F.translate(F.regexp_extract(canonical_text(text), AREA, 0), " ", ""), F.lit(""))
 
 
-def _named(x: Column, of) -> Column:
+def named(x: Column, of) -> Column:
     """of(x), with x worked out once however often it is named."""
     return F.transform(F.array(x), of)[0]
 
@@ -181,7 +181,7 @@ def _city(text: Column) -> Column:
             out = out.when(reduce(lambda a, b: a | b, [padded.contains(f" {n} ") for n in names]), city)
         return out
 
-    return _named(F.concat(F.lit(" "), plain_words(text), F.lit(" ")), told)
+    return named(F.concat(F.lit(" "), plain_words(text), F.lit(" ")), told)
 
 
 def canonical_city(address: str | Column, market: str | Column) -> Column:
@@ -207,7 +207,7 @@ def room_conditions(lines: str | Column) -> Column:
             F.when(F.size(left) > 0, F.regexp_extract(F.element_at(left, -1), ROOMS_LEFT, 1).cast("int")).alias("rooms_left"),
         )
 
-    return _named(F.filter(F.transform(col(lines), lambda x: F.trim(composed(x))), lambda x: x != ""), told)
+    return named(F.filter(F.transform(col(lines), lambda x: F.trim(composed(x))), lambda x: x != ""), told)
 
 
 def room_class(name: str | Column, occupancy: str | Column, breakfast: str | Column) -> Column:
@@ -317,7 +317,7 @@ def token_similarity(a: str | Column, b: str | Column) -> Column:
         x, y = w["x"], w["y"]
         return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
 
-    return _named(F.struct(x.alias("x"), y.alias("y")), told)
+    return named(F.struct(x.alias("x"), y.alias("y")), told)
 
 
 def tags_stripped(html: str | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_area, token_similarity
+from ..functions.text import named, normal_area, token_similarity
 
 SERIES = ["hotel_id", "checkin_date"]
 # The weights of a match, and the least score of an alias.
@@ -60,8 +60,8 @@ def match_score(room: str = "", ref: str = "ref_") -> Column:
     same_rate = F.coalesce(a("rate_key") == b("rate_key"), F.lit(False))
     exact = same_rate & F.coalesce(a("room_key") == b("room_key"), F.lit(False))
     score = WEIGHTS["name"] * token_similarity(a("room_name"), b("room_name")) + WEIGHTS["occupancy"] * a("max_occupancy").eqNullSafe(b("max_occupancy")).cast("double") + WEIGHTS["area"] * normal_area(a("room_area")).eqNullSafe(normal_area(b("room_area"))).cast("double") + WEIGHTS["rate"] * same_rate.cast("double")
-    rounded = F.round(score, 4)
-    return F.when(exact, F.struct(F.lit("exact").alias("match"), F.lit(1.0).alias("score"))).otherwise(F.struct(F.when(same_rate & (score >= ALIAS_SCORE - 1e-12), "alias").otherwise("not_reference").alias("match"), rounded.alias("score")))
+    told = lambda s: F.struct(F.when(same_rate & (s >= ALIAS_SCORE - 1e-12), "alias").otherwise("not_reference").alias("match"), F.round(s, 4).alias("score"))
+    return F.when(exact, F.struct(F.lit("exact").alias("match"), F.lit(1.0).alias("score"))).otherwise(named(score, told))
 
 
 def best_match(scored: DataFrame, item: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staylens.functions import text
+from staylens.operators import reference
 from staylens.plans import registry
 
 registry.load()
@@ -36,3 +37,11 @@ def test_characters_that_stand_for_more_are_told_by_few_ranges(spark):
     every = "".join(c for c in map(chr, range(1, 0x20000)) if not 0xD800 <= ord(c) < 0xE000)
     got = spark.createDataFrame([(every,)], "t string").select(F.regexp_extract_all("t", F.lit(text._ANY_MORE), 0).alias("c")).first().c
     assert set(got) == set(text._MORE)
+
+
+def test_a_match_works_out_its_score_once(spark):
+    names = ["room_key", "rate_key", "room_name", "room_area"]
+    told = [f"'x' as {p}{c}" for p in ("", "ref_") for c in names] + ["2 as max_occupancy", "2 as ref_max_occupancy"]
+    df = spark.range(1).selectExpr(*told).withColumn("ref_room_key", F.lit("y")).select(reference.match_score().alias("m"))
+    assert df.first().m.asDict() == {"match": "alias", "score": 1.0}
+    assert df._jdf.queryExecution().analyzed().toString().count("array_intersect(") == 1
